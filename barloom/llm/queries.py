@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language, mixing, packing
+from barloom.llm import fingerprint, language, mixing, packing
 from barloom.llm.common import fold_of, table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and how like they and its neighbour's are."""
+    found = fingerprint.compare(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document and of its source, the source's target, and the words the mix takes."""
     docs = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -64,6 +70,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_mix_sources": op3_mix_sources,
     "op7_pack_sequences": op7_pack_sequences,
     "op9_language": op9_language,
