@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprint, language, mixing, packing
+from barloom.llm import fingerprint, language, mixing, packing, quality
 from barloom.llm.common import fold_of, table
 
 
@@ -56,6 +56,14 @@ SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN chance < rat
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document; labels of the held-out fold are not used."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 5) != 0)
+    found = quality.classify(docs, quality.train(docs, learn))
+    return found.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     return packing.digest(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -72,6 +80,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_mix_sources": op3_mix_sources,
+    "op5_quality": op5_quality,
     "op7_pack_sequences": op7_pack_sequences,
     "op9_language": op9_language,
 }
