@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprint, language, mixing, packing, quality
+from barloom.llm import fingerprint, language, mixing, packing, pii, quality, secret_scan, spans
 from barloom.llm.common import fold_of, table
 
 
@@ -69,6 +69,18 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def _digests(found: DataFrame, base: list[str]) -> DataFrame:
+    """Counts of base spans by kind, the digest of all base spans, and all spans, of doc_id and spans."""
+    counts = [F.size(spans.of_kinds(F.col("spans"), [k])).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(F.encode(spans.joined(spans.of_kinds(F.col("spans"), base)), "UTF-8"), 256).alias("base_sha256"), spans.joined(F.col("spans")).alias("spans"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document; each distinct text is scanned once."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return _digests(secret_scan.scan(docs)[0].withColumnRenamed("path", "doc_id"), secret_scan.BASE)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of each document; rows of the held-out fold teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -77,11 +89,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document."""
+    return _digests(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]), pii.BASE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_mix_sources": op3_mix_sources,
     "op5_quality": op5_quality,
     "op7_pack_sequences": op7_pack_sequences,
+    "op8_secrets": op8_secrets,
     "op9_language": op9_language,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL}
