@@ -11,42 +11,59 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts with these are encoded whole: special tokens, and separators that str.split drops but tokenizers keep.
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+#: Texts of these characters alone are cut into pieces here; what tokenizers would change or cut otherwise is left to it.
+_PLAIN = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_MEMO_WORDS = 400_000
+#: Pieces whose ids a worker keeps: twice so many at most.
+_MEMO_PIECES = 350_000
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer never joins what white space parts, so ids are kept by word and each new word
-    is encoded once; the memory for words is bounded.
+    For a tokenizer that lower-cases, then cuts by _PIECE and encodes each piece by itself, so ids are
+    kept by piece and new pieces are encoded together. Two generations of pieces bound the memory.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str) -> bytes:
-        if _WHOLE.search(text):
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        parts = text.split()
-        try:
-            return b"".join(map(self.memo.__getitem__, parts))
-        except KeyError:
-            if len(self.memo) > _MEMO_WORDS:
-                self.memo.clear()
-            new = list({w for w in parts if w not in self.memo})
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[word] = self._bytes(found.ids)
-            return b"".join(map(self.memo.__getitem__, parts))
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id ends a piece
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.by_piece = bool(self.ends.any())  # other tokenizers get whole texts
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_PIECE.findall(t.lower()) if self.by_piece and "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+        if len(self.young) > _MEMO_PIECES:
+            self.young, self.old = {}, self.young
+        new = []
+        for piece in {p for pieces in cut if pieces for p in pieces}.difference(self.young):
+            if piece in self.old:
+                self.young[piece] = self.old[piece]
+            else:
+                new.append(piece)
+        for first in range(0, len(new), 256):
+            self._learn(new[first : first + 256])
+        ids = self.young.__getitem__
+        return [self._whole(t) if pieces is None else b"".join(map(ids, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        after = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(after) != len(pieces):
+            self.young.update((p, self._whole(p)) for p in pieces)
+            return
+        data, start = ids.tobytes(), 0
+        for piece, end in zip(pieces, after.tolist(), strict=True):
+            self.young[piece] = data[start:end]
+            start = end
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class Packer:
@@ -162,13 +179,24 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, e
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
+        def place(docs: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            for doc, found in zip(docs, encoder.encode(texts), strict=True):
+                ids = found + end
                 tokens = len(ids) // 4
                 for start in range(0, tokens, size):
                     packer.place((doc, start, ids[4 * start : 4 * (start + size)], tokens))
-                yield from rows(1000)
+            yield from rows(1000)
+
+        for batch in batches:
+            docs, texts, held = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs.append(doc)
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if held >= 1 << 19:
+                    yield from place(docs, texts)
+                    docs, texts, held = [], [], 0
+            yield from place(docs, texts)
         packer.settle()
         yield from rows(1)
 
