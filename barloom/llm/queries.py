@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprint, language, mixing, packing, pii, quality, secret_scan, spans
+from barloom.llm import captures, fingerprint, language, mixing, neighbours, packing, pii, quality, revisits, secret_scan, spans
 from barloom.llm.common import fold_of, table
 
 
@@ -56,6 +56,13 @@ SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN chance < rat
 """
 
 
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each revisit of a page, resolved."""
+    found = revisits.resolve(captures.records_of(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return found.select("record_id", "canonical_url", "response_id", "status", headers.alias("headers"), F.sha2(F.encode("payload", "UTF-8"), 256).alias("payload_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of each document; labels of the held-out fold are not used."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +71,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors to every fiftieth."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     return packing.digest(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -97,10 +109,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_mix_sources": op3_mix_sources,
+    "op4_revisits": op4_revisits,
     "op5_quality": op5_quality,
+    "op6_neighbours": op6_neighbours,
     "op7_pack_sequences": op7_pack_sequences,
     "op8_secrets": op8_secrets,
     "op9_language": op9_language,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op4_revisits": captures.SQL}
