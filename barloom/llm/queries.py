@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import captures, fingerprint, language, mixing, neighbours, packing, pii, quality, revisits, secret_scan, spans
+from barloom.llm import captures, fingerprint, jaccard, language, mixing, neighbours, packing, pii, quality, revisits, secret_scan, spans
 from barloom.llm.common import fold_of, table
 
 
@@ -17,6 +17,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates that each document is in."""
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document and of its source, the source's target, and the words the mix takes."""
     docs = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -108,6 +113,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_mix_sources": op3_mix_sources,
     "op4_revisits": op4_revisits,
     "op5_quality": op5_quality,
