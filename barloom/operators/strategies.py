@@ -146,74 +146,107 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def adaptive_sar(rows: DataFrame, p: dict) -> DataFrame:
-    """rows with sar: slow, usual or fast stop levels, by the volatility of the bar (atr_ratio)."""
-    rows = indicators.parabolic_sar(rows, p["psar_step"], p["psar_max"], "_sar_mid")
-    if not p["use_adaptive_psar"]:
-        return rows.withColumnRenamed("_sar_mid", "sar")
-    rows = indicators.parabolic_sar(rows, p["psar_step_low"], p["psar_max"], "_sar_low")
-    rows = indicators.parabolic_sar(rows, p["psar_step_high"], p["psar_max"], "_sar_high")
-    chosen = F.when(F.col("atr_ratio") < p["atr_ratio_low"], F.col("_sar_low")).when(F.col("atr_ratio") > p["atr_ratio_high"], F.col("_sar_high")).otherwise(F.col("_sar_mid"))
-    return rows.withColumn("sar", chosen).drop("_sar_low", "_sar_mid", "_sar_high")
+def _choices(low: float, high: float, step: float, kind: str = "float") -> Axis:
+    return Axis(kind, low, high, step)
 
 
-@registered
-class PsarAssistV3(Strategy):
-    """Turns of the parabolic stop, admitted by ADX, RSI, candle body and averages; held until the next."""
+#: What both assistants share: parameters, their defaults and axes (fixed names and values).
+ASSIST_DEFAULTS = {
+    "enable_adaptive_step": 1, "require_adx_slope": 1, "atr_period": 14, "atr_ratio_window": 100, "atr_ratio_low": 0.70, "atr_ratio_high": 1.50, "psar_step_low": 0.015, "psar_step_mid": 0.025, "psar_step_high": 0.040, "psar_max": 0.20,
+    "adx_period": 14, "adx_threshold": 20.0, "ma_fast": 20, "ma_slow": 50, "rsi_period": 14, "rsi_upper": 75.0, "rsi_lower": 25.0, "body_atr_mult": 2.5,
+}
+SWITCH = Axis("choice", choices=(0, 1))
+ASSIST_AXES = {
+    "enable_adaptive_step": SWITCH, "require_adx_slope": SWITCH, "atr_period": _choices(10, 20, 2, "int"), "atr_ratio_window": _choices(50, 150, 25, "int"), "atr_ratio_low": _choices(0.5, 0.9, 0.1), "atr_ratio_high": _choices(1.2, 2.0, 0.1),
+    "psar_step_low": _choices(0.010, 0.020, 0.005), "psar_step_mid": _choices(0.020, 0.035, 0.005), "psar_step_high": _choices(0.035, 0.050, 0.005), "psar_max": _choices(0.15, 0.25, 0.05), "adx_period": _choices(10, 20, 2, "int"),
+    "adx_threshold": _choices(15, 25, 2.5), "ma_fast": _choices(10, 30, 5, "int"), "ma_slow": _choices(30, 90, 10, "int"), "rsi_period": _choices(10, 20, 2, "int"), "rsi_upper": _choices(70, 85, 5), "rsi_lower": _choices(15, 35, 5),
+    "body_atr_mult": _choices(2.0, 3.5, 0.5),
+}
 
-    name = "psar_trade_assist_v3"
-    defaults = {
-        "use_adaptive_psar": True, "psar_step_low": 0.015, "psar_step": 0.025, "psar_step_high": 0.040, "psar_max": 0.20, "atr_period": 14, "atr_ratio_window": 100,
-        "atr_ratio_low": 0.70, "atr_ratio_high": 1.50, "use_adx_filter": True, "adx_period": 14, "adx_threshold": 20.0, "use_adx_slope": True, "use_ma_filter": True,
-        "ma_fast": 20, "ma_slow": 50, "use_rsi_filter": True, "rsi_period": 14, "rsi_upper": 75.0, "rsi_lower": 25.0, "use_body_filter": True, "body_atr_mult": 2.5,
-    }
-    axes = {
-        **{k: Axis("choice", choices=(True, False)) for k in ("use_adaptive_psar", "use_adx_filter", "use_adx_slope", "use_ma_filter", "use_rsi_filter", "use_body_filter")},
-        "psar_step_low": Axis("float", 0.005, 0.02, 0.005), "psar_step": Axis("float", 0.02, 0.03, 0.005), "psar_step_high": Axis("float", 0.03, 0.06, 0.01), "psar_max": Axis("float", 0.1, 0.3, 0.05),
-        "atr_period": Axis("int", 7, 28, 7), "atr_ratio_window": Axis("int", 50, 150, 50), "atr_ratio_low": Axis("float", 0.5, 0.9, 0.1), "atr_ratio_high": Axis("float", 1.2, 2.0, 0.2),
-        "adx_period": Axis("int", 7, 28, 7), "adx_threshold": Axis("float", 15, 30, 5), "ma_fast": Axis("int", 10, 30, 5), "ma_slow": Axis("int", 40, 100, 10),
-        "rsi_period": Axis("int", 7, 21, 7), "rsi_upper": Axis("float", 65, 85, 5), "rsi_lower": Axis("float", 15, 35, 5), "body_atr_mult": Axis("float", 1.5, 3.5, 0.5),
-    }
 
-    def check(self, params):
-        if params["ma_fast"] >= params["ma_slow"] or params["rsi_lower"] >= params["rsi_upper"]:
-            raise ValueError("ma_fast < ma_slow and rsi_lower < rsi_upper are needed")
+class Assist(Strategy):
+    """What the two parabolic-stop assistants share: their indicators and the gates for a turn."""
+
+    def periods(self, p: dict) -> list[int]:
+        return [p["atr_ratio_window"], p["ma_slow"], p["atr_period"], p["adx_period"], p["rsi_period"]]
 
     def warm_up(self, p: dict) -> int:
-        return max(p["atr_period"], p["atr_ratio_window"], p["adx_period"], p["ma_slow"], p["rsi_period"]) + 10
+        return max(self.periods(p)) + 10
 
     def signals(self, bars, sets):
-        for s in sets:
-            self.check(self.defaults | s)
-        return _united([self._one(bars, self.defaults | s).withColumn("combo_id", F.lit(k).cast("long")) for k, s in enumerate(sets)]).select("combo_id", *KEEP, "signal")
+        parts = [self.one(bars.select(*KEEP), self.resolved(s)).withColumn("combo_id", F.lit(k).cast("long")) for k, s in enumerate(sets)]
+        return _united(parts).select("combo_id", *KEEP, "signal")
+
+    def resolved(self, params: dict) -> dict:
+        return self.defaults | params
+
+    def one(self, bars: DataFrame, p: dict) -> DataFrame:
+        raise NotImplementedError
 
-    def _one(self, bars: DataFrame, p: dict) -> DataFrame:
-        rows = indicators.atr(bars.select(*KEEP), p["atr_period"])
+    def indicators(self, bars: DataFrame, p: dict) -> DataFrame:
+        """bars with atr, atr_ratio, rsi, adx, plus_di, minus_di, ma_fast, ma_slow and the three stop levels."""
+        rows = indicators.atr(bars, p["atr_period"])
         rows = indicators.adx(indicators.rsi(rows, p["rsi_period"]), p["adx_period"])
-        rows = linear(rows, {"_ma_fast": indicators.ema_term("close", p["ma_fast"]), "_ma_slow": indicators.ema_term("close", p["ma_slow"])}, ["symbol"])
-        rows = adaptive_sar(indicators.atr_ratio(rows, p["atr_ratio_window"]), p)
+        rows = linear(rows, {"ma_fast": indicators.ema_term("close", p["ma_fast"]), "ma_slow": indicators.ema_term("close", p["ma_slow"])}, ["symbol"])
+        rows = indicators.atr_ratio(rows, p["atr_ratio_window"])
+        for pace in ("low", "mid", "high") if p["enable_adaptive_step"] else ("mid",):
+            rows = indicators.parabolic_sar(rows, p[f"psar_step_{pace}"], p["psar_max"], f"sar_{pace}")
+        return rows
+
+    @staticmethod
+    def chosen(p: dict, level) -> Column:
+        """level(pace) by the volatility of the bar: slow where it is low, fast where it is high."""
+        if not p["enable_adaptive_step"]:
+            return level("mid")
+        return F.when(F.col("atr_ratio") < p["atr_ratio_low"], level("low")).when(F.col("atr_ratio") > p["atr_ratio_high"], level("high")).otherwise(level("mid"))
+
+    @staticmethod
+    def gates(p: dict, up: bool) -> Column:
+        """Whether the bar before lets a turn pass; ADX, RSI, candle body and averages, as far as they are on."""
         w = series(["symbol"])
 
         def at(c: str, k: int = 1) -> Column:
             return F.lag(c, k).over(w)
 
-        def admitted(up: bool) -> Column:
-            above = lambda a, b: a > b if up else a < b
-            turned = (at("sar", 2) >= at("close", 2)) & (at("sar") < at("close")) if up else (at("sar", 2) <= at("close", 2)) & (at("sar") > at("close"))
-            if p["use_adx_filter"]:
-                turned = turned & (at("adx") >= p["adx_threshold"]) & above(at("plus_di"), at("minus_di"))
-                if p["use_adx_slope"]:
-                    turned = turned & (at("adx") > at("adx", 2))
-            if p["use_rsi_filter"]:
-                turned = turned & (at("rsi") > p["rsi_lower"]) & (at("rsi") < p["rsi_upper"])
-            if p["use_body_filter"]:
-                turned = turned & (at("atr") > 0) & (F.abs(at("close") - at("open")) <= at("atr") * p["body_atr_mult"])
-            if p["use_ma_filter"]:
-                ordered = at("_ma_fast") >= at("_ma_slow") if up else at("_ma_fast") <= at("_ma_slow")
-                turned = turned & above(at("close"), at("_ma_fast")) & ordered
-            return F.coalesce(turned, F.lit(False)) & (F.col("bar_idx") >= self.warm_up(p))
-
-        rows = rows.withColumn("_turn", F.when(admitted(True), 1.0).when(admitted(False), -1.0).otherwise(0.0))
+        passed = F.lit(True)
+        if p["enable_adx"]:
+            strong = at("plus_di") > at("minus_di") if up else at("minus_di") > at("plus_di")
+            passed = passed & (at("adx") >= p["adx_threshold"]) & strong
+            if p["require_adx_slope"]:
+                passed = passed & (at("adx") > at("adx", 2))
+        if p["enable_rsi"]:
+            passed = passed & (at("rsi") > p["rsi_lower"]) & (at("rsi") < p["rsi_upper"])
+        if p["enable_body"]:
+            passed = passed & (at("atr") > 0) & (F.abs(at("close") - at("open")) <= at("atr") * p["body_atr_mult"])
+        if p["enable_ma"]:
+            above = (at("close") > at("ma_fast")) & (at("ma_fast") >= at("ma_slow"))
+            below = (at("close") < at("ma_fast")) & (at("ma_fast") <= at("ma_slow"))
+            passed = passed & (above if up else below)
+        return passed
+
+    @staticmethod
+    def turn(sar_1: Column, sar_2: Column, up: bool) -> Column:
+        """Whether price crossed the stop level between the two bars before."""
+        w = series(["symbol"])
+        close_1, close_2 = F.lag("close", 1).over(w), F.lag("close", 2).over(w)
+        return (sar_2 >= close_2) & (sar_1 < close_1) if up else (sar_2 <= close_2) & (sar_1 > close_1)
+
+
+@registered
+class PsarAssistV3(Assist):
+    """Turns of the parabolic stop that the gates let pass, held until the next one."""
+
+    name = "psar_trade_assist_v3"
+    defaults = {"enable_adx": 1, "enable_rsi": 1, "enable_ma": 1, "enable_body": 1, **ASSIST_DEFAULTS}
+    axes = {**{k: SWITCH for k in ("enable_adx", "enable_rsi", "enable_ma", "enable_body")}, **ASSIST_AXES}
+
+    def one(self, bars, p):
+        rows, w = self.indicators(bars, p), series(["symbol"])
+        # both earlier levels are those of the pace that the present bar's volatility chooses
+        sar_1, sar_2 = (self.chosen(p, lambda pace, k=k: F.lag(f"sar_{pace}", k).over(w)) for k in (1, 2))
+        warm = F.col("bar_idx") >= self.warm_up(p)
+        passed = [F.coalesce(self.turn(sar_1, sar_2, up) & self.gates(p, up), F.lit(False)) & warm for up in (True, False)]
+        rows = rows.withColumn("_turn", F.when(passed[0], 1.0).when(passed[1], -1.0).otherwise(0.0))
         return rows.withColumn("signal", indicators.last_nonzero("_turn"))
 
 

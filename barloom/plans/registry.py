@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import columns, costs
 from barloom.operators import bars as bar_ops
 from barloom.operators import indicators as ind
-from barloom.operators import metrics, portfolio, search, stability, strategies, walkforward
+from barloom.operators import assist_v4, metrics, portfolio, search, stability, strategies, walkforward  # noqa: F401  assist_v4 registers itself
 from barloom.plans import oracles as sql
 from barloom.plans.oracles import BAR_ROW, HOURLY, W, over_bars, r, rows, smoothed, summed
 from barloom.sources import tables
@@ -389,7 +389,13 @@ def signal_combined(spark, sf_dir):
 
 @query()
 def signal_psar_v3(spark, sf_dir):
-    return _indexed(strategies.strategy("psar_trade_assist_v3").signals(_all(spark, sf_dir), [{"atr_ratio_window": 30, "adx_threshold": 10.0}]), "signal")
+    return _indexed(strategies.strategy("psar_trade_assist_v3").signals(_all(spark, sf_dir), [{"atr_ratio_window": 30, "adx_threshold": 10.0, "require_adx_slope": 0}]), "signal")
+
+
+@query()
+def signal_psar_v4(spark, sf_dir):
+    params = {"framework": "F2", "risk_mode": "aggressive", "atr_ratio_window": 30, "adx_threshold": 10.0, "require_adx_slope": 0}
+    return _indexed(strategies.strategy("psar_trade_assist_v4").signals(_all(spark, sf_dir), [params]), "signal")
 
 
 @query(over_bars(f"SELECT symbol, bar_idx, position, {r('fill_price', 'fill_price')}, {r('slippage_cash', 'slippage_cash')}, {r('commission_cash', 'commission_cash')}, {r('pnl', 'pnl')} FROM held", sql.SMA_SIGNAL, sql.held()))
