@@ -192,39 +192,52 @@ def log_return(column: str = "close", keys: list[str] = SYMBOL) -> Column:
     return F.when((before > 0) & (F.col(column) > 0), F.ln(column) - F.ln(before)).otherwise(0.0)
 
 
-def parabolic_sar(bars: DataFrame, step: float = 0.02, maximum: float = 0.2, out: str = "sar", keys: list[str] = SYMBOL) -> DataFrame:
-    """Stop-and-reverse levels; 0 for a series of one row.
+def _next_sar(state: tuple | None, row: tuple, step: float, maximum: float) -> tuple[tuple | None, float]:
+    """(state, level) after a bar; the state is direction, speed, extreme and level."""
+    high, low, close, following, l1, l2, h1, h2 = row
+    if state is None:
+        if following is None:
+            return (True, 0.0, 0.0, 0.0), 0.0
+        up = following > close
+        level = low if up else high
+        return (up, step, high if up else low, level), level
+    up, speed, extreme, level = state
+    level += speed * (extreme - level)
+    if up:
+        level = min(x for x in (level, l1, l2) if x is not None)
+        if level > low:
+            return (False, step, low, extreme), extreme
+        if high > extreme:
+            extreme, speed = high, min(speed + step, maximum)
+    else:
+        level = max(x for x in (level, h1, h2) if x is not None)
+        if level < high:
+            return (True, step, high, extreme), extreme
+        if low < extreme:
+            extreme, speed = low, min(speed + step, maximum)
+    return (up, speed, extreme, level), level
+
+
+def parabolic_sars(bars: DataFrame, steps: dict[str, float], maximum: float = 0.2, keys: list[str] = SYMBOL) -> DataFrame:
+    """Stop-and-reverse levels for each name and step of steps, in one pass; 0 for a series of one row.
 
     The level moves towards the extreme of the present direction, never past the last two bars; where price
     crosses it, the direction turns and the level starts at the extreme.
     """
     w = series(keys)
-    ready = bars.withColumns({"_next": F.lead("close").over(w), "_l1": F.lag("low", 1).over(w), "_l2": F.lag("low", 2).over(w), "_h1": F.lag("high", 1).over(w), "_h2": F.lag("high", 2).over(w)})
-
-    def move(state, row):
-        high, low, close, following, l1, l2, h1, h2 = row
-        if state is None:
-            if following is None:
-                return (True, 0.0, 0.0, 0.0), (0.0,)
-            up = following > close
-            return (up, step, high if up else low, low if up else high), ((low if up else high),)
-        up, speed, extreme, level = state
-        level += speed * (extreme - level)
-        if up:
-            level = min(x for x in (level, l1, l2) if x is not None)
-            if level > low:
-                return (False, step, low, extreme), (extreme,)
-            if high > extreme:
-                extreme, speed = high, min(speed + step, maximum)
-        else:
-            level = max(x for x in (level, h1, h2) if x is not None)
-            if level < high:
-                return (True, step, high, extreme), (extreme,)
-            if low < extreme:
-                extreme, speed = low, min(speed + step, maximum)
-        return (up, speed, extreme, level), (level,)
-
-    return fold(ready, keys, ["bar_idx"], ["high", "low", "close", "_next", "_l1", "_l2", "_h1", "_h2"], lambda: None, move, f"{out} double").drop("_next", "_l1", "_l2", "_h1", "_h2")
+    before = {"_next": F.lead("close").over(w), "_l1": F.lag("low", 1).over(w), "_l2": F.lag("low", 2).over(w), "_h1": F.lag("high", 1).over(w), "_h2": F.lag("high", 2).over(w)}
+    paces = list(steps.values())
+
+    def move(states, row):
+        moved = [_next_sar(s, row, step, maximum) for s, step in zip(states, paces, strict=True)]
+        return [m[0] for m in moved], tuple(m[1] for m in moved)
+
+    added = ", ".join(f"{name} double" for name in steps)
+    return fold(bars.withColumns(before), keys, ["bar_idx"], ["high", "low", "close", *before], lambda: [None] * len(paces), move, added).drop(*before)
+
+
+def parabolic_sar(bars: DataFrame, step: float = 0.02, maximum: float = 0.2, out: str = "sar", keys: list[str] = SYMBOL) -> DataFrame:
+    return parabolic_sars(bars, {out: step}, maximum, keys)
 
 
 class Registry:

@@ -189,9 +189,8 @@ class Assist(Strategy):
         rows = indicators.adx(indicators.rsi(rows, p["rsi_period"]), p["adx_period"])
         rows = linear(rows, {"ma_fast": indicators.ema_term("close", p["ma_fast"]), "ma_slow": indicators.ema_term("close", p["ma_slow"])}, ["symbol"])
         rows = indicators.atr_ratio(rows, p["atr_ratio_window"])
-        for pace in ("low", "mid", "high") if p["enable_adaptive_step"] else ("mid",):
-            rows = indicators.parabolic_sar(rows, p[f"psar_step_{pace}"], p["psar_max"], f"sar_{pace}")
-        return rows
+        paces = ("low", "mid", "high") if p["enable_adaptive_step"] else ("mid",)
+        return indicators.parabolic_sars(rows, {f"sar_{pace}": p[f"psar_step_{pace}"] for pace in paces}, p["psar_max"])
 
     @staticmethod
     def chosen(p: dict, level) -> Column:
