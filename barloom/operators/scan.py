@@ -22,34 +22,36 @@ _NEGLIGIBLE = 1e-18
 def linear(df: DataFrame, terms: dict[str, tuple[Column, Column | float]], keys: list[str], order: str = "bar_idx", slowest: float = 0.999) -> DataFrame:
     """df with, for each name: (u, r) of terms, y[t] = r * y[t-1] + u[t] by rows of `order` within keys, 0 <= r < 1.
 
-    The series is cut into blocks of BLOCK rows. Within a block, y comes from a running sum of u / r**k; from
-    block to block only its last value goes on, through a window over one row for each block. So long
-    series spread over tasks by blocks. r may be a column if it never exceeds `slowest`. A null u makes y
-    null from there on. `order` counts rows from 0 without gaps.
+    The series is cut into blocks of BLOCK rows. Within a block, y comes from a running sum of u / r**k, which
+    stays in range; the last values of the blocks before, as far back as they count, are folded for what the block starts with.
+    All of it is windows by keys: one exchange, no join, and none if df is dealt by keys already.
+    r may be a column if it never exceeds `slowest`. A null u makes y null from there on. `order` counts
+    rows from 0 without gaps.
     """
     kept = df.columns
     place = F.pmod(F.col(order), F.lit(BLOCK))
     rows = df.withColumn("_block", F.floor(F.col(order) / BLOCK).cast("long"))
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    by_block, so_far = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    given = {}
     for k, (u, r) in enumerate(terms.values()):
-        decay = r if isinstance(r, Column) else F.lit(float(r))
-        rows = rows.withColumn(f"_r{k}", decay).withColumn(f"_u{k}", u.cast("double"))
-        scaled = F.col(f"_u{k}") * F.pow(F.when(F.col(f"_r{k}") > 0, F.col(f"_r{k}")).otherwise(F.lit(1.0)), -place)
-        local = F.sum(scaled).over(inside) * F.pow(F.col(f"_r{k}"), place)
-        rows = rows.withColumn(f"_y{k}", F.when(F.col(f"_r{k}") > 0, local).otherwise(F.col(f"_u{k}")))
-        rows = rows.withColumn(f"_gap{k}", F.max(F.col(f"_u{k}").isNull()).over(inside))
-    names = range(len(terms))
-    ends = rows.groupBy(*keys, "_block").agg(*[F.max_by(f"_y{k}", order).alias(f"_e{k}") for k in names], *[F.max(f"_r{k}").alias(f"_d{k}") for k in names], *[F.max(f"_gap{k}").alias(f"_g{k}") for k in names])
-    reach = {k: _reach(r if not isinstance(r, Column) else slowest) for k, (_, r) in enumerate(terms.values())}
-    by_block = Window.partitionBy(*keys).orderBy("_block")
+        given |= {f"_r{k}": r if isinstance(r, Column) else F.lit(float(r)), f"_u{k}": u.cast("double")}
+    rows = rows.withColumns(given)
+    names, local, carried, out = range(len(terms)), {}, {}, {}
     for k in names:
-        before = F.collect_list(F.coalesce(f"_e{k}", F.lit(0.0))).over(by_block.rowsBetween(-reach[k], -1))
-        step = F.pow(F.col(f"_d{k}"), F.lit(BLOCK))
-        ends = ends.withColumn(f"_c{k}", F.aggregate(before, F.lit(0.0), _carried(step)))
-        ends = ends.withColumn(f"_h{k}", F.coalesce(F.max(f"_g{k}").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    joined = rows.join(ends.select(*keys, "_block", *[f"_c{k}" for k in names], *[f"_h{k}" for k in names]), [*keys, "_block"])
-    out = {name: F.when(~F.col(f"_gap{k}") & ~F.col(f"_h{k}"), F.col(f"_y{k}") + F.col(f"_c{k}") * F.pow(F.col(f"_r{k}"), place + 1)) for k, name in enumerate(terms)}
-    return joined.withColumns(out).select(*[c for c in kept if c not in terms], *terms)
+        r, u = F.col(f"_r{k}"), F.col(f"_u{k}")
+        scaled = F.sum(u * F.pow(F.when(r > 0, r).otherwise(F.lit(1.0)), -place)).over(inside)
+        local |= {f"_y{k}": F.when(r > 0, scaled * F.pow(r, place)).otherwise(u), f"_gap{k}": F.max(u.isNull()).over(so_far)}
+    rows = rows.withColumns(local)
+    for k, (_, r) in enumerate(terms.values()):
+        ends = F.when(place == BLOCK - 1, F.coalesce(F.col(f"_y{k}"), F.lit(0.0)))
+        carried[f"_before{k}"] = F.collect_list(ends).over(by_block.rangeBetween(-_reach(slowest if isinstance(r, Column) else r), -1))
+    rows = rows.withColumns(carried)
+    for k, name in enumerate(terms):
+        r = F.col(f"_r{k}")
+        start = F.aggregate(F.col(f"_before{k}"), F.lit(0.0), _carried(F.pow(r, F.lit(BLOCK))))
+        out[name] = F.when(~F.col(f"_gap{k}"), F.col(f"_y{k}") + start * F.pow(r, place + 1))
+    return rows.withColumns(out).select(*[c for c in kept if c not in terms], *terms)
 
 
 def _carried(step: Column) -> Callable[[Column, Column], Column]:
