@@ -123,4 +123,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op4_revisits": captures.SQL}
+ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op4_revisits": captures.SQL, "op8_secrets": secret_scan.SQL}

@@ -14,10 +14,10 @@ RULES_VERSION = 1
 BASE = ["assign", "access", "hex"]
 #: Fixed formats of well-known credentials that the method adds.
 ADDED = {
-    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "pem": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
-    "forge": r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}",
-    "chat": r"(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{10,}",
+    "forge": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "chat": r"xox[abprs]-[A-Za-z0-9-]{10,}",
 }
 KINDS = [*BASE, *ADDED]
 _NAME = "(?i:password|passwd|secret|token|api_?key)"
@@ -67,3 +67,26 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules_version: in
     hits = full.where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).select("blob", "spans")
     back = paths.join(hits, "blob", "left")
     return back.select("path", "blob", F.coalesce("spans", F.array().cast(f"array<{spans.SPAN}>")).alias("spans")), full
+
+
+def _sql() -> str:
+    """The rows of the query over documents in DuckDB SQL: places from interleaving matches and what is between."""
+    patterns = {"assign": _ASSIGN, "access": _ACCESS, "hex": _HEX, **ADDED}
+    quoted = {k: p.replace("'", "''") for k, p in patterns.items()}
+    parts = []
+    for rank, (kind, p) in enumerate(quoted.items()):
+        keep = f"len(regexp_extract(hit, '{p}', 1)) >= 6" if kind == "assign" else "true"
+        parts.append(
+            f"SELECT id, {rank} AS rank, '{kind}' AS kind, start, start + length(hit) AS stop FROM (SELECT id, hit, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS start "
+            f"FROM (SELECT id, hits, gaps, unnest(hits) AS hit, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT id, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM t WHERE regexp_matches(text, '{p}')))) WHERE {keep}"
+        )
+    counts = ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS n_{k}" for k in BASE)
+    text = "kind || ':' || start || ':' || stop, ',' ORDER BY start, rank"
+    return (
+        "WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents), found AS (" + " UNION ALL ".join(parts) + "), "
+        f"per AS (SELECT id, {counts}, string_agg({text}) AS spans, string_agg({text}) FILTER (WHERE rank < {len(BASE)}) AS base FROM found GROUP BY id) "
+        f"SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN per USING (id)"
+    )
+
+
+SQL = _sql()
