@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Texts of these characters alone are cut into pieces here; what tokenizers would change or cut otherwise is left to it.
 _PLAIN = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Pieces whose ids a worker keeps: twice so many at most.
 _MEMO_PIECES = 350_000
@@ -28,6 +30,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
@@ -41,18 +44,18 @@ class Encoder:
         if len(self.young) > _MEMO_PIECES:
             self.young, self.old = {}, self.young
         new = []
-        for piece in {p for pieces in cut if pieces for p in pieces}.difference(self.young):
+        for piece in set(chain.from_iterable(filter(None, cut))).difference(self.young):
             if piece in self.old:
                 self.young[piece] = self.old[piece]
             else:
                 new.append(piece)
-        for first in range(0, len(new), 256):
-            self._learn(new[first : first + 256])
+        parts = [new[first : first + 256] for first in range(0, len(new), 256)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            self._learn(part, np.array(found.ids, "<u4"))
         ids = self.young.__getitem__
         return [self._whole(t) if pieces is None else b"".join(map(ids, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+    def _learn(self, pieces: list[str], ids: np.ndarray) -> None:
         after = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(after) != len(pieces):
             self.young.update((p, self._whole(p)) for p in pieces)
