@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
@@ -31,6 +35,33 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that go to Python at once: with Spark's usual 10,000, long texts fill memory on both sides.
+BATCH_ROWS = 1000
+
+
+def to_python(df: DataFrame, run: Batches, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH_ROWS, unless the session has its own number of rows.
+
+    At its end a task gives free memory back to the system: Python workers live on between tasks.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory that Arrow and the C library keep for later."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +75,7 @@ def fold_of(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % n
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with about most_bytes of text: (rows, bytes of all texts, offsets).
 
     A null text counts as empty. A longer single text makes a part of its own.
@@ -88,6 +119,3 @@ def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
         return pa.table({**{k: rows.column(k).slice(0, 1) for k in keys}, "cells": pa.array([total.tobytes()], pa.binary())})
 
     return parts.groupBy(*keys).applyInArrow(add, parts.select(*keys, "cells").schema)
-
-
-Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

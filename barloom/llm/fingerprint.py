@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import partitions
+from barloom.llm.common import partitions, to_python
 from barloom.llm.textkernel import U, mix, shingles
 
 BINS = 512
@@ -102,10 +102,18 @@ def with_next(docs: DataFrame) -> DataFrame:
 
         return pd.Series(len(cuts) - np.searchsorted(cuts, ids.to_numpy(), side="right"))
 
-    firsts = sorted(rows.select("key", part("key").alias("part")).groupBy("part").agg(F.max("key")).collect())
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    border = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("key")] if before else F.lit(None).cast("long")
-    places = F.array(F.struct(part("key").alias("part"), F.lit(0).alias("border")), F.struct(border.alias("part"), F.lit(1).alias("border")))
+    found = sorted(rows.select("key", part("key").alias("part")).groupBy("part").agg(F.max("key")).collect())
+    before = sorted((first, found[k - 1][0]) for k, (_, first) in enumerate(found))
+    firsts, ranges = np.array([b[0] for b in before], np.int64), np.array([b[1] for b in before], np.int64)
+
+    @F.pandas_udf("long")
+    def border(ids):
+        import pandas as pd
+
+        at = np.minimum(np.searchsorted(firsts, ids.to_numpy()), len(firsts) - 1)
+        return pd.Series(ranges[at]).astype("Int64").where(pd.Series(firsts[at] == ids.to_numpy()), pd.NA)
+
+    places = F.array(F.struct(part("key").alias("part"), F.lit(0).alias("border")), F.struct(border("key").alias("part"), F.lit(1).alias("border")))
     dealt = rows.withColumn("place", F.explode(places)).select("doc_id", "text", "key", "place.part", "place.border").where("part is not null")
     return dealt.repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions("border", F.desc("key"), "text").drop("part", "key")
 
@@ -146,4 +154,4 @@ def compare(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     schema = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return to_python(with_next(docs.select("doc_id", "text")), run, schema)

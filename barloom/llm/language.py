@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from barloom.llm.common import summed
+from barloom.llm.common import summed, to_python
 from barloom.llm.textkernel import U, mix
 
 BUCKETS = 1 << 15
@@ -122,7 +122,7 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["lang", "block", "cells"])
 
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
-    parts = rows.coalesce(COUNTING_TASKS).mapInArrow(count, "lang string, block int, cells binary")
+    parts = to_python(rows.coalesce(COUNTING_TASKS), count, "lang string, block int, cells binary")
     found: dict[str, np.ndarray] = {}
     for lang, block, cells in summed(parts, ["lang", "block"]).collect():
         found.setdefault(lang, np.zeros(BUCKETS + _BLOCK))[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(cells)
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             made = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return to_python(docs.select(*kept), run, schema)
 
 
 def train_and_identify(docs: DataFrame, learn: Column) -> DataFrame:

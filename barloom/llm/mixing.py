@@ -62,7 +62,8 @@ def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] =
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: each row of docs as often as with_copies() says, with the columns of docs."""
-    counted = with_copies(docs, **options).where("mix_copies > 0")
+    """The mixed documents: each row of docs as often as with_copies() says, with the columns of docs, whatever their names."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    counted = with_copies(rows, **options).where("mix_copies > 0")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
-    return counted.withColumn("mix_copy", copy).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return counted.select("row", copy.alias("mix_copy")).select("row.*")

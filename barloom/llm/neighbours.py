@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.common import to_python
+
 SHARD_ROWS = 4096
 LEAF_ROWS = 128
 #: Vectors, at most, that give every query its first bound on the distance of its k-th neighbour.
@@ -149,7 +151,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 0.9,
                     bound[rows] = np.partition(far, k - 1, axis=1)[:, k - 1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], ["vec_id", "embedding", "bound"])
 
-    asked = usable.where("is_query").select("vec_id", "embedding").mapInArrow(bounded, "vec_id long, embedding array<double>, bound double")
+    asked = to_python(usable.where("is_query").select("vec_id", "embedding"), bounded, "vec_id long, embedding array<double>, bound double")
     to_all = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("part"), "vec_id", "embedding", "bound")
     held = usable.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("part"), "vec_id", "embedding", F.lit(0.0).alias("bound"))
 
@@ -188,6 +190,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 0.9,
                 out[2].extend(-s for s, _ in pairs)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    found = held.unionByName(to_all).repartitionById(shards, F.col("shard")).sortWithinPartitions("part").mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = to_python(held.unionByName(to_all).repartitionById(shards, F.col("shard")).sortWithinPartitions("part"), run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

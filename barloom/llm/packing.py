@@ -13,12 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import to_python
+
 #: Texts of these characters alone are cut into pieces here; what tokenizers would change or cut otherwise is left to it.
 _PLAIN = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
 _PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Pieces whose ids a worker keeps: twice so many at most.
-_MEMO_PIECES = 350_000
+_MEMO_PIECES = 200_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -203,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, e
         packer.settle()
         yield from rows(1)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+    return to_python(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settled, slices, summed
+from barloom.llm.common import settled, slices, summed, to_python
 from barloom.llm.textkernel import counts, mix, runs, span_hashes, words
 
 TERMS = 1 << 14
@@ -130,7 +130,8 @@ def _context_sums(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(TERMS // _BLOCK), pa.int32()), pa.array([total[b : b + _BLOCK].tobytes() for b in range(0, TERMS, _BLOCK)], pa.binary())], ["block", "cells"])
 
     out = np.zeros((TERMS, WIDTH))
-    for block, cells in summed(texts.coalesce(SUMMING_TASKS).mapInArrow(run, "block int, cells binary"), ["block"]).collect():
+    parts = to_python(texts.coalesce(SUMMING_TASKS), run, "block int, cells binary")
+    for block, cells in summed(parts, ["block"]).collect():
         out[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(cells).reshape(-1, WIDTH)
     return out
 
@@ -187,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             cells = pooled(shared.value, data, offsets)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([c.tobytes() for c in cells], pa.binary())], ["doc_id", "quality", "cells"])
 
-    found = sample.mapInArrow(run, "doc_id long, quality int, cells binary").orderBy("doc_id", "cells").collect()
+    found = to_python(sample, run, "doc_id long, quality int, cells binary").orderBy("doc_id", "cells").collect()
     y = np.array([r.quality for r in found], np.float64)
     x = np.stack([np.frombuffer(r.cells, np.float32) for r in found]) if found else np.zeros((0, 2 * WIDTH + 3), np.float32)
     shift = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
@@ -218,4 +219,4 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             score = shared.value.score(shared.value.features(data, offsets))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], [*rows.schema.names, "score", "predicted"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return to_python(docs.select(*kept), run, schema)

@@ -20,7 +20,7 @@ LONG = " ".join(f"w{k % 977}x{k}" for k in range(30_000))
 def documents(spark, rows):
     """Rows (doc_id, text) with further columns, some named as the operators' own."""
     full = [(i, t, "en", f"s{k % 3}" if k % 4 else None, k, "x", k) for k, (i, t) in enumerate(rows)]
-    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, keys string, `class` int").repartition(3)
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, keys string, `class` int").withColumns({"mix_size": F.lit("m"), "dropped": F.lit(1), "repeated": F.lit(2)}).repartition(3)
 
 
 def edge_rows():
@@ -137,6 +137,7 @@ def test_mix_follows_targets(spark):
     for source, (_, target) in per.items():
         assert abs(sum(r["mix_copies"] * r["mix_size"] for r in out if r["source"] == source) - target) < 0.1 * target
     mixed = mixing.mix(docs)
+    assert {r["mix_size"] for r in mixed.collect()} == {"m"}
     assert mixed.columns == docs.columns and mixed.count() == sum(r["mix_copies"] for r in out) == mixing.mix(docs).count()
     assert mixing.mix(docs.limit(0)).count() == 0
 
