@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,58 +13,135 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import to_python
+from barloom.llm.textkernel import U, span_hashes
 
 #: Texts of these characters alone are cut into pieces here; what tokenizers would change or cut otherwise is left to it.
 _PLAIN = re.compile("[\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
-_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Kinds of bytes of such texts: 0 white space, 1 letters, 2 digits, 3 other marks.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, *range(9, 14)]] = 0
+_KIND[97:123] = _KIND[65:91] = _KIND[128:] = 1
+_KIND[48:58] = 2
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Pieces whose ids a worker keeps: twice so many at most.
-_MEMO_PIECES = 200_000
+#: Pieces whose ids a worker keeps, at most; then it starts anew.
+_MOST_PIECES = 1_500_000
+_RECENT_PIECES = 30_000
 _encoders: dict[str, Encoder] = {}
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of plain lower-case texts: runs of letters, single digits, runs of other
+    marks; an apostrophe by itself takes s, t, m, d, re, ve or ll from what follows."""
+    kind = np.zeros(len(data) + 3, np.uint8)
+    kind[:-3] = _KIND[data]
+    change = np.ones(len(data) + 3, bool)
+    np.not_equal(kind[1:], kind[:-1], out=change[1:])
+    change |= kind == 2
+    change[offsets] = True
+    mark = np.flatnonzero((data == 39) & change[: len(data)])
+    mark = mark[(kind[mark + 1] == 1) & ~np.isin(mark + 1, offsets)]
+    if len(mark):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        first, second = padded[mark + 1], np.where(change[mark + 2], 0, padded[mark + 2])
+        pair = ((first == 114) & (second == 101)) | ((first == 118) & (second == 101)) | ((first == 108) & (second == 108))
+        for taken, n in ((np.isin(first, (115, 116, 109, 100)), 2), (pair, 3)):
+            change[mark[taken] + 1] = False
+            change[mark[taken] + n] = True
+    at = np.flatnonzero(change[: len(data) + 1])
+    inside = kind[at[:-1]] != 0
+    return at[:-1][inside], at[1:][inside]
+
+
+class Known:
+    """Token ids of pieces by their hashes, in sorted arrays."""
+
+    def __init__(self) -> None:
+        self.keys, self.begin, self.count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether each is here)"""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        """keys: sorted, none of them here."""
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    For a tokenizer that lower-cases, then cuts by _PIECE and encodes each piece by itself, so ids are
-    kept by piece and new pieces are encoded together. Two generations of pieces bound the memory.
+    For a tokenizer that lower-cases, cuts as pieces() does and encodes each piece by itself (one whose vocabulary marks
+    ends of words). The ids of pieces are kept by 64-bit hash and looked up for all pieces of many texts at
+    once; new pieces are encoded together. Other tokenizers, and texts that aren't plain, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id ends a piece
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-        self.by_piece = bool(self.ends.any())  # other tokenizers get whole texts
+        self.by_piece = bool(self.ends.any())
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self.main, self.recent, self.pool, self.used = Known(), Known(), np.zeros(1 << 16, "<u4"), 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECE.findall(t.lower()) if self.by_piece and "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.young) > _MEMO_PIECES:
-            self.young, self.old = {}, self.young
-        new = []
-        for piece in set(chain.from_iterable(filter(None, cut))).difference(self.young):
-            if piece in self.old:
-                self.young[piece] = self.old[piece]
-            else:
-                new.append(piece)
-        parts = [new[first : first + 256] for first in range(0, len(new), 256)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            self._learn(part, np.array(found.ids, "<u4"))
-        ids = self.young.__getitem__
-        return [self._whole(t) if pieces is None else b"".join(map(ids, pieces)) for t, pieces in zip(texts, cut, strict=True)]
-
-    def _learn(self, pieces: list[str], ids: np.ndarray) -> None:
-        after = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(after) != len(pieces):
-            self.young.update((p, self._whole(p)) for p in pieces)
-            return
-        data, start = ids.tobytes(), 0
-        for piece, end in zip(pieces, after.tolist(), strict=True):
-            self.young[piece] = data[start:end]
-            start = end
+        plain = [self.by_piece and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
+        coded = [t.lower().encode() if p else b"" for t, p in zip(texts, plain, strict=True)]
+        offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        starts, ends = pieces(data, offsets)
+        ids, lengths = self._ids(data, starts, ends)
+        after = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets)] * 4
+        flat = ids.tobytes()
+        return [flat[a:b] if p else self._whole(t) for t, p, a, b in zip(texts, plain, after[:-1].tolist(), after[1:].tolist(), strict=True)]
+
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, how many each has)"""
+        keys = span_hashes(data, starts, ends, fold_case=False)
+        at, here = self.main.find(keys)
+        rest = np.flatnonzero(~here)
+        late, there = self.recent.find(keys[rest])
+        new = rest[~there]
+        if len(new):
+            own, first = np.unique(keys[new], return_index=True)
+            self._learn(own, [data[starts[k] : ends[k]].tobytes().decode() for k in new[first]])
+            late, _ = self.recent.find(keys[rest])
+        begin, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        begin[here], count[here] = self.main.begin[at[here]], self.main.count[at[here]]
+        if len(rest):
+            begin[rest], count[rest] = self.recent.begin[late], self.recent.count[late]
+        total = np.cumsum(count)
+        ids = self.pool[np.repeat(begin - total + count, count) + np.arange(total[-1] if len(total) else 0)]
+        if len(self.recent.keys) > _RECENT_PIECES:
+            self.main.add(self.recent.keys, self.recent.begin, self.recent.count)
+            self.recent = Known()
+            if len(self.main.keys) > _MOST_PIECES:
+                self._start_anew()
+        return ids, count
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        parts = [texts[k : k + 256] for k in range(0, len(texts), 256)]
+        found = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)]
+        for k, part in enumerate(parts):
+            if int(self.ends[found[k]].sum()) != len(part) or not self.ends[found[k][-1]]:
+                raise ValueError("this tokenizer cuts words otherwise")
+        ids = np.concatenate(found)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        begin = np.concatenate([[0], stop[:-1]])
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.recent.add(keys, begin + self.used, stop - begin)
+        self.used += len(ids)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
