@@ -29,11 +29,6 @@ def sign_of(x: Column) -> Column:
     return F.signum(clipped(x))
 
 
-def ratio(top: Column, bottom: Column, otherwise: float | None = None) -> Column:
-    """top / bottom, `otherwise` where bottom is 0."""
-    return F.when(bottom != 0, top / F.when(bottom != 0, bottom)).otherwise(F.lit(otherwise).cast("double"))
-
-
 def day_id(ts: Column) -> Column:
     """Days since 1970-01-01 UTC."""
     return F.unix_date(F.to_date(ts))

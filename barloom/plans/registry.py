@@ -300,10 +300,10 @@ def market_returns(spark, sf_dir):
     return metrics.market_returns(_all(spark, sf_dir)).select(F.col("bar_idx").cast("int").alias("bar_idx"), "market")
 
 
-@query("SELECT event_id, (epoch(date_trunc('day', ts))::BIGINT // 86400)::INTEGER AS day_id, (epoch(date_trunc('day', ts))::BIGINT // 604800)::INTEGER AS week_id, hour(ts)::INTEGER AS utc_hour, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, floor(greatest(-1, least(1, value / 100)) * 1000000 + 0.5) / 1000000 AS clipped FROM events")
+@query("SELECT event_id, (epoch(date_trunc('day', ts))::BIGINT // 86400)::INTEGER AS day_id, (epoch(date_trunc('day', ts))::BIGINT // 604800)::INTEGER AS week_id, hour(ts)::INTEGER AS utc_hour, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, floor(greatest(-1, least(1, value / 100)) * 1000000 + 0.5) / 1000000 AS clipped, sign(value - 50)::DOUBLE AS side FROM events")
 def calendar_functions(spark, sf_dir):
     ts = F.col("ts").cast("timestamp")
-    return tables.table(spark, sf_dir, "events").select("event_id", columns.day_id(ts).alias("day_id"), columns.week_id(ts).alias("week_id"), F.hour(ts).alias("utc_hour"), columns.iso_text(ts).alias("iso"), columns.clipped(F.col("value") / 100).alias("clipped"))
+    return tables.table(spark, sf_dir, "events").select("event_id", columns.day_id(ts).alias("day_id"), columns.week_id(ts).alias("week_id"), F.hour(ts).alias("utc_hour"), columns.iso_text(ts).alias("iso"), columns.clipped(F.col("value") / 100).alias("clipped"), columns.sign_of(F.col("value") - 50).alias("side"))
 
 
 # Costs
