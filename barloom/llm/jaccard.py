@@ -9,7 +9,7 @@ equal XORs in both. Pairs are looked for where a block's XOR is equal, and then
 
 Bands grow by 4/3, so partners are in the same band or the next; each set sends its blocks for both pairs of
 bands it is part of. Blocks are SLOTS for each of these: large sets send the first SLOTS of their D + 1 blocks,
-small ones repeat the cut with other hashes until SLOTS are full. At the similarity of 0.75 a block is the same
+small ones repeat the cut with other hashes, the last as far as needed, until SLOTS are full. At the similarity of 0.75 a block is the same
 and not empty with a probability of 0.38 or more, so a pair that should be linked is missed
 with a probability of at most 0.62 ** SLOTS, about 1e-10; above it, less.
 """
@@ -32,8 +32,9 @@ SLOTS = 48
 SKETCH_BITS = 1024
 #: Classes in one block's group up to which all its pairs of different components are listed.
 SMALL_GROUP = 48
-#: Blocks in larger groups that a class may have, of SLOTS, for its links to be found without those.
-FEW = 12
+#: Blocks in larger groups that a class may have to be left out of their comparison. Without effect: none is left
+#: out, for what near copies share outside large groups is no measure of what they share in all.
+FEW = 0
 _CELL = 4096
 #: Candidate rows up to which their ids go to all executors.
 BROADCAST_IDS = 500_000
@@ -69,7 +70,7 @@ def block_keys(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     keys, sides = [], []
     for lower in (band, band - 1):  # the pair of bands (lower, lower + 1)
         blocks = np.where((lower >= 0) & (n > 0), 2 * (_ENDS[np.maximum(lower, 0) + 2] - 1) // 7 + 1, 1)
-        repeats = np.where(blocks > 1, np.maximum(1, SLOTS // blocks), 0)
+        repeats = np.where(blocks > 1, -(-SLOTS // blocks), 0)
         xors = np.zeros(len(n) * SLOTS, U)
         for k in range(int(repeats.max(initial=0))):
             use = (repeats > k)[owner]
@@ -77,8 +78,9 @@ def block_keys(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
             value = mix(token ^ mix(lower[own].astype(U) * U(64) + U(k)))
             block = ((value >> U(32)) * blocks[own].astype(U)) >> U(32)
             block = block.astype(np.int64)
-            near = block < SLOTS
-            slot = own[near] * SLOTS + k * blocks[own[near]] + block[near]
+            place = k * blocks[own] + block
+            near = place < SLOTS
+            slot = own[near] * SLOTS + place[near]
             np.bitwise_xor.at(xors, slot, mix(value[near] + U(k)))
         place = np.tile(np.arange(SLOTS, dtype=U), len(n)) + np.repeat((lower + 2).astype(U) * U(64), SLOTS)
         filled = np.flatnonzero(xors)
@@ -165,7 +167,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), U).reshape(len(c), -1) for c in batch.columns[3:])
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), U).reshape(len(c), SKETCH_BITS // 64) for c in batch.columns[3:])
             near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * 7 <= batch.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], ["a", "b"])
 
@@ -183,7 +185,7 @@ def _near(n: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
 def _columns(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """class, component, n_shingles, sketch"""
     plain = [rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy() for c in ("class", "component", "n_shingles")]
-    return *plain, np.frombuffer(b"".join(rows.column(rows.schema.get_field_index("sketch")).to_pylist()), U).reshape(len(plain[0]), -1)
+    return *plain, np.frombuffer(b"".join(rows.column(rows.schema.get_field_index("sketch")).to_pylist()), U).reshape(len(plain[0]), SKETCH_BITS // 64)
 
 
 def _within_small(members: DataFrame) -> DataFrame:
@@ -251,8 +253,7 @@ def links_between_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     First each class is compared with one class of each of its blocks' groups, the one whose blocks have the most
     members in all: the original of many altered copies shares more blocks than any copy. What these links
     leave in different components is compared wherever it shares a block, as far as sizes and sketches
-    allow: all pairs in small groups; in larger groups only pairs of classes of which both have more than FEW
-    blocks in such groups, for the others' links all show in small groups.
+    allow: small groups as they stream by, larger ones in cells.
     """
     classes = rows.where("size(keys) > 0").select("class", "n_shingles", "sketch", "keys").dropDuplicates(["class"])
     blocks = classes.select("class", F.explode("keys").alias("key"))
@@ -272,9 +273,7 @@ def links_between_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     open_ = settled(labelled.join(mixed, "key", "left_semi").select("key", "class", "size", "component"), "jaccard-open")
     described = known.select("class", "n_shingles", "sketch")
     small = open_.where(F.col("size") <= SMALL_GROUP).join(described, "class")
-    side = F.col("key").bitwiseAND(F.lit(1))
-    crowded = members.where(F.col("size") > SMALL_GROUP).groupBy("class", side.alias("side")).agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("class", "side")
-    large = settled(open_.where(F.col("size") > SMALL_GROUP).withColumn("side", side).join(crowded, ["class", "side"], "left_semi").join(described, "class"), "jaccard-large")
+    large = settled(open_.where(F.col("size") > SMALL_GROUP).join(described, "class"), "jaccard-large")
     more = _once(_within_small(small).unionByName(_within_large(large))).join(tried, ["a", "b"], "left_anti")
     return links.unionByName(_verified(settled(more, "jaccard-more"), sets))
 

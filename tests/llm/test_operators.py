@@ -86,6 +86,31 @@ def test_large_groups_need_no_small_ones(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows))
 
 
+def templated(pairs=120, template=56, seed=3):
+    """Pairs of near copies just above 0.75, of 64 and 68 shingles (on both sides of an end of bands), that all share a template."""
+    draw = random.Random(seed)
+    hot, rows = [f"hot{k}" for k in range(template)], []
+    for k in range(pairs):
+        fresh = [f"p{k}w{draw.randrange(10**9)}" for _ in range(23)]
+        rows += [(2 * k, " ".join(hot + fresh[:12])), (2 * k + 1, " ".join(hot + fresh[:5] + fresh[12:]))]
+    return rows
+
+
+def test_templated_near_copies_meet(spark):
+    rows = templated()
+    assert len(rows) > jaccard.SMALL_GROUP
+    out = jaccard.join(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows))
+
+
+def test_all_slots_are_filled():
+    """Sets of any size but the smallest fill nearly all of SLOTS for each pair of bands they are in."""
+    for n in (40, 60, 80, 100, 120):
+        tokens = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = jaccard.block_keys(tokens, np.array([0, n]))[0]
+        assert len(keys) > 0.75 * 2 * jaccard.SLOTS, n
+
+
 def test_one_of_each_group_stays(spark):
     rows = edge_rows()
     kept = jaccard.keep_one(documents(spark, rows))
