@@ -15,7 +15,7 @@ SHARD_ROWS = 4096
 LEAF_ROWS = 128
 #: Vectors, at most, that give every query its first bound on the distance of its k-th neighbour.
 SAMPLE_ROWS = 2048
-_SLACK = 1e-9  # distances are compared as if they were exact to so much
+_SLACK = 1e-7  # distances are compared as if they were exact to so much: chord() rounds by 1.5e-8 near zero
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -83,6 +83,11 @@ class Tree:
             members = self.nodes[node][0]
             far = np.concatenate([self._far[who], chord(self._q[who] @ self.units[members].T)], axis=1)
             at = np.concatenate([self._at[who], np.broadcast_to(members, (len(who), len(members)))], axis=1)
+            # all that tie with the (k + 1)-th stay
+            tied = int((far <= np.partition(far, self.k, axis=1)[:, [self.k]] + _SLACK).sum(axis=1, where=np.isfinite(far)).max())
+            if tied > self._far.shape[1]:
+                more = ((0, 0), (0, tied - self._far.shape[1]))
+                self._far, self._at = np.pad(self._far, more, constant_values=np.inf), np.pad(self._at, more, constant_values=-1)
             best = np.argpartition(far, self._far.shape[1] - 1, axis=1)[:, : self._far.shape[1]]
             self._far[who], self._at[who] = np.take_along_axis(far, best, 1), np.take_along_axis(at, best, 1)
             # the query itself may be one of those found, so the bound is the (k + 1)-th

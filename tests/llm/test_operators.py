@@ -292,6 +292,19 @@ def test_neighbours_equal_brute_force_at_factor_one(spark, shape):
     assert neighbours.search(vectors(spark, rows).limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ties_of_scaled_vectors_stay():
+    """At the factor of production, of many vectors of one cosine the smallest ids are found."""
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(8, 16))
+    rows = np.concatenate([base * 2.0**k for k in range(40)])
+    ids = draw.permutation(len(rows))
+    tree = neighbours.Tree(ids, rows, 5)
+    for k in range(8):
+        found = tree.search(neighbours.unit(base[[k]]), np.array([np.inf]), 0.9)[0]
+        got = sorted(int(v) for f in found for v in tree.ids[f] if neighbours.cosines(tree.rows[[f]], base[[k]])[0] > 1 - 1e-12)
+        assert got[:5] == sorted(ids[k::8].tolist())[:5]
+
+
 def test_neighbours_recall(spark):
     rows = [(r["vec_id"], r["embedding"], "") for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     want, out = brute_neighbours(rows), queries.op6_neighbours(spark, "/root/testdata/sf0.1").collect()
