@@ -3,16 +3,17 @@
 A batch is the bytes of all its texts in a row and the offsets at which they begin. A word is
 a run of bytes other than 0x20 and 0x09-0x0D. The hash of a word is a polynomial over the
 bytes modulo 2**64 (from prefix sums, so every word costs a difference and a product), mixed
-afterwards.
+afterwards. Long texts are worked through in parts, so that what is held beside the words is small.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,13 +41,19 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n + 1:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n + 1, base, U)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+#: Bytes, or words, that are worked on at once.
+PART = 1 << 18
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _BASE and of its inverse from 0 to PART."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(PART + 1, base, U)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +74,28 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; A-Z count as a-z if fold_case."""
-    if not len(starts):
-        return np.zeros(0, U)
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((_FOLDED if fold_case else _RAW)[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    """A 64-bit hash of each span of bytes; A-Z count as a-z if fold_case. Spans are in order and apart."""
+    values, (up, down) = _FOLDED if fold_case else _RAW, _powers()
+    out = np.zeros(len(starts), U)
+    first = 0
+    while first < len(starts):
+        low = int(starts[first])
+        last = int(np.searchsorted(ends, low + PART, side="right"))
+        if last == first:  # a span longer than PART
+            whole = 0
+            for k, at in enumerate(range(low, int(ends[first]), PART)):
+                part = values[data[at : min(at + PART, int(ends[first]))]]
+                whole += int((part * up[: len(part)]).sum(dtype=U)) * pow(_BASE, k * PART, 1 << 64)
+            out[first] = whole % (1 << 64)
+            last += 1
+        else:
+            part = values[data[low : int(ends[last - 1])]]
+            total = np.zeros(len(part) + 1, U)
+            np.cumsum(part * up[: len(part)], out=total[1:])
+            own = starts[first:last] - low
+            out[first:last] = (total[ends[first:last] - low] - total[own]) * down[own]
+        first = last
+    return mix(out + (ends - starts).astype(U))
 
 
 def counts(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -91,13 +113,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
     per = counts(offsets, starts)
     have = np.where(per >= size, per - size + 1, np.minimum(per, 1))
     out_at = np.concatenate([[0], np.cumsum(have)])
-    first_word = np.concatenate([[0], np.cumsum(per)])[:-1]
-    begin = np.arange(out_at[-1]) - np.repeat(out_at[:-1] - first_word, have)
-    length = np.repeat(np.minimum(per, size), have)
-    out = length.astype(U)
-    for k in range(size):
-        inside = begin + k
-        part = (word[np.minimum(inside, len(word) - 1)] if len(word) else word) * _SHIFTS[k % 5] + U(k)
-        part ^= part >> U(29)
-        out += np.where(length > k, part, U(0)) * U(_BASE + 2 * k)
-    return mix(out), out_at
+    skipped = np.concatenate([[0], np.cumsum(per)])[:-1] - out_at[:-1]  # words before a text that begin no shingle
+    out = np.zeros(out_at[-1], U)
+    for low in range(0, len(out), PART):
+        place = np.arange(low, min(low + PART, len(out)))
+        text = np.searchsorted(out_at, place, side="right") - 1
+        begin, length = place + skipped[text], np.minimum(per[text], size)
+        some = length.astype(U)
+        for k in range(size):
+            inside = np.minimum(begin + k, len(word) - 1)
+            part = word[inside] * _SHIFTS[k % 5] + U(k)
+            part ^= part >> U(29)
+            some += np.where(length > k, part, U(0)) * U(_BASE + 2 * k)
+        out[low : low + len(place)] = mix(some)
+    return out, out_at
