@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,13 @@ Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in local tests, a new temporary folder is made and set.
+    Where that is unset and driver and executors are one process (a local master, as in tests), a new temporary
+    folder is made and set; on a cluster, ValueError.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="barloom-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,6 +39,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the folder of a settled frame that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of text that go to Python at once: with Spark's usual 10,000, long texts fill memory on both sides.
 BATCH_ROWS = 1000
 
@@ -42,7 +54,8 @@ BATCH_ROWS = 1000
 def to_python(df: DataFrame, run: Batches, schema) -> DataFrame:
     """df.mapInArrow(run, schema) in batches of BATCH_ROWS, unless the session has its own number of rows.
 
-    At its end a task gives free memory back to the system: Python workers live on between tasks.
+    Frames are evaluated when the caller uses them, so the setting stays for the session. At its end a task gives free
+    memory back to the system: Python workers live on between tasks.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(name) == "10000":
@@ -66,6 +79,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of identifiers up to which small() sends a table to all executors.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, broadcast in joins if a count finds at most `rows` rows; beyond it, joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settled
+from barloom.llm.common import forget, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,14 +18,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = settled(_halves(links.select("a", "b")), "links")
     before = _state(edges)
+    earlier: DataFrame | None = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
         wide = _halves(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")))
         down = wide.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("least"))
         near = wide.join(down, wide["b"] == down["u"])
-        edges = settled(_halves(near.select(F.col("a"), F.col("least").alias("b")).unionByName(near.select(F.col("b").alias("a"), F.col("least").alias("b")))), "links")
+        last, edges = edges, settled(_halves(near.select(F.col("a"), F.col("least").alias("b")).unionByName(near.select(F.col("b").alias("a"), F.col("least").alias("b")))), "links")
         after = _state(edges)
+        if earlier is not None:
+            forget(earlier)
+        earlier = last
         if after == before:
             break
         before = after

@@ -12,32 +12,33 @@ bands it is part of. Blocks are SLOTS for each of these: large sets send the fir
 small ones repeat the cut with other hashes, the last as far as needed, until SLOTS are full. At the similarity of 0.75 a block is the same
 and not empty with a probability of 0.38 or more, so a pair that should be linked is missed
 with a probability of at most 0.62 ** SLOTS, about 1e-10; above it, less.
+
+Many sets may share a block, as of a passage that they all quote. Classes of such large groups are not compared
+group by group but by their shingles (by_shingles()), which also is the exact way for a whole join: nothing there is left to chance.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from barloom.llm.common import settled, slices, to_python
+from barloom.llm.common import settled, slices, small, to_python
 from barloom.llm.components import components
-from barloom.llm.textkernel import U, mix, shingles
+from barloom.llm.textkernel import PART, U, mix, shingles
 
 SLOTS = 48
 #: Bits of the parity sketch of a whole set.
 SKETCH_BITS = 1024
 #: Classes in one block's group up to which all its pairs of different components are listed.
 SMALL_GROUP = 48
-#: Blocks in larger groups that a class may have to be left out of their comparison. Without effect: none is left
-#: out, for what near copies share outside large groups is no measure of what they share in all.
-FEW = 0
-_CELL = 4096
-#: Candidate rows up to which their ids go to all executors.
-BROADCAST_IDS = 500_000
+#: Classes that are compared with as many others at once.
+_PACK = 128
 
 
 def _bands(top: int) -> np.ndarray:
@@ -72,16 +73,15 @@ def block_keys(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         blocks = np.where((lower >= 0) & (n > 0), 2 * (_ENDS[np.maximum(lower, 0) + 2] - 1) // 7 + 1, 1)
         repeats = np.where(blocks > 1, -(-SLOTS // blocks), 0)
         xors = np.zeros(len(n) * SLOTS, U)
-        for k in range(int(repeats.max(initial=0))):
-            use = (repeats > k)[owner]
-            own, token = owner[use], tokens[use]
+        for k, low in itertools.product(range(int(repeats.max(initial=0))), range(0, len(tokens), PART)):
+            own, token = owner[low : low + PART], tokens[low : low + PART]
+            use = repeats[own] > k
+            own, token = own[use], token[use]
             value = mix(token ^ mix(lower[own].astype(U) * U(64) + U(k)))
             block = ((value >> U(32)) * blocks[own].astype(U)) >> U(32)
-            block = block.astype(np.int64)
-            place = k * blocks[own] + block
+            place = k * blocks[own] + block.astype(np.int64)
             near = place < SLOTS
-            slot = own[near] * SLOTS + place[near]
-            np.bitwise_xor.at(xors, slot, mix(value[near] + U(k)))
+            np.bitwise_xor.at(xors, own[near] * SLOTS + place[near], mix(value[near] + U(k)))
         place = np.tile(np.arange(SLOTS, dtype=U), len(n)) + np.repeat((lower + 2).astype(U) * U(64), SLOTS)
         filled = np.flatnonzero(xors)
         parity = np.repeat(lower & 1, SLOTS)[filled].astype(U)  # tells the two pairs of bands of a set apart
@@ -134,9 +134,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             tokens, at, whole = sets_of(data, offsets)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(whole), pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["class", "set"])
 
-    ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = small(wanted.select(F.col("doc_id").alias("wanted")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = to_python(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text"), run, "class long, set binary")
     return rows.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
@@ -220,66 +218,134 @@ def _within_small(members: DataFrame) -> DataFrame:
     return to_python(members.select("key", "class", "component", "n_shingles", "sketch").repartition("key").sortWithinPartitions("key"), run, "a long, b long")
 
 
+def by_shingles(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of sets (class, set) and different components, as known (class, component, n_shingles, sketch) has
+    them, that sizes and sketches allow; verified, they join all that the links between those classes join.
+
+    Shingles are put in one order, those of the fewest classes first. Of sets that link, the first
+    n - ceil(0.75 n) + 1 shingles have one in common. Where that shingle is rare, its few classes are compared. A
+    set that has a common one among these consists of common shingles, its frame, for three quarters and more, and
+    two such sets that share no rare one link by their frames alone. So of the sets of one frame the smallest
+    stands for all: every set as small as the frame allows links with it, and the others are compared with such smallest ones only, in packs, and not where
+    both are of a group's most frequent component.
+    """
+    lists = settled(_prefixes(sets), "jaccard-prefixes").join(known, "class")
+    rare = lists.select("class", F.explode("rare").alias("key"), "component", "n_shingles", "sketch")
+    framed = lists.where("size(common) > 0")
+    smallest = framed.groupBy("frame", "heavy").agg(F.min(F.struct("n_shingles", "class", "component")).alias("least"))
+    placed = framed.join(settled(smallest, "jaccard-frames"), ["frame", "heavy"]).withColumn("leads", F.col("class") == F.col("least.class"))
+    near = (F.col("n_shingles") + F.col("least.n_shingles")) * 3 <= F.col("heavy") * 7
+    stars = placed.where(near & ~F.col("leads") & (F.col("component") != F.col("least.component"))).select(F.col("class").alias("a"), F.col("least.class").alias("b"))
+    others = placed.where(F.col("leads") | ~near).select(F.explode("common").alias("key"), "class", "component", "n_shingles", "sketch", "frame", "leads")
+    return _within_small(rare).unionByName(stars).unionByName(_within_large(settled(others, "jaccard-large")))
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """Of each class of sets (class, set): rare and common shingles among those that decide, those of at most and of more than
+    SMALL_GROUP classes; a hash of all common ones, frame, and their number, heavy. Classes that share nothing are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = np.frombuffer(own.as_buffer(), np.int64)
+                for low in range(0, len(tokens), PART):
+                    part = tokens[low : low + PART]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(np.full(len(part), len(tokens))), pa.array(part)], ["class", "n", "token"])
+
+    tokens = to_python(sets.select("class", "set"), run, "class long, n long, token long")
+    often = settled(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "jaccard-often")
+    is_common = F.col("often") > SMALL_GROUP
+    lists = tokens.join(often, "token").groupBy("class").agg(
+        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "token"))).alias("own"),
+        F.coalesce(F.bit_xor(F.when(is_common, F.xxhash64("token"))), F.lit(0)).alias("frame"), F.count(F.when(is_common, 1)).alias("heavy"),
+    )
+    alone = F.col("n") - F.size("own")  # they come first in the order, and nothing else has them
+    deciding = F.col("n") - F.floor((F.col("n") * 3 + 3) / 4) + 1 - alone
+    lists = lists.withColumn("own", F.slice("own", F.lit(1), F.greatest(deciding, F.lit(0)).cast("int"))).where("size(own) > 0")
+    rare, common = F.filter("own", lambda s: s["often"] <= SMALL_GROUP), F.filter("own", lambda s: s["often"] > SMALL_GROUP)
+    return lists.select("class", "frame", "heavy", rare["token"].alias("rare"), common["token"].alias("common"))
+
+
 def _within_large(members: DataFrame) -> DataFrame:
-    """As _within_small() for groups of any size. Groups are cut into cells of about _CELL rows; each task compares
-    two cells."""
-    sized = members.groupBy("key").agg(F.ceil(F.count("*") / _CELL).alias("cells"))
-    dealt = members.join(sized, "key").withColumn("cell", F.pmod(F.xxhash64("class"), F.col("cells")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda o: F.struct(F.least(o, F.col("cell")).alias("i"), F.greatest(o, F.col("cell")).alias("j")))
-    spread = dealt.withColumn("pair", F.explode(pairs)).select("key", "pair.i", "pair.j", "cell", "class", "component", "n_shingles", "sketch")
-
-    def run(rows: pa.Table) -> pa.Table:
-        cell = rows.column("cell").to_numpy()
-        name, component, n, sketch = _columns(rows)
-        left, right = np.flatnonzero(cell == rows.column("i")[0].as_py()), np.flatnonzero(cell == rows.column("j")[0].as_py())
-        a, b = [name[:0]], [name[:0]]
-        for x in left:
-            y = right[component[right] != component[x]]
-            y = y[_near(n, sketch, np.full(len(y), x), y)]
-            a.append(np.full(len(y), name[x]))
-            b.append(name[y])
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+    """As _within_small() for groups of any size, of members (key, class, component, n_shingles, sketch, frame, leads) of
+    different frames of which one leads.
 
-    return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    Groups are dealt into packs of about _PACK members, those of the most frequent component apart, and each pack of the others
+    is compared with all packs: a row holds two packs, so work is dealt evenly, however large a group is.
+    """
+    tally = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    groups = tally.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    dealt = members.join(settled(groups.select("key", "top", "all"), "jaccard-groups"), "key").withColumn("of_top", F.col("component") == F.col("top.component"))
+    packs = F.ceil(F.when(F.col("of_top"), F.col("top.n")).otherwise(F.col("all") - F.col("top.n")) / _PACK)
+    member = F.struct("class", "component", "n_shingles", "frame", "leads", "sketch")
+    packed = dealt.groupBy("key", "of_top", F.pmod(F.xxhash64("class"), packs).alias("pack")).agg(F.collect_list(member).alias("members"))
+    packed = settled(packed, "jaccard-packs")
+    first, second = (packed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("of_top", "pack", "members")]) for side in ("a", "b"))
+    meet = ~F.col("of_top_a") & (F.col("of_top_b") | (F.col("pack_a") <= F.col("pack_b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                yield pairs(x.values, y.values)
+
+    def pairs(first: pa.StructArray, second: pa.StructArray) -> pa.RecordBatch:
+        both = [pa.concat_arrays([first.field(k), second.field(k)]) for k in range(6)]
+        name, component, n, frame, leads = (c.to_numpy(zero_copy_only=False) for c in both[:5])
+        sketch = np.frombuffer(b"".join(both[5].to_pylist()), U).reshape(len(name), SKETCH_BITS // 64)
+        x, y = (i.ravel() for i in np.meshgrid(np.arange(len(first)), np.arange(len(first), len(name)), indexing="ij"))
+        worth = (component[x] != component[y]) & (frame[x] != frame[y]) & (leads[x] | leads[y])
+        x, y = x[worth], y[worth]
+        good = _near(n, sketch, x, y)
+        return pa.RecordBatch.from_arrays([pa.array(name[x[good]]), pa.array(name[y[good]])], ["a", "b"])
+
+    return to_python(first.join(second, "key").where(meet).select("members_a", "members_b"), run, "a long, b long")
 
 
 def _once(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links_between_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def links_between_classes(docs: DataFrame, rows: DataFrame, exact: bool = False) -> DataFrame:
     """Links (a, b) of classes of rows (from outline(docs)) that join everything that all links join.
 
     First each class is compared with one class of each of its blocks' groups, the one whose blocks have the most
     members in all: the original of many altered copies shares more blocks than any copy. What these links
     leave in different components is compared wherever it shares a block, as far as sizes and sketches
-    allow: small groups as they stream by, larger ones in cells.
+    allow: small groups as they stream by, the classes of larger ones by_shingles(). If exact, all classes are compared by_shingles().
     """
-    classes = rows.where("size(keys) > 0").select("class", "n_shingles", "sketch", "keys").dropDuplicates(["class"])
+    classes = rows.where("class is not null").select("class", "n_shingles", "sketch", "keys").dropDuplicates(["class"])
+    ids = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    if exact:
+        sets = settled(_sets(docs, ids), "jaccard-sets")
+        alone = settled(classes.select("class", F.col("class").alias("component"), "n_shingles", "sketch"), "jaccard-classes")
+        return _verified(settled(_once(by_shingles(sets, alone)), "jaccard-more"), sets)
     blocks = classes.select("class", F.explode("keys").alias("key"))
     groups = blocks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = settled(blocks.join(groups, "key"), "jaccard-members")
     met = members.groupBy("class").agg(F.sum("size").alias("met"))
     known = settled(classes.select("class", "n_shingles", "sketch").join(met, "class"), "jaccard-classes")
-    bearers = rows.join(met.select("class"), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     hubs = members.join(met, "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("hub"))
     stars = members.join(hubs, "key").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     tried = settled(_plausible(_once(stars), known), "jaccard-pairs")
-    sets = settled(_sets(docs, bearers.select("doc_id", "class")), "jaccard-sets")
+    sets = settled(_sets(docs, ids.join(met.select("class"), "class", "left_semi")), "jaccard-sets")
     links = settled(_verified(tried, sets), "jaccard-links")
     found = components(links)
     labelled = members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = settled(labelled.join(mixed, "key", "left_semi").select("key", "class", "size", "component"), "jaccard-open")
     described = known.select("class", "n_shingles", "sketch")
-    small = open_.where(F.col("size") <= SMALL_GROUP).join(described, "class")
-    large = settled(open_.where(F.col("size") > SMALL_GROUP).join(described, "class"), "jaccard-large")
-    more = _once(_within_small(small).unionByName(_within_large(large))).join(tried, ["a", "b"], "left_anti")
+    few = open_.where(F.col("size") <= SMALL_GROUP).join(described, "class")
+    many = settled(open_.where(F.col("size") > SMALL_GROUP).select("class", "component").distinct().join(described, "class"), "jaccard-many")
+    pairs = _within_small(few)
+    if not many.isEmpty():
+        pairs = pairs.unionByName(by_shingles(sets.join(many.select("class"), "class", "left_semi"), many))
+    more = _once(pairs).join(tried, ["a", "b"], "left_anti")
     return links.unionByName(_verified(settled(more, "jaccard-more"), sets))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class and component_id of each row of docs (doc_id, text).
+def join(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class and component_id of each row of docs (doc_id, text). If exact, no link is left to the
+    chance of blocks, at the cost of a quarter of all shingles being dealt instead of SLOTS blocks.
 
     component_id: the smallest doc_id of all documents that links, 100 * intersection >= 75 * union of the shingle
     sets, reach from this one. Null and empty texts and texts without words have no shingles, no class
@@ -289,7 +355,7 @@ def join(docs: DataFrame) -> DataFrame:
     each and are never compared.
     """
     rows = settled(outline(docs), "jaccard-rows")
-    parts = components(links_between_classes(docs, rows))
+    parts = components(links_between_classes(docs, rows, exact))
     ids = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = ids.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -301,15 +367,33 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and more), of each component of join() the row with the smallest doc_id.
 
     Of repeated rows, equal in doc_id and text, one stays; documents without shingles all stay but for such
-    repeats. Rows with null ids can't be told apart by them: each different text of these stays.
+    repeats. Rows that share an id but not their text are judged one by one, each by its set of shingles. Rows with
+    null ids go where their component has an id or a smaller set; each different text of what is left stays. No rows: none.
     """
-    rows = settled(join(docs).select("doc_id", "component_id"), "jaccard-components")
-    dropped = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped")).distinct()
-    if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
-    repeated = rows.groupBy(F.col("doc_id").alias("repeated")).agg(F.count("*").alias("n")).where("n > 1").select("repeated")
+    rows = settled(join(docs), "jaccard-components")
+    first = rows.where("class is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first"))
+    again = rows.where("class is not null").join(first, F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class")), "left_anti")
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("repeated"))
+    # where ids tell rows apart, the ids of copies are enough
+    dropped = small(again.where("doc_id is not null").select(F.col("doc_id").alias("dropped")).distinct())
     if repeated.isEmpty():
-        return kept
-    again = kept["doc_id"].eqNullSafe(repeated["repeated"])
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return docs.join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
+    repeated = settled(repeated, "jaccard-repeated")
+    twice = docs["doc_id"].eqNullSafe(repeated["repeated"])
+    single = docs.join(repeated, twice, "left_anti").join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
+    kept = docs.join(repeated, twice, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(_without(kept, again.select("doc_id", "class").distinct()))
+
+
+def _without(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """docs without the rows whose id and class are in again."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in slices(batches, "text"):
+            _, at, sets = sets_of(data, offsets)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_signed(sets), pa.int64(), mask=np.diff(at) == 0)], [*rows.schema.names, "class"])
+
+    classed = to_python(whole, run, StructType([*whole.schema.fields, StructField("class", LongType())]))
+    copies = again.select(F.col("doc_id").alias("id_again"), F.col("class").alias("class_again"))
+    return classed.join(copies, F.col("doc_id").eqNullSafe(F.col("id_again")) & (F.col("class") == F.col("class_again")), "left_anti").select("row.*")

@@ -1,4 +1,9 @@
-"""Nearest neighbours by cosine: vantage-point trees over shards."""
+"""Nearest neighbours by cosine: vantage-point trees over shards.
+
+Vectors are dealt to cells by the nearest of some pivots, and large cells are split into shards of bounded size, each with
+a tree. A query is searched in its own cell first; with the distance found there, it goes only to cells that the triangle
+inequality, relaxed as in the trees, can't exclude.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import to_python
+from barloom.llm.common import settled, to_python
 
 SHARD_ROWS = 4096
 LEAF_ROWS = 128
-#: Vectors, at most, that give every query its first bound on the distance of its k-th neighbour.
+#: Vectors, at most, drawn by a hash of their ids: pivots of cells, and a first bound on the distance of each query's k-th neighbour.
 SAMPLE_ROWS = 2048
 _SLACK = 1e-7  # distances are compared as if they were exact to so much: chord() rounds by 1.5e-8 near zero
 
@@ -121,44 +126,81 @@ def _by_width(ids: np.ndarray, flat: np.ndarray, at: np.ndarray) -> Iterator[tup
         yield rows, flat[(at[:-1][rows, None] + np.arange(w)).ravel()].reshape(len(rows), w)
 
 
+class Pivots:
+    """The drawn vectors of one length, as units; the first `cells` of them are pivots, numbered from `first`."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, cells: int, first: int):
+        self.ids, self.units, self.first = ids, unit(rows), first
+        self.pivots = self.units[:cells]
+
+    def bounds(self, ids: np.ndarray, units: np.ndarray, k: int) -> np.ndarray:
+        """The distance of each row's k-th neighbour among the drawn vectors but itself."""
+        if len(self.ids) <= k:
+            return np.full(len(ids), np.inf)
+        far = chord(units @ self.units.T)
+        far[ids[:, None] == self.ids] = np.inf
+        return np.partition(far, k - 1, axis=1)[:, k - 1]
+
+
+def _drawn(usable: DataFrame, shard_rows: int) -> dict[int, Pivots]:
+    """By length of vectors. The driver gets SAMPLE_ROWS vectors at most."""
+    cells = -(-usable.count() // shard_rows)
+    drawn = usable.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
+    out: dict[int, Pivots] = {}
+    first = 0
+    for width in sorted({len(r.embedding) for r in drawn}):
+        own = {r.vec_id: r.embedding for r in drawn if len(r.embedding) == width}
+        out[width] = Pivots(np.array(list(own), np.int64), np.array(list(own.values())), cells, first)
+        first += len(out[width].pivots)
+    return out
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 0.9, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k nearest of all vectors (vec_id, embedding) to each row of vectors for which `queries` holds.
 
-    Rows are dealt to shards of about shard_rows by a hash of vec_id, so equal vectors, however many,
-    spread evenly; each shard is one task with one tree, through which all queries stream in blocks.
-    The shards' findings merge by query. A query's first bound comes from a sample of SAMPLE_ROWS rows.
+    Rows are dealt to the cell of their nearest pivot, and within it to shards of about shard_rows by a hash of vec_id, so equal vectors, however many,
+    spread evenly; each shard is one task with one tree, through which its queries stream in blocks. Pivots and first
+    bounds come from a sample of SAMPLE_ROWS rows; every row is indexed. With factor 1 the result is exact.
 
     Returns query_id, rank, vec_id, score (cosine in double precision), nearest first, ties to the smaller
     vec_id; all candidates if fewer than k. Null ids and vectors that are null, empty, zero or hold null or
     non-finite values take no part. A row's own vec_id is no candidate for it; repeated rows count once; vectors of
-    other lengths than the query's aren't compared. No rows: none. Other columns are ignored.
+    other lengths than the query's aren't compared. Vectors that differ in length alone tie as far as double precision
+    makes their cosines equal, and all that come within rounding are compared. No rows: none. Other columns are ignored.
     """
-    usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), queries.alias("is_query")).where(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
-    n = usable.count()
-    shards = max(1, -(-n // shard_rows))
-    drawn = usable.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
-    sample: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for width in {len(r.embedding) for r in drawn}:
-        own = [r for r in drawn if len(r.embedding) == width]
-        _, first = np.unique([r.vec_id for r in own], return_index=True)
-        sample[width] = (np.array([own[i].vec_id for i in first]), unit(np.array([own[i].embedding for i in first])))
-    shared = vectors.sparkSession.sparkContext.broadcast(sample)
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.coalesce(queries, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
+    spark = vectors.sparkSession
+    drawn = spark.sparkContext.broadcast(_drawn(usable, shard_rows))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            bound = np.full(len(ids), np.inf)
+            cell, far, bound = np.zeros(len(ids), np.int64), np.full(len(ids), 2.0), np.full(len(ids), np.inf)
             for rows, x in _by_width(ids, *_matrix(batch.column(1))):
-                others, units = shared.value.get(x.shape[1], (np.zeros(0, np.int64), np.zeros((0, x.shape[1]))))
-                if len(others) > k:
-                    far = chord(unit(x) @ units.T)
-                    far[ids[rows][:, None] == others] = np.inf
-                    bound[rows] = np.partition(far, k - 1, axis=1)[:, k - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], ["vec_id", "embedding", "bound"])
-
-    asked = to_python(usable.where("is_query").select("vec_id", "embedding"), bounded, "vec_id long, embedding array<double>, bound double")
-    to_all = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("part"), "vec_id", "embedding", "bound")
-    held = usable.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("part"), "vec_id", "embedding", F.lit(0.0).alias("bound"))
+                own = drawn.value.get(x.shape[1])
+                if own is None:  # vectors of a length that none drawn has: a cell of their own
+                    cell[rows] = -x.shape[1]
+                    continue
+                units = unit(x)
+                distance = chord(units @ own.pivots.T)
+                nearest = distance.argmin(axis=1)
+                cell[rows], far[rows] = own.first + nearest, distance[np.arange(len(rows)), nearest]
+                asks = batch.column(2).to_numpy(zero_copy_only=False)[rows]
+                bound[rows[asks]] = own.bounds(ids[rows[asks]], units[asks], k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far), pa.array(bound)], ["vec_id", "embedding", "is_query", "cell", "far", "bound"])
+
+    placed = settled(to_python(usable, place, "vec_id long, embedding array<double>, is_query boolean, cell long, far double, bound double"), "neighbours-placed")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), F.min("far").alias("low"), F.max("far").alias("high")).orderBy("cell").collect()
+    cells, first = [], 0
+    for r in sizes:  # a row for each pivot, and for each length of vectors that none drawn has
+        cells.append((r.cell, first, first + r.shards - 1, r.low, r.high))
+        first += r.shards
+    shards = max(first, 1)
+    of_cell = F.broadcast(spark.createDataFrame(cells, "cell long, first int, last int, low double, high double"))
+    located = placed.join(of_cell, "cell")
+    spread = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("last") - F.col("first") + 1).cast("int")
+    held = located.select(spread.alias("shard"), F.lit(0).alias("part"), "vec_id", "embedding", F.lit(0.0).alias("bound"))
+    known = {c[0]: c[1:] for c in cells}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: list[pa.RecordBatch] = []
@@ -195,6 +237,36 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 0.9,
                 out[2].extend(-s for s, _ in pairs)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    found = to_python(held.unionByName(to_all).repartitionById(shards, F.col("shard")).sortWithinPartitions("part"), run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(asked: DataFrame) -> DataFrame:
+        """What the shards hold for rows of asked (shard, vec_id, embedding, bound)."""
+        both = held.unionByName(asked.withColumn("part", F.lit(1))).repartitionById(shards, F.col("shard")).sortWithinPartitions("part")
+        return to_python(both, run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+
+    asking = located.where("is_query")
+    at_home = settled(searched(asking.select(F.explode(F.sequence("first", "last")).alias("shard"), "vec_id", "embedding", "bound")), "neighbours-home")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    reached = at_home.withColumn("rank", nth).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("reached"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, home, bound = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            places: list[list[int]] = [[] for _ in ids]
+            for rows, x in _by_width(ids, *_matrix(batch.column(1))):
+                own = drawn.value.get(x.shape[1])
+                if own is None:
+                    continue
+                there = [(own.first + j, j) for j in range(len(own.pivots)) if own.first + j in known]
+                low, high = (np.array([known[c][i] for c, _ in there]) for i in (2, 3))
+                far = chord(unit(x) @ own.pivots[[j for _, j in there]].T)
+                go = np.maximum(far - high, low - far) <= (factor * bound[rows])[:, None] + _SLACK
+                go &= home[rows][:, None] != np.array([c for c, _ in there])
+                for r, c in zip(*np.nonzero(go), strict=True):
+                    first, last = known[there[c][0]][:2]
+                    places[rows[r]].extend(range(first, last + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound), pa.array(places, pa.list_(pa.int32()))], ["vec_id", "embedding", "bound", "shards"])
+
+    bounded = asking.join(reached.dropDuplicates(["vec_id"]), "vec_id", "left").select("vec_id", "embedding", "cell", F.least("bound", F.coalesce("reached", F.lit(float("inf")))).alias("bound"))
+    routed = to_python(bounded, route, "vec_id long, embedding array<double>, bound double, shards array<int>")
+    elsewhere = searched(routed.select(F.explode("shards").alias("shard"), "vec_id", "embedding", "bound"))
+    found = at_home.unionByName(elsewhere).dropDuplicates(["query_id", "vec_id"])
+    return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -76,11 +76,17 @@ def test_components_equal_brute_force(spark, rows):
     assert sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out))) == sorted(map(str, brute_components(rows)))
 
 
-def test_large_groups_need_no_small_ones(spark, monkeypatch):
-    """With all groups counted as large, results stay the same."""
-    monkeypatch.setattr(jaccard, "SMALL_GROUP", 1)
-    monkeypatch.setattr(jaccard, "FEW", -1)
-    monkeypatch.setattr(jaccard, "_CELL", 3)
+@pytest.mark.parametrize("rows", [edge_rows(), near_corpus(), near_corpus(8)], ids=["edges", "near", "near2"])
+def test_exact_components_equal_brute_force(spark, rows):
+    out = jaccard.join(documents(spark, rows), exact=True).collect()
+    assert sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out))) == sorted(map(str, brute_components(rows)))
+
+
+@pytest.mark.parametrize("small", [1, 2, 5])
+def test_large_groups_need_no_small_ones(spark, monkeypatch, small):
+    """With most groups and shingles counted as large or common, results stay the same."""
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
+    monkeypatch.setattr(jaccard, "_PACK", 3)
     rows = near_corpus(5)
     out = jaccard.join(documents(spark, rows)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows))
@@ -103,6 +109,35 @@ def test_templated_near_copies_meet(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_frames_of_many_sizes(spark, exact):
+    """Documents that consist of a few templates and little else link by these alone, or by chance not."""
+    draw, rows = random.Random(11), []
+    templates = [[f"t{t}w{k}" for k in range(60)] for t in range(3)]
+    for k in range(260):
+        base = draw.choice(templates)
+        cut = draw.choice([0, 0, 0, 5, 12])
+        fresh = [f"d{k}w{j}" for j in range(draw.choice([1, 4, 8, 14, 16, 18, 22]))]
+        rows.append((k, " ".join(base[cut:] + fresh)))
+    out = jaccard.join(documents(spark, rows), exact=exact).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows))
+
+
+def test_sets_of_thousands_of_shingles(spark):
+    draw, rows = random.Random(12), []
+    hot = [f"h{k}" for k in range(300)]
+    for base in range(8):
+        text = [f"b{base}w{k}" for k in range(1500)]
+        for copy in range(4):
+            own = list(text)
+            for at in draw.sample(range(1500), 12 * copy):
+                own[at] = f"e{draw.randrange(10**9)}"
+            rows.append((len(rows), " ".join(hot + own)))
+    for exact in (False, True):
+        out = jaccard.join(documents(spark, rows), exact).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows))
+
+
 def test_all_slots_are_filled():
     """Sets of any size but the smallest fill nearly all of SLOTS for each pair of bands they are in."""
     for n in (40, 60, 80, 100, 120):
@@ -115,7 +150,15 @@ def test_one_of_each_group_stays(spark):
     rows = edge_rows()
     kept = jaccard.keep_one(documents(spark, rows))
     assert kept.columns == documents(spark, rows).columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 9, 10, 12, 13, None, None]))
+    # the row without an id that equals document 1 goes, the one without text stays
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 9, 10, 12, 13, None]))
+
+
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    base, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"c{k}" for k in range(40))
+    rows = [(1, base), (2, base + " x"), (2, other), (2, other), (3, "lone words")]
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard.keep_one(documents(spark, rows)).collect()) == [(1, base), (2, other), (3, "lone words")]
+    assert jaccard.keep_one(documents(spark, rows).limit(0)).count() == 0 and jaccard.join(documents(spark, rows).limit(0)).count() == 0
 
 
 def test_components_of_chains(spark):
@@ -273,7 +316,7 @@ def brute_neighbours(rows, k=5):
     return out
 
 
-@pytest.mark.parametrize("shape", ["plain", "clusters", "equal", "few"])
+@pytest.mark.parametrize("shape", ["plain", "clusters", "equal", "scaled", "few"])
 def test_neighbours_equal_brute_force_at_factor_one(spark, shape):
     draw = np.random.default_rng(6)
     n, width = (3, 4) if shape == "few" else (900, 8)
@@ -282,6 +325,9 @@ def test_neighbours_equal_brute_force_at_factor_one(spark, shape):
         x = draw.normal(size=(12, width))[draw.integers(0, 12, n)] + 0.01 * x
     if shape == "equal":
         x[draw.integers(0, n, n // 3)] = x[0]
+    if shape == "scaled":  # many multiples of one direction, equal in cosine
+        own = draw.permutation(n)[:300]
+        x[own] = np.float32(x[0]) * 2.0 ** draw.integers(-20, 20, 300)[:, None]
     rows = [(k, [float(np.float32(a)) for a in v], "z") for k, v in enumerate(x)]
     rows += [(None, rows[0][1], "z"), (2000, None, "z"), (2050, [0.0] * width, "z"), (2100, [None] * width, "z"), (2150, [float("nan")] * width, "z"), (2151, [float("inf")] * width, "z"), (2152, [1.0], "z"), rows[1]]
     out = neighbours.search(vectors(spark, rows), F.col("vec_id") % 50 == 0, factor=1.0, shard_rows=200).collect()
