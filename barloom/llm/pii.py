@@ -33,6 +33,8 @@ _PATTERNS = {
     "email_like": rf"(?<!{_LOCAL})[A-Za-z0-9._%+-]{{2,64}}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{{2,63}}\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{{2,10}}(?![A-Za-z0-9])",
     "phone_like": r"(?<![0-9+.()-])(?<![0-9+.()-]\x20)(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9.-])",
 }
+#: What every match of a kind holds one of.
+_MARKS = {"email": ("@",), "ip": (".",), "phone": ("+",), "email_like": ("(at)", "[at]"), "phone_like": ("-", ".")}
 #: Fixed word and number lists.
 _DOMAINS = "com|org|net|edu|gov|info|biz|io|co|de|fr|es|it|uk|us|eu|ch|at|nl|be|pt|se|no|dk|fi|pl|cz|ca|au|jp|cn|in|br|mx|ru"
 _DIAL_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
@@ -58,7 +60,7 @@ def _small_parts(span: Column) -> Column:
 
 def candidates(text: Column, context: int = 40) -> Column:
     """Base spans and look-alikes of a text, in no order."""
-    find = lambda kind: spans.matches(text, kind, _PATTERNS[kind], context)
+    find = lambda kind: spans.matches(text, kind, _PATTERNS[kind], context, _MARKS.get(kind, ()))
     card = find("card")
     parts = [
         find("email"),

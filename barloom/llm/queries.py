@@ -93,9 +93,12 @@ def _digests(found: DataFrame, base: list[str]) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of each document; each distinct text is scanned once."""
+    """Secrets of each document, from two scans of which the second finds the first one's blobs in the ledger."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    return _digests(secret_scan.scan(docs)[0].withColumnRenamed("path", "doc_id"), secret_scan.BASE)
+    early = F.coalesce(F.col("path") % 2 != 0, F.lit(False))
+    first, ledger = secret_scan.scan(docs.where(early))
+    second, _ = secret_scan.scan(docs.where(~early), ledger)
+    return _digests(first.unionByName(second).withColumnRenamed("path", "doc_id"), secret_scan.BASE)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

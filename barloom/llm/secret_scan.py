@@ -20,6 +20,8 @@ ADDED = {
     "chat": r"xox[abprs]-[A-Za-z0-9-]{10,}",
 }
 KINDS = [*BASE, *ADDED]
+#: What every match of a kind holds one of.
+_MARKS = {"assign": ("=", ":"), "access": ("AKIA",), "jwt": ("eyJ",), "pem": ("-----BEGIN ",), "forge": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "chat": ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")}
 _NAME = "(?i:password|passwd|secret|token|api_?key)"
 _ASSIGN = _NAME + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -34,9 +36,10 @@ def found_in(text: Column) -> Column:
     dropped whole, so their length is part of the pattern.
     """
     long_enough = lambda s: F.length(F.regexp_extract(s["found"], "^" + _ASSIGN, 1)) >= 6
-    parts = [F.filter(spans.matches(text, "assign", _ASSIGN), long_enough), spans.matches(text, "access", _ACCESS), spans.matches(text, "hex", _HEX)]
-    parts += [spans.matches(text, kind, pattern) for kind, pattern in ADDED.items()]
-    return spans.ordered(reduce(F.concat, parts), KINDS, by_kind=False)
+    patterns = {"assign": _ASSIGN, "access": _ACCESS, "hex": _HEX, **ADDED}
+    parts = {kind: spans.matches(text, kind, pattern, marks=_MARKS.get(kind, ())) for kind, pattern in patterns.items()}
+    parts["assign"] = F.filter(parts["assign"], long_enough)
+    return spans.ordered(reduce(F.concat, parts.values()), KINDS, by_kind=False)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules_version: int = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -45,24 +48,22 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules_version: in
     versions: path, text, one row for each historical version; ledger: blob, rules_version, spans. A blob is
     the SHA-256 of a text (null: empty). Only blobs without a row of rules_version in the ledger are
     scanned, each once, whatever its number of paths; the others' findings are taken from the ledger. Of
-    a blob's paths the smallest brings its text, so no copies meet in one task, and findings return to
-    the paths by a join with one row for each blob, which Spark splits where a blob has many paths.
+    a blob's paths the smallest brings its text, and rows equal in path and text are one before they are dealt, so no copies
+    meet in one task; findings return to the paths by a join with one row for each blob, which Spark splits where a blob has many paths.
 
     Returns path, blob, spans for each row of versions: repeated rows, null paths and texts without
     secrets (no spans) included. No rows: none, and the ledger as it was. Other columns of versions are ignored.
     """
-    blob = F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    blob, name = F.sha2(F.encode(text, "UTF-8"), 256), F.coalesce(F.col("path").cast("string"), F.lit(""))
     paths = versions.select("path", blob.alias("blob"))
-    unseen = paths.groupBy("blob").agg(F.min("path").alias("bearer"))
+    unseen = versions.groupBy(blob.alias("blob")).agg(F.min(name).alias("name"))
     if ledger is not None:
         known = ledger.where(F.col("rules_version") == rules_version).select("blob").distinct()
         unseen = unseen.join(known, "blob", "left_anti")
-    texts = versions.select(F.col("path").alias("bearer"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    chosen = texts.withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256)).alias("t").join(
-        unseen.alias("u"), (F.col("t.blob") == F.col("u.blob")) & F.col("t.bearer").eqNullSafe(F.col("u.bearer")), "left_semi"
-    )
-    new = chosen.select("blob", F.lit(rules_version).alias("rules_version"), found_in(F.col("text")).alias("spans")).dropDuplicates(["blob"])
-    new = settled(new, "secret-ledger")
+    texts = versions.select(blob.alias("blob"), name.alias("name"), text.alias("text")).dropDuplicates(["blob", "name"])
+    chosen = texts.join(unseen, ["blob", "name"], "left_semi")
+    new = settled(chosen.select("blob", F.lit(rules_version).alias("rules_version"), found_in(F.col("text")).alias("spans")), "secret-ledger")
     full = new if ledger is None else ledger.select("blob", "rules_version", "spans").unionByName(new)
     hits = full.where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).select("blob", "spans")
     back = paths.join(hits, "blob", "left")
