@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.common import partitions, settled
+
 #: Headers that a not-modified answer may bring up to date (fixed by HTTP).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 #: Query parameters that don't name content (fixed values).
 TRACKING = "^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(?:=|$)"
-#: Spans of time that the records of one URL are split into, at most.
-SLICES = 64
+#: Spans of time that the records of one URL are split into: as many as there are shuffle partitions, within these bounds.
+LEAST_SLICES, MOST_SLICES = 64, 512
 
 
 def canonical_url(url: Column) -> Column:
@@ -25,7 +27,7 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
-def latest_before(events: DataFrame, key: str, at: str, tie: str, is_source: Column, payload: Column, slices: int = SLICES) -> DataFrame:
+def latest_before(events: DataFrame, key: str, at: str, tie: str, is_source: Column, payload: Column, slices: int | None = None) -> DataFrame:
     """events with `latest`: payload of the last row with is_source of the same key and a smaller `at` (of
     several with one `at`, that with the largest tie); null without one or where key or at is null.
 
@@ -33,6 +35,7 @@ def latest_before(events: DataFrame, key: str, at: str, tie: str, is_source: Col
     window finds the latest; where it has none, the last of the slices before it counts, which a window
     over one row for each slice finds.
     """
+    slices = slices or min(MOST_SLICES, max(LEAST_SLICES, partitions(events.sparkSession)))
     cuts = sorted(set(events.select(F.col(at).cast("double").alias("at")).approxQuantile("at", [k / slices for k in range(1, slices)], 0.2 / slices)))
     slice_ = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(at).cast("double"))) if cuts else F.lit(0)
     rows = events.withColumn("_slice", slice_).withColumn("_source", F.coalesce(is_source, F.lit(False)) & F.col(at).isNotNull())
@@ -83,7 +86,10 @@ def resolve(records: DataFrame) -> DataFrame:
     update = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
     old = F.map_filter(F.map_from_entries(F.coalesce("latest.headers", F.array().cast("array<struct<key:string,value:string>>"))), lambda k, _: ~F.array_contains(F.map_keys(update), k))
     revisits = found.select("record_id", "canonical_url", F.col("latest.record_id").alias("response_id"), status.alias("status"), F.map_concat(old, update).alias("headers"))
-    bodies = records.where("kind = 'response'").select(F.col("record_id").alias("_response"), "payload").dropDuplicates(["_response"])
+    bodies = records.where("kind = 'response'").select(F.col("record_id").alias("_response"), "payload")
+    if not bodies.groupBy("_response").count().where("count > 1").isEmpty():
+        bodies = settled(bodies.dropDuplicates(["_response"]), "revisit-bodies")
+    # both sides come straight from a shuffle or the table, so Spark can split the revisits of a much visited response
     fits = (F.col("response_id") == F.col("_response")) & F.col("status").isin("matched", "unchecked")
     return revisits.join(bodies, fits, "left").drop("_response")
 
