@@ -46,13 +46,10 @@ def grams(texts: list[str], orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.nda
         have = len(code) - n + 1
         if have <= 0:
             continue
-        value = np.full(have, n, U)
-        for k in range(n):
-            value = value * U(0x100000001B3) + code[k : k + have]
         whole = text_of[:have] == text_of[n - 1 :]
         if n == 1:
             whole &= code != 32
-        buckets.append((mix(value[whole]) >> U(64 - 15)).astype(np.int64) & (BUCKETS - 1))
+        buckets.append(_buckets(code, n)[whole])
         owners.append(text_of[:have][whole])
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
     bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
@@ -61,6 +58,38 @@ def grams(texts: list[str], orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.nda
     return bucket[order], at, np.bincount(text_of, weights=code != 32, minlength=len(texts)) > 0 if len(per) else np.zeros(0, bool)
 
 
+#: Characters beyond which a text is worked through in parts.
+LONG = 1 << 19
+
+
+def grams_of_long(text: str, orders: tuple[int, ...] = (1, 2, 3)) -> Iterator[np.ndarray]:
+    """The buckets of grams([text]), a part of the text at a time."""
+    lower, kept, letter_before = text.lower(), [np.array([32], np.uint32)], False
+    for low in range(0, len(lower), LONG):
+        code = np.frombuffer(lower[low : low + LONG].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = letter_table()[code]
+        after = np.concatenate([[letter_before], letter[:-1]])
+        kept.append(np.where(letter, code, np.uint32(32))[letter | after])
+        letter_before = bool(letter[-1])
+    code = np.concatenate([*kept, np.full(int(letter_before), 32, np.uint32)])
+    for low in range(0, len(code), LONG):
+        for n in orders:
+            part = code[low : low + LONG + n - 1].astype(U)
+            have = len(part) - n + 1
+            if have > 0:
+                bucket = _buckets(part, n)
+                yield bucket[part != 32] if n == 1 else bucket
+
+
+def _buckets(code: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the n-gram that begins at each place."""
+    have = len(code) - n + 1
+    value = np.full(have, n, U)
+    for k in range(n):
+        value = value * U(0x100000001B3) + code[k : k + have]
+    return (mix(value) >> U(64 - 15)).astype(np.int64) & (BUCKETS - 1)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -69,14 +98,22 @@ class Model:
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The likeliest language (ties: the first by code point) and its probability, tempered by length."""
-        bucket, at, lettered = grams(texts)
-        n = np.diff(at)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         total = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(n)
-        if len(full):
-            total[full] = np.add.reduceat(self.log_probability[bucket], at[:-1][full], axis=0)
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            n = np.zeros(1, np.int64)
+            for bucket in grams_of_long(texts[0]):
+                seen = np.bincount(bucket, minlength=BUCKETS)
+                total[0] += seen @ self.log_probability.astype(np.float64)
+                n += len(bucket)
+            lettered = n > 0
+        else:
+            bucket, at, lettered = grams(texts)
+            n = np.diff(at)
+            full = np.flatnonzero(n)
+            if len(full):
+                total[full] = np.add.reduceat(self.log_probability[bucket], at[:-1][full], axis=0)
         total += self.log_prior
         total *= (1 / np.sqrt(np.maximum(n, 1)))[:, None]  # n-grams of a text aren't independent
         best = total.argmax(axis=1)
@@ -84,7 +121,7 @@ class Model:
         return [self.languages[b] if k else "und" for b, k in zip(best, lettered, strict=True)], np.where(lettered, p, 0.0)
 
 
-def _chunks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
+def _chunks(texts: pa.Array, most: int = LONG) -> Iterator[tuple[int, list[str]]]:
     """Parts of about `most` characters; a longer text is a part of its own."""
     first, size, part = 0, 0, []
     for k, t in enumerate(texts):
@@ -101,8 +138,8 @@ def _chunks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[st
 def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
     """Counts the n-grams of all rows of docs (text, lang), by language, on the executors.
 
-    The driver gets BUCKETS cells for each language, however large docs is. Rows whose text or
-    lang is null teach nothing. No rows: a model that answers `und`.
+    The driver gets BUCKETS cells for each language, however large docs is; a task holds as many for each language it
+    meets, so languages should be some hundreds at most. Rows whose text or lang is null teach nothing. No rows: a model that answers `und`.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +147,18 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for first, texts in _chunks(batch.column(0)):
-                bucket, at, _ = grams(texts)
                 own = langs[first : first + len(texts)]
                 for lang in dict.fromkeys(own):
                     if lang not in cells:
                         cells[lang] = np.zeros(BUCKETS + _BLOCK)
-                    cells[lang][:BUCKETS] += np.bincount(bucket[np.repeat(own == lang, np.diff(at))], minlength=BUCKETS)
                     cells[lang][BUCKETS] += (own == lang).sum()
+                if len(texts) == 1 and len(texts[0]) > LONG:
+                    for bucket in grams_of_long(texts[0]):
+                        cells[own[0]][:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+                    continue
+                bucket, at, _ = grams(texts)
+                for lang in dict.fromkeys(own):
+                    cells[lang][:BUCKETS] += np.bincount(bucket[np.repeat(own == lang, np.diff(at))], minlength=BUCKETS)
         rows = [(lang, b, c[b * _BLOCK : (b + 1) * _BLOCK].tobytes()) for lang, c in cells.items() for b in range(len(c) // _BLOCK)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["lang", "block", "cells"])

@@ -10,17 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import settled, slices, summed, to_python
+from barloom.llm.common import settled, slices, small, summed, to_python
 from barloom.llm.textkernel import counts, mix, runs, span_hashes, words
 
 TERMS = 1 << 14
 WIDTH = 64
 _NONZERO = 8
-_BLOCK = 256
-#: Labelled rows that the vectors and the network learn from, at most (about): a sample by hash of doc_id.
+#: Terms whose sums go together from task to task.
+_BLOCK = 32
+#: Labelled rows that the network learns from, at most (about): a sample by hash of doc_id and text.
 SAMPLE_ROWS = 12_000
-#: Tasks that sum context vectors, at most.
-SUMMING_TASKS = 512
+#: Tasks that sum context vectors, at most: each sends a table of TERMS vectors.
+SUMMING_TASKS = 4096
+#: Words that are worked on at once.
+_PART = 1 << 16
 
 _CLASS = np.zeros(256, np.uint8)  # the byte that stands for a byte in a word's shape
 _CLASS[:] = np.arange(256)
@@ -59,11 +62,15 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, np.concatenate([[0], np.cumsum(2 * counts(offsets, starts))])
 
 
-def _by_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(at) - 1, *values.shape[1:]), np.float32)
-    full = np.flatnonzero(np.diff(at))
-    if len(full):
-        out[full] = np.add.reduceat(values, at[:-1][full], axis=0)
+def _sums(vectors: np.ndarray, term: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of the terms' vectors of each text, a part of the terms at a time."""
+    out = np.zeros((len(at) - 1, vectors.shape[1]), np.float32)
+    for low in range(0, len(term), _PART):
+        high = min(low + _PART, len(term))
+        first, last = int(np.searchsorted(at, low, side="right")) - 1, int(np.searchsorted(at, high))
+        bounds = np.clip(at[first : last + 1], low, high) - low
+        full = np.flatnonzero(np.diff(bounds))
+        out[first + full] += np.add.reduceat(vectors[term[low:high]], bounds[full], axis=0)
     return out
 
 
@@ -90,7 +97,7 @@ def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.nda
     share of words that are new in the text, share of lines that are)."""
     term, at = terms(data, offsets)
     n = np.maximum(np.diff(at) // 2, 1)[:, None]
-    out = [_by_text(vectors[term[k::2]], at // 2) / n for k in (0, 1)]
+    out = [_sums(vectors, term[k::2], at // 2) / n for k in (0, 1)]
     starts, ends = words(data, offsets)
     line = np.ones(256, np.uint8)
     line[10] = 0
@@ -106,26 +113,30 @@ def _new_share(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
     return np.where(per > 0, np.bincount(own[distinct], minlength=len(per)) / np.maximum(per, 1), 1.0)
 
 
+def pair_counts(term: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n): how often term a stands one or two places after term b in a text."""
+    apart = [(term[k:], term[:-k], text_of[k:] == text_of[:-k]) for k in (1, 2)]
+    later, earlier = (np.concatenate([x[i][x[2]] for x in apart]) for i in (0, 1))
+    pair, n = np.unique((later * TERMS + earlier).astype(np.uint32), return_counts=True)
+    return (pair // TERMS).astype(np.int64), (pair % TERMS).astype(np.int64), n
+
+
 def _context_sums(texts: DataFrame) -> np.ndarray:
     """For each term, the sum of the index vectors of the two terms before and after it, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total = index_vectors(), np.zeros((TERMS, WIDTH))
+        sparse = np.nonzero(index)[1].reshape(TERMS, _NONZERO), index[index != 0].reshape(TERMS, _NONZERO)
         seen = False
-        for _, data, offsets in slices(batches, "text", 1 << 18):
+        for _, data, offsets in slices(batches, "text", 1 << 21):
             term, at = terms(data, offsets)
-            if not len(term):
-                continue
-            seen = True
-            text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            near = np.zeros((len(term), WIDTH), np.float32)
-            for k in (1, 2):
-                same = (text_of[k:] == text_of[:-k])[:, None]
-                near[k:] += index[term[:-k]] * same
-                near[:-k] += index[term[k:]] * same
-            order = np.argsort(term, kind="stable")
-            first = np.flatnonzero(np.diff(term[order], prepend=-1))
-            total[term[order][first]] += np.add.reduceat(near[order], first, axis=0)
+            for low in range(0, len(term), 8 * _PART):
+                seen = True
+                own = slice(max(low - 2, 0), low + 8 * _PART)  # pairs across the cut; those within the two terms again are taken back
+                text_of = np.searchsorted(at, np.arange(own.start, min(own.stop, len(term))), side="right")
+                _add(total, sparse, *pair_counts(term[own], text_of), 1)
+                if low:
+                    _add(total, sparse, *pair_counts(term[low - 2 : low], text_of[:2]), -1)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(range(TERMS // _BLOCK), pa.int32()), pa.array([total[b : b + _BLOCK].tobytes() for b in range(0, TERMS, _BLOCK)], pa.binary())], ["block", "cells"])
 
@@ -136,6 +147,13 @@ def _context_sums(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def _add(total: np.ndarray, sparse: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, n: np.ndarray, sign: int) -> None:
+    """Adds to total what the pairs of pair_counts() bring either term; sparse: where index vectors aren't 0, and their values there."""
+    for own, other in ((a, b), (b, a)):
+        cell, weight = own[:, None] * WIDTH + sparse[0][other], sign * n[:, None] * sparse[1][other]
+        total += np.bincount(cell.ravel(), weight.ravel(), minlength=total.size).reshape(total.shape)
+
+
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """Random-indexing vectors: what stands around a term, centred and of length 1, plus its own index."""
     around = _context_sums(texts)
@@ -168,19 +186,20 @@ def _fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 60, decay
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from a sample of about sample_rows rows of docs (doc_id, text) with a label (doc_id, quality).
+    """Word vectors of all rows of docs (doc_id, text), and a network that learns from a sample of about
+    sample_rows rows with a label (doc_id, quality).
 
-    The sample is by hash of doc_id, so every part of the corpus gives its share. Labels that are null
+    The sample is by hash of doc_id and text, so every part of the corpus gives its share and repeated ids don't add to it. Labels that are null
     are left out; of several labels of one doc_id the mean, rounded, counts. Vectors and features are
     made on the executors; the driver fits the network on sample_rows rows of features. Without rows
     of both labels, every score is the share of label 1 (1 without labels).
     """
     per = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
-    share = min(1.0, sample_rows / max(per.count(), 1))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    sample = docs.select("doc_id", "text").where(drawn).join(F.broadcast(per.where(drawn)), "doc_id")
-    sample = settled(sample.select("doc_id", "text", "quality"), "quality-sample")
-    vectors = word_vectors(sample.select("text"))
+    labelled = docs.select("doc_id", "text").join(small(per), "doc_id")
+    per_id = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    share = min(1.0, sample_rows / max(docs.select("doc_id").join(small(per), "doc_id", "left_semi").count(), 1))
+    sample = settled(labelled.where(per_id < int(share * (1 << 20))).select("doc_id", "text", "quality"), "quality-sample")
+    vectors = word_vectors(docs.select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +227,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     """docs with score (of label 1) and predicted (1 if score >= threshold); docs need a column text.
 
     Null and empty texts are scored as texts without words. Repeated rows stay, with equal scores.
-    Columns of docs named score or predicted are replaced. Nothing is shuffled.
+    Columns of docs named score or predicted are replaced (see good()). Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -220,3 +239,12 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], [*rows.schema.names, "score", "predicted"])
 
     return to_python(docs.select(*kept), run, schema)
+
+
+def good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns whatever their names, that classify() takes for good."""
+    hidden = {c: f"{c}_of_docs" for c in ("score", "predicted") if c in docs.columns}
+    while set(hidden.values()) & set(docs.columns):
+        hidden = {c: f"{h}_" for c, h in hidden.items()}
+    kept = classify(docs.withColumnsRenamed(hidden), model, threshold).where("predicted = 1")
+    return kept.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
