@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields
 
+from barloom.functions.columns import truth  # noqa: F401  flags of configurations
 from barloom.functions.costs import Commission, Rules, Slippage, commission_of, slippage_of
 from barloom.operators.metrics import PRESETS
 
@@ -58,11 +59,3 @@ def config_of(given: dict | str | None = None) -> Config:
             given = yaml.safe_load(f) or {}
     names = {f.name for f in fields(Config)}
     return Config(**{k: v for k, v in (given or {}).items() if k in names})
-
-
-def truth(value, default: bool = False) -> bool:
-    """What a flag means: booleans, numbers and words such as yes and off; default for anything else."""
-    if isinstance(value, bool | int | float):
-        return bool(value)
-    word = str(value).strip().lower()
-    return True if word in ("1", "true", "yes", "y", "on") else False if word in ("0", "false", "no", "n", "off") else default

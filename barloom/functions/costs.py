@@ -114,6 +114,11 @@ class Rules:
     max_drawdown: float = 0.0
     drawdown_action: str = "stop"  # stop, reduce or alert
 
+    @property
+    def by_equity(self) -> bool:
+        """Whether a rule is set that depends on equity or on positions held."""
+        return any(x > 0 for x in (self.margin_ratio, self.max_position, self.max_addons, self.max_risk_per_trade, self.max_daily_loss, self.max_weekly_loss, self.max_drawdown))
+
     def limited(self, price: Column, close_before: Column) -> Column:
         """price within the limits around the close before."""
         if self.limit_up is not None:
@@ -177,8 +182,9 @@ def contract_of(symbol: str, overrides: dict[str, dict] | None = None) -> Contra
 
 
 def with_contracts(bars: DataFrame, overrides: DataFrame) -> DataFrame:
-    """bars with multiplier and min_tick of overrides (symbol, multiplier, min_tick), else of the defaults."""
-    own = overrides.select(F.upper(F.trim("symbol")).alias("_name"), F.col("multiplier").alias("_m"), F.col("min_tick").alias("_t"))
+    """bars with multiplier and min_tick of overrides (symbol, multiplier, min_tick), else of the defaults. Of several
+    overrides of a symbol that with the largest values counts."""
+    own = overrides.groupBy(F.upper(F.trim("symbol")).alias("_name")).agg(F.max(F.struct("multiplier", "min_tick")).alias("_o")).select("_name", F.col("_o.multiplier").alias("_m"), F.col("_o.min_tick").alias("_t"))
     name, general = F.upper(F.trim("symbol")), ContractSpec("*")
     multiplier, tick = F.lit(general.multiplier), F.lit(general.min_tick)
     for spec in CONTRACTS.values():

@@ -93,6 +93,7 @@ class PsarAssistV4(Assist):
     """Turns that pass the gates of a framework and its confirmations, managed by a risk mode."""
 
     name = "psar_trade_assist_v4"
+    # names, defaults and ranges of parameters are fixed values
     defaults = {
         "framework": "F1", "risk_mode": "baseline", "enable_adx": 0, "enable_rsi": 0, "enable_ma": 0, "enable_body": 0, **ASSIST_DEFAULTS, "enable_macd": 0, "macd_fast": 12, "macd_slow": 26, "macd_signal": 9, "enable_vol_filter": 0, "vol_ma_period": 20,
         "vol_ma_mult": 1.5, "enable_session": 0, "enable_momentum": 0, "donchian_period": 20, "cci_period": 14, "cci_threshold": 100.0, "enable_atr_sl": 0, "enable_structure_sl": 0, "enable_tp": 0, "enable_trailing_psar": 0,
@@ -110,7 +111,7 @@ class PsarAssistV4(Assist):
 
     def resolved(self, params):
         framework, mode = str(params.get("framework", "F1")).upper(), str(params.get("risk_mode", "baseline")).lower()
-        given = self.defaults | params | FRAMEWORKS.get(framework, {}) | RISK_MODES.get(mode, {})
+        given = super().resolved(params) | FRAMEWORKS.get(framework, {}) | RISK_MODES.get(mode, {})
         given["guarded"] = any(given[k] for k in ("enable_atr_sl", "enable_structure_sl", "enable_tp", "enable_trailing_psar", "enable_trailing_atr"))
         return given
 

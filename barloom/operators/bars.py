@@ -141,19 +141,21 @@ def part(bars: DataFrame, start: int, end: int) -> DataFrame:
     return bars.where((F.col("bar_idx") >= start) & (F.col("bar_idx") < end)).withColumn("bar_idx", F.col("bar_idx") - start)
 
 
-def continuous(contracts: DataFrame, rolls: DataFrame | None = None, method: str = "difference") -> DataFrame:
-    """One series from contracts (contract, seq, ts and prices): contract seq is used up to the next one's roll.
+def continuous(contracts: DataFrame, rolls: DataFrame | None = None, method: str = "difference", keys: list[str] | None = None) -> DataFrame:
+    """One series from contracts (contract, seq, ts and prices), or one for each of `keys`: contract seq is used up to the next one's roll.
 
-    rolls (seq, roll): when each contract but the first takes over; by default at its first bar. At each roll the
+    rolls (keys, seq, roll): when each contract but the first takes over; by default at its first bar. At each roll the
     new contract is moved onto the level of the series so far: by the difference of its first and the last
     close (`difference`) or by their ratio (`ratio`; none without both). Volume is as it was.
     """
-    own = contracts.groupBy("seq").agg(F.min("ts").alias("roll"))
-    starts = own if rolls is None else own.drop("roll").join(rolls, "seq", "left")
-    by_seq = Window.orderBy("seq")  # one row for each contract
+    keys = keys or []
+    each = [*keys, "seq"]
+    own = contracts.groupBy(*each).agg(F.min("ts").alias("roll"))
+    starts = own if rolls is None else own.drop("roll").join(rolls, each, "left")
+    by_seq = Window.partitionBy(*keys).orderBy("seq")  # one row for each contract
     spans = starts.withColumn("until", F.lead("roll").over(by_seq)).withColumn("from", F.when(F.row_number().over(by_seq) > 1, F.col("roll")))
-    used = contracts.join(small(spans.select("seq", "from", "until")), "seq").where("(from is null or ts >= from) and (until is null or ts < until)").drop("from", "until")
-    edges = used.groupBy("seq").agg(F.min_by("close", "ts").alias("first"), F.max_by("close", "ts").alias("last"))
+    used = contracts.join(small(spans.select(*each, "from", "until")), each).where("(from is null or ts >= from) and (until is null or ts < until)").drop("from", "until")
+    edges = used.groupBy(*each).agg(F.min_by("close", "ts").alias("first"), F.max_by("close", "ts").alias("last"))
     before = F.lag("last").over(by_seq)
     if method == "difference":
         # moving each contract by the gaps at all rolls so far puts it on the level of the moved ones before
@@ -163,7 +165,7 @@ def continuous(contracts: DataFrame, rolls: DataFrame | None = None, method: str
         shift = F.exp(F.sum(F.ln(step)).over(by_seq))
     else:
         raise ValueError(f"unknown roll method: {method}")
-    moved = used.join(small(edges.withColumn("shift", shift).select("seq", "shift")), "seq")
+    moved = used.join(small(edges.withColumn("shift", shift).select(*each, "shift")), each)
     change = (lambda c: F.col(c) + F.col("shift")) if method == "difference" else (lambda c: F.col(c) * F.col("shift"))
     out = moved.withColumns({c: change(c) for c in PRICES})
-    return keep_last(out, ["seq"], ["ts"]).select("ts", "contract", *FIELDS)
+    return keep_last(out, ["seq"], [*keys, "ts"]).select(*keys, "ts", "contract", *FIELDS)

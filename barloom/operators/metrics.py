@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.indicators import drawdown, simple_return
-from barloom.operators.scan import fold
 
 PERIODS = 252 * 390  # minutes of a year's trading days
 RISK_FREE = 0.02
@@ -91,32 +89,39 @@ def realised(trades: DataFrame, keys: list[str] | None = None, order: list[str]
     """Profits of closed lots, first in first out: keys, symbol, trade (place of the closing trade), lot, pnl.
 
     trades: keys, symbol, side, quantity, price and the columns `order`. A purchase closes the oldest short lots
-    and the rest opens a long one; sales mirror this. Costs aren't part of the profit. The open lots of a
-    symbol are all that is held.
+    and the rest opens a long one; sales mirror this. Costs aren't part of the profit. Quantities count to a billionth.
+
+    Between two times at which nothing is held, what opens and what closes lie on one scale of running quantity, opened and
+    closed in the same order: each stretch between two ends on it belongs to one opening and one closing trade. So all is windows by keys, symbol and such episodes.
     """
     keys, order = keys or ["combo_id"], order or ["bar_idx"]
+    own = [*keys, "symbol"]
     usable = trades.where("symbol is not null and symbol <> '' and quantity > 0")
-    placed = usable.withColumn("trade", F.row_number().over(Window.partitionBy(*keys, "symbol").orderBy(*order)))
-
-    def step(book, row):
-        side, quantity, price = row
-        book = deque() if book is None else book
-        sign, out = (1.0 if side == "BUY" else -1.0), []
-        while quantity > 0 and book and book[0][0] * sign < 0:
-            lot = book[0]
-            closed = min(quantity, abs(lot[0]))
-            out.append(closed * (price - lot[1]) * -sign)
-            quantity -= closed
-            if closed == abs(lot[0]):
-                book.popleft()
-            else:
-                book[0] = (lot[0] + sign * closed, lot[1])
-        if quantity > 0:
-            book.append((sign * quantity, price))
-        return book, (out,)
-
-    closed = fold(placed, [*keys, "symbol"], ["trade"], ["side", "quantity", "price"], lambda: None, step, "_pnl array<double>")
-    return closed.select(*keys, "symbol", *[c for c in order if c not in (*keys, "symbol", "trade")], "trade", F.posexplode("_pnl").alias("lot", "pnl"))
+    in_order = Window.partitionBy(*own).orderBy("trade")
+    placed = usable.withColumn("trade", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).withColumn("_sign", F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0))
+    held = F.sum(F.col("_sign") * F.col("quantity")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("_book", F.coalesce(F.round(held, 9), F.lit(0.0)))
+    against = F.when(F.col("_book") * F.col("_sign") < 0, F.least("quantity", F.abs("_book"))).otherwise(0.0)
+    rest = F.round(F.col("quantity") - against, 9)
+    parts = F.array(F.struct(F.lit(True).alias("closes"), against.alias("q")), F.struct(F.lit(False).alias("closes"), rest.alias("q")))
+    columns = [*own, *[c for c in order if c not in (*own, "trade")], "trade"]
+    split = placed.withColumn("_begins", (rest > 0) & (F.abs("_book") == against)).select(*columns, "price", "_sign", "_begins", F.explode(parts).alias("p")).where("p.q > 0")
+    by_part = Window.partitionBy(*own).orderBy("trade", F.desc("p.closes"))
+    episode = F.sum(F.when(F.col("_begins") & ~F.col("p.closes"), 1).otherwise(0)).over(by_part.rowsBetween(Window.unboundedPreceding, 0))
+    split = split.withColumn("_episode", episode)
+    within = [*own, "_episode"]
+    so_far = Window.partitionBy(*within, "p.closes").orderBy("trade").rowsBetween(Window.unboundedPreceding, 0)
+    ends = split.withColumn("_end", F.round(F.sum("p.q").over(so_far), 9))
+    on_scale = Window.partitionBy(*within).orderBy("_end", "trade", "p.closes")
+    # the first opening and the first closing that end here or later, found from the far end
+    back = Window.partitionBy(*within).orderBy(F.desc("_end"), F.desc("trade"), F.desc("p.closes")).rowsBetween(Window.unboundedPreceding, 0)
+    first = lambda closes, value: F.last(F.when(F.col("p.closes") == closes, value), ignorenulls=True).over(back)
+    closing = F.struct(*[F.col(c) for c in columns if c not in own], "price", "_sign")
+    pieces = ends.withColumns({"_q": F.round(F.col("_end") - F.coalesce(F.lag("_end").over(on_scale), F.lit(0.0)), 9), "_opened": first(False, F.struct("trade", "price")), "_closed": first(True, closing)})
+    pieces = pieces.where("_q > 0 and _opened is not null and _closed is not null")
+    pnl = F.col("_q") * (F.col("_closed.price") - F.col("_opened.price")) * -F.col("_closed._sign")
+    lot = F.row_number().over(Window.partitionBy(*own, "_closed.trade").orderBy("_opened.trade")) - 1
+    return pieces.select(*own, *[F.col(f"_closed.{c}").alias(c) for c in columns if c not in own], lot.alias("lot"), pnl.alias("pnl"))
 
 
 def trade_metrics(trades: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:

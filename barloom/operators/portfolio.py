@@ -1,7 +1,8 @@
 """Simulation of signals: positions one bar later, fills at the open, costs, equity, trades, risk rules.
 
 vector() is window functions and aggregates alone. sequential() also applies rules that depend on equity, so
-it streams each combination's bars in order through a step that sees all assets of a bar.
+it streams each combination's bars in order through a step that sees all assets of a bar. equity_under() takes the
+first where no such rule is set.
 Signals are rows (combo_id, symbol, ts, bar_idx, open, close, volume, signal) with every symbol in every bar.
 """
 
@@ -63,6 +64,17 @@ def vector(signals: DataFrame, slippage: Slippage, commission: Commission, rules
     return equity_of(positions(signals, slippage, commission, rules, multiplier), cash)
 
 
+def equity_under(signals: DataFrame, slippage: Slippage, commission: Commission, rules: Rules | None = None, cash: float = CASH, multiplier: float = 1.0) -> DataFrame:
+    """combo_id, ts, bar_idx, equity, ret, turnover of all combinations under all rules: what a single run gives each of them.
+
+    Without rules that depend on equity, and no multiplier by row, this is vector() as long as no combination loses all its
+    cash; rules are applied by sequential(), whose combinations are independent tasks.
+    """
+    if rules is None or not rules.by_equity:
+        return vector(signals, slippage, commission, rules, cash, multiplier)
+    return sequential(signals, slippage, commission, rules, cash, multiplier).select("combo_id", "ts", "bar_idx", "equity", "ret", "turnover")
+
+
 def trades_of(held: DataFrame) -> DataFrame:
     """Fills of positions() with a change of position."""
     some = held.where("abs(delta) >= 1e-12 and close_before is not null")
@@ -78,19 +90,19 @@ def bankruptcy(equity: DataFrame) -> DataFrame:
     return equity.groupBy("combo_id").agg(first.isNotNull().alias("bankrupt"), first.alias("bankrupt_bar"))
 
 
-def cost_scenarios(signals: DataFrame, scenarios: dict[str, tuple[Slippage, Commission]], rules: Rules | None = None, cash: float = CASH) -> DataFrame:
+def cost_scenarios(signals: DataFrame, scenarios: dict[str, tuple[Slippage, Commission]], rules: Rules | None = None, cash: float = CASH, multiplier: float = 1.0) -> DataFrame:
     """vector() of one set of signals under each named pair of costs, with the column scenario; one job.
 
     Positions are found once; each scenario only prices them anew.
     """
     if not scenarios or any(not n.strip() for n in scenarios):
         raise ValueError("scenarios need names")
-    base = positions(signals, FixedSlippage(0.0), FixedCommission(0.0), rules).drop("fill_price", "slippage_cash", "commission_cash")
+    base = positions(signals, FixedSlippage(0.0), FixedCommission(0.0), rules, multiplier).drop("fill_price", "slippage_cash", "commission_cash")
     priced = []
     for name, (slippage, commission) in scenarios.items():
         price = slippage.price(F.col("open"), F.col("delta"), F.abs("delta"), F.col("volume"))
         price = rules.limited(price, F.col("close_before")) if rules and (rules.limit_up or rules.limit_down) else price
-        slip, fee = F.abs(price - F.col("open")) * F.abs("delta"), commission.cash(F.abs(price) * F.abs("delta"), F.abs("delta"))
+        slip, fee = F.abs(price - F.col("open")) * F.abs("delta") * multiplier, commission.cash(F.abs(price) * F.abs("delta") * multiplier, F.abs("delta"))
         priced.append(F.struct(F.lit(name).alias("scenario"), slip.alias("slip"), fee.alias("fee")))
     each = base.withColumn("_priced", F.explode(F.array(*priced)))
     later = F.col("close_before").isNotNull()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,25 +60,51 @@ def draws(axes: dict[str, Axis], n: int, seed: int) -> list[dict]:
     return [{name: axis.draw(rng) for name, axis in axes.items()} for _ in range(n)]
 
 
-def scores(bars: DataFrame, strategy: Strategy, sets: list[dict], metric: str, slippage: Slippage, commission: Commission, rules: Rules | None = None, periods: float = metrics.PERIODS) -> DataFrame:
-    """combo_id, score of each set: signals, simulation and measure of all of them in one plan."""
+@dataclass(frozen=True)
+class Terms:
+    """What every set of a search is simulated and measured under, as a single run is."""
+
+    slippage: Slippage
+    commission: Commission
+    rules: Rules | None = None
+    cash: float = portfolio.CASH
+    multiplier: float = 1.0
+    periods: float = metrics.PERIODS
+    risk_free: float = metrics.RISK_FREE
+
+    def equity(self, signals: DataFrame) -> DataFrame:
+        return portfolio.equity_under(signals, self.slippage, self.commission, self.rules, self.cash, self.multiplier)
+
+
+def scores(bars: DataFrame, strategy: Strategy, sets: list[dict], metric: str, terms: Terms) -> DataFrame:
+    """combo_id, score of each set: signals, simulation under all rules, and measure of all of them in one plan."""
     market = metrics.market_returns(bars) if metric == "beta" else None
-    signals = strategy.signals(bars, sets)
-    equity = portfolio.vector(signals, slippage, commission, rules)
-    return metrics.batch_score(equity, metric, periods, market=market)
+    return metrics.batch_score(terms.equity(strategy.signals(bars, sets)), metric, terms.periods, terms.risk_free, market)
 
 
-def scorer(bars: DataFrame, strategy: Strategy, metric: str, slippage: Slippage, commission: Commission, rules: Rules | None = None, periods: float = metrics.PERIODS) -> Score:
-    """A function that scores a batch of sets; bars are cached for it. The driver gets one number for each set."""
-    held = bars.cache()
+def scorer(bars: DataFrame, strategy: Strategy, metric: str, terms: Terms) -> Score:
+    """A function that scores a batch of sets. The driver gets one number for each set."""
 
     def score(sets: list[dict]) -> list[float]:
-        found = dict(scores(held, strategy, sets, metric, slippage, commission, rules, periods).collect())
+        found = dict(scores(bars, strategy, sets, metric, terms).collect())
         return [found.get(k, float("nan")) for k in range(len(sets))]
 
     return score
 
 
+@contextlib.contextmanager
+def kept(bars: DataFrame) -> Iterator[DataFrame]:
+    """bars, cached while a search uses them over and over; bars that are cached already are left as they are."""
+    if bars.is_cached:
+        yield bars
+        return
+    held = bars.cache()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def _in_batches(score: Score, sets: list[dict], batch: int) -> list[tuple[dict, float]]:
     parts = [sets[first : first + batch] for first in range(0, len(sets), batch)]
     return [pair for part in parts for pair in zip(part, score(part), strict=True)]

@@ -12,6 +12,10 @@ from barloom.operators import metrics, portfolio
 from barloom.operators.indicators import drawdown
 
 
+#: Hypotheses of one correction: they are ranked in one window.
+MOST_TESTS = 10_000_000
+
+
 def windows(spark: SparkSession, n_bars: int, train: int, test: int, step: int) -> DataFrame:
     """window, train_start, train_end, test_start, test_end (ends exclusive), each `step` bars on."""
     if min(train, test, step) <= 0:
@@ -49,10 +53,13 @@ def walk_forward(signals: DataFrame, spans: DataFrame, simulate: Callable[[DataF
 def benjamini_hochberg(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """tests with adjusted (p * m / rank, least over larger ranks, at most 1) and rejected.
 
-    p outside [0, 1] or empty raises. The ranks are of one table of tests, which has a row for each hypothesis.
+    p outside [0, 1] or empty raises. The ranks are of one table of tests, which has a row for each hypothesis; more
+    than MOST_TESTS raise ValueError.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must be between 0 and 1")
+    if tests.limit(MOST_TESTS + 1).count() > MOST_TESTS:
+        raise ValueError(f"more than {MOST_TESTS} tests")
     checked = F.when(F.col(p).isNull() | F.isnan(p) | (F.col(p) < 0) | (F.col(p) > 1), F.raise_error(F.lit("p-values must be in [0, 1]")).cast("double")).otherwise(F.col(p))
     by_p = Window.orderBy("_p")
     ranked = tests.withColumn("_p", checked).withColumn("_rank", F.row_number().over(by_p)).withColumn("_m", F.count("*").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -85,15 +92,30 @@ def sensitivity(spark: SparkSession, base: dict, score: Callable[[list[dict]], d
     return out.withColumn("largest_change", F.greatest(F.abs(F.col("low_score") - F.col("base_score")), F.abs(F.col("high_score") - F.col("base_score"))))
 
 
-def permutation_test(equity: DataFrame, keys: list[str], permutations: int = 1000, alpha: float = 0.05, periods: float = 525_600, risk_free: float = 0.0) -> DataFrame:
-    """keys, sharpe, p_value, significant of a test by reordering returns.
+def permutation_test(equity: DataFrame, keys: list[str], permutations: int = 1000, alpha: float = 0.05, periods: float = 525_600, risk_free: float = 0.0, statistic: str = "sharpe", seed: int = 42) -> DataFrame:
+    """keys, the statistic (of metrics.PERFORMANCE), p_value, significant of a test by reordering returns: the share of
+    orders, the actual one among them, in which the statistic is as large or larger.
 
-    The ratio doesn't depend on their order, so every reordering ties with the actual one and p is 1; it is
-    stated here rather than drawn from rounding noise.
+    Measures of max_drawdown and calmar depend on the order; each reordering goes by a hash of seed, its number and the bar, and is a
+    series of its own, compounded from the first equity. The other measures don't depend on order, so
+    every reordering ties with the actual one and p is 1; that is stated rather than drawn from rounding noise.
     """
-    actual = metrics.performance(equity, keys, periods, risk_free).select(*keys, "sharpe")
-    p = F.lit((permutations + 1.0) / (permutations + 1.0))
-    return actual.withColumn("p_value", p).withColumn("significant", p < alpha)
+    actual = metrics.performance(equity, keys, periods, risk_free).select(*keys, statistic)
+    if statistic not in ("max_drawdown", "calmar"):
+        p = F.lit((permutations + 1.0) / (permutations + 1.0))
+        return actual.withColumn("p_value", p).withColumn("significant", p < alpha)
+    first = equity.groupBy(*keys).agg(F.min_by("equity", "bar_idx").alias("_first"))
+    rows = equity.select(*keys, "bar_idx", "ret").join(first, keys).withColumn("_order", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    own = [*keys, "_order"]
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), "_order", "bar_idx"))
+    placed = rows.where("bar_idx > 0").withColumn("bar_idx", F.row_number().over(Window.partitionBy(*own).orderBy(drawn)))
+    started = rows.where("bar_idx = 0").withColumn("ret", F.lit(0.0))
+    w = Window.partitionBy(*own).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.col("_first") * F.exp(F.sum(F.ln(F.greatest(1 + F.col("ret"), F.lit(1e-300)))).over(w))
+    shuffled = metrics.performance(started.unionByName(placed).withColumn("equity", grown), own, periods, risk_free).select(*own, F.col(statistic).alias("_drawn"))
+    found = shuffled.join(actual, keys).groupBy(*keys).agg(F.first(statistic).alias(statistic), F.count(F.when(F.col("_drawn") >= F.col(statistic), 1)).alias("_n"))
+    p = (F.col("_n") + 1) / (permutations + 1)
+    return found.select(*keys, statistic, p.alias("p_value"), (p < alpha).alias("significant"))
 
 
 def regimes(rows: DataFrame, k: int = 3, keys: list[str] | None = None, periods: float = 525_600, risk_free: float = 0.0) -> DataFrame:

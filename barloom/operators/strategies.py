@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import clipped, series
+from barloom.functions.columns import clipped, series, truth
 from barloom.operators import indicators
 from barloom.operators.scan import linear
 
@@ -146,10 +146,6 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _choices(low: float, high: float, step: float, kind: str = "float") -> Axis:
-    return Axis(kind, low, high, step)
-
-
 #: What both assistants share: parameters, their defaults and axes (fixed names and values).
 ASSIST_DEFAULTS = {
     "enable_adaptive_step": 1, "require_adx_slope": 1, "atr_period": 14, "atr_ratio_window": 100, "atr_ratio_low": 0.70, "atr_ratio_high": 1.50, "psar_step_low": 0.015, "psar_step_mid": 0.025, "psar_step_high": 0.040, "psar_max": 0.20,
@@ -157,10 +153,10 @@ ASSIST_DEFAULTS = {
 }
 SWITCH = Axis("choice", choices=(0, 1))
 ASSIST_AXES = {
-    "enable_adaptive_step": SWITCH, "require_adx_slope": SWITCH, "atr_period": _choices(10, 20, 2, "int"), "atr_ratio_window": _choices(50, 150, 25, "int"), "atr_ratio_low": _choices(0.5, 0.9, 0.1), "atr_ratio_high": _choices(1.2, 2.0, 0.1),
-    "psar_step_low": _choices(0.010, 0.020, 0.005), "psar_step_mid": _choices(0.020, 0.035, 0.005), "psar_step_high": _choices(0.035, 0.050, 0.005), "psar_max": _choices(0.15, 0.25, 0.05), "adx_period": _choices(10, 20, 2, "int"),
-    "adx_threshold": _choices(15, 25, 2.5), "ma_fast": _choices(10, 30, 5, "int"), "ma_slow": _choices(30, 90, 10, "int"), "rsi_period": _choices(10, 20, 2, "int"), "rsi_upper": _choices(70, 85, 5), "rsi_lower": _choices(15, 35, 5),
-    "body_atr_mult": _choices(2.0, 3.5, 0.5),
+    "enable_adaptive_step": SWITCH, "require_adx_slope": SWITCH, "atr_period": Axis("int", 10, 20, 2), "atr_ratio_window": Axis("int", 50, 150, 25), "atr_ratio_low": Axis("float", 0.5, 0.9, 0.1), "atr_ratio_high": Axis("float", 1.2, 2.0, 0.1),
+    "psar_step_low": Axis("float", 0.010, 0.020, 0.005), "psar_step_mid": Axis("float", 0.020, 0.035, 0.005), "psar_step_high": Axis("float", 0.035, 0.050, 0.005), "psar_max": Axis("float", 0.15, 0.25, 0.05), "adx_period": Axis("int", 10, 20, 2),
+    "adx_threshold": Axis("float", 15, 25, 2.5), "ma_fast": Axis("int", 10, 30, 5), "ma_slow": Axis("int", 30, 90, 10), "rsi_period": Axis("int", 10, 20, 2), "rsi_upper": Axis("float", 70, 85, 5), "rsi_lower": Axis("float", 15, 35, 5),
+    "body_atr_mult": Axis("float", 2.0, 3.5, 0.5),
 }
 
 
@@ -178,7 +174,9 @@ class Assist(Strategy):
         return _united(parts).select("combo_id", *KEEP, "signal")
 
     def resolved(self, params: dict) -> dict:
-        return self.defaults | params
+        """params completed by defaults; switches (enable_, require_) may be given as words such as yes and off."""
+        given = self.defaults | params
+        return given | {k: int(truth(v, bool(self.defaults[k]))) for k, v in given.items() if k.startswith(("enable_", "require_")) and k in self.defaults}
 
     def one(self, bars: DataFrame, p: dict) -> DataFrame:
         raise NotImplementedError

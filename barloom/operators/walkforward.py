@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import small
-from barloom.functions.costs import Commission, Rules, Slippage
-from barloom.operators import metrics, portfolio, search
+from barloom.operators import metrics, search
 from barloom.operators.bars import part
 from barloom.operators.strategies import Axis, Strategy
 
@@ -40,20 +39,21 @@ def folds(n_bars: int, splits: int = 5, share: float = 0.7, expanding: bool = Fa
     return out
 
 
-def grid_by_fold(bars: DataFrame, cut: list[Fold], strategy: Strategy, sets: list[dict], metric: str, slippage: Slippage, commission: Commission, maximize: bool = True, periods: float = metrics.PERIODS) -> DataFrame:
+def grid_by_fold(bars: DataFrame, cut: list[Fold], strategy: Strategy, sets: list[dict], metric: str, terms: search.Terms, maximize: bool = True) -> DataFrame:
     """fold, combo_id, score and out-of-sample score of the best set of each fold; all folds and sets in one job.
 
-    Indicators begin anew in every stretch, as bars are counted from its start.
+    Indicators begin anew in every stretch, as bars are counted from its start. Every stretch of a symbol is a series of its
+    own: its name is the stretch's number before the symbol.
     """
     spark = bars.sparkSession
     spans = spark.createDataFrame([(f.fold, s, a, b) for f in cut for s, a, b in (("is", f.is_start, f.is_end), ("oos", f.oos_start, f.oos_end))], "fold int, split string, from int, to int")
     pieces = bars.join(small(spans), (F.col("bar_idx") >= F.col("from")) & (F.col("bar_idx") < F.col("to"))).withColumn("bar_idx", F.col("bar_idx") - F.col("from"))
-    keyed = pieces.withColumn("symbol", F.to_json(F.struct("fold", "split", "symbol"))).drop("fold", "split", "from", "to")
-    signals = strategy.signals(keyed, sets)
-    parts = F.from_json("symbol", "fold int, split string, symbol string")
-    named = signals.withColumn("_p", parts).withColumn("symbol", F.col("_p.symbol")).withColumn("combo_id", F.struct("combo_id", F.col("_p.fold").alias("fold"), F.col("_p.split").alias("split"))).drop("_p")
-    equity = portfolio.vector(named, slippage, commission)
-    scored = metrics.batch_score(equity, metric, periods).select("combo_id.*", "score")
+    stretch = F.concat_ws("|", F.col("fold").cast("string"), "split", "symbol")
+    signals = strategy.signals(pieces.withColumn("symbol", stretch).drop("fold", "split", "from", "to"), sets)
+    parts = F.split("symbol", r"\|", 3)
+    series = F.struct("combo_id", parts[0].cast("int").alias("fold"), parts[1].alias("split"))
+    named = signals.withColumn("combo_id", series).withColumn("symbol", parts[2])
+    scored = metrics.batch_score(terms.equity(named), metric, terms.periods, terms.risk_free).select("combo_id.*", "score")
     wide = scored.groupBy("fold", "combo_id").agg(*[F.max(F.when(F.col("split") == s, F.col("score"))).alias(f"{s}_score") for s in ("is", "oos")])
     order = F.struct(F.col("is_score") if maximize else -F.col("is_score"), -F.col("combo_id"))
     return wide.groupBy("fold").agg(F.max_by(F.struct("combo_id", "is_score", "oos_score"), order).alias("b")).select("fold", "b.*")
@@ -77,21 +77,25 @@ class Outcome:
         return out
 
 
-def run(bars: DataFrame, n_bars: int, strategy: Strategy, slippage: Slippage, commission: Commission, metric: str = "sharpe", method: str = "bayesian", trials: int = 100, splits: int = 5, share: float = 0.7, expanding: bool = False, maximize: bool = True, seed: int = 42, axes: dict[str, Axis] | None = None, rules: Rules | None = None, periods: float = metrics.PERIODS) -> Outcome:
-    """Optimises inside each fold by any method and reports the best set inside and outside."""
+def run(bars: DataFrame, n_bars: int, strategy: Strategy, terms: search.Terms, metric: str = "sharpe", method: str = "bayesian", trials: int = 100, splits: int = 5, share: float = 0.7, expanding: bool = False, maximize: bool = True, seed: int = 42, axes: dict[str, Axis] | None = None) -> Outcome:
+    """Optimises inside each fold by any method and reports the best set inside and outside, under the same terms."""
     out = []
     for fold in folds(n_bars, splits, share, expanding):
         inside, outside = part(bars, fold.is_start, fold.is_end), part(bars, fold.oos_start, fold.oos_end)
-        score = search.scorer(inside, strategy, metric, slippage, commission, rules, periods)
-        if method == "grid":
-            found = search.grid(strategy, score, metric, axes, maximize)
-        elif method == "random":
-            found = search.randomly(strategy, score, metric, trials, seed, axes, maximize)
-        elif method == "genetic":
-            found = search.genetic(strategy, score, metric, max(1, trials // 10), 10, seed, axes, maximize)
-        else:
-            found = search.bayesian(strategy, score, metric, trials, seed, axes, maximize)
-        best = found.best[0]
-        own = [metrics.performance(portfolio.vector(strategy.signals(b, [best]), slippage, commission, rules), ["combo_id"], periods).first().asDict() for b in (inside, outside)]
+        with search.kept(inside) as held:
+            score = search.scorer(held, strategy, metric, terms)
+            if method == "grid":
+                found = search.grid(strategy, score, metric, axes, maximize)
+            elif method == "random":
+                found = search.randomly(strategy, score, metric, trials, seed, axes, maximize)
+            elif method == "genetic":
+                found = search.genetic(strategy, score, metric, max(1, trials // 10), 10, seed, axes, maximize)
+            else:
+                found = search.bayesian(strategy, score, metric, trials, seed, axes, maximize)
+            best = found.best[0]
+            own = []
+            for stretch in (held, outside):
+                curve = terms.equity(strategy.signals(stretch, [best]))
+                own.append(metrics.performance(curve, ["combo_id"], terms.periods, terms.risk_free, metrics.market_returns(stretch)).first().asDict())
         out.append((fold, best, *own))
     return Outcome(out)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barloom.config import Config
 from barloom.functions.costs import Commission, Slippage
@@ -76,30 +78,40 @@ def _simulated(signals: DataFrame, c: Config) -> DataFrame:
 
 
 def compare_costs(bars: DataFrame, name: str, params: dict, scenarios: dict[str, tuple[Slippage, Commission]], config: Config | None = None) -> DataFrame:
-    """Measures of one run under each named pair of costs, in one job."""
+    """Measures of one run under each named pair of costs and all rules, in one job."""
     config = config or Config()
     signals = strategy(name).signals(bars, [strategy(name).defaults | params])
-    equity = portfolio.cost_scenarios(signals, scenarios, cash=config.initial_cash)
+    rules = config.trading_rules
+    if rules.by_equity:
+        runs = [portfolio.equity_under(signals, *costs, rules, config.initial_cash, config.contract_multiplier).withColumn("scenario", F.lit(name)) for name, costs in scenarios.items()]
+        equity = reduce(DataFrame.unionByName, runs)
+    else:
+        equity = portfolio.cost_scenarios(signals, scenarios, rules, config.initial_cash, config.contract_multiplier)
     return metrics.performance(equity, ["scenario"], config.periods_per_year, config.risk_free_rate)
 
 
+def terms_of(c: Config) -> search.Terms:
+    return search.Terms(c.slippage, c.commission, c.trading_rules, c.initial_cash, c.contract_multiplier, c.periods_per_year, c.risk_free_rate)
+
+
 def optimise(bars: DataFrame, name: str, method: str = "grid", axes: dict[str, Axis] | None = None, config: Config | None = None) -> search.Found:
-    """Searches a strategy's parameters by grid, random, bayesian or genetic."""
+    """Searches a strategy's parameters by grid, random, bayesian or genetic; every set is simulated as backtest() does."""
     c, chosen = config or Config(), strategy(name)
-    score = search.scorer(bars, chosen, c.metric, c.slippage, c.commission, periods=c.periods_per_year)
-    if method == "grid":
-        return search.grid(chosen, score, c.metric, axes, c.maximize, c.batch_size)
-    if method == "random":
-        return search.randomly(chosen, score, c.metric, c.trials, c.seed, axes, c.maximize, c.batch_size)
-    if method == "bayesian":
-        return search.bayesian(chosen, score, c.metric, c.trials, c.seed, axes, c.maximize, c.batch_size)
-    if method == "genetic":
-        people = max(4, min(c.batch_size, c.trials))
-        return search.genetic(chosen, score, c.metric, max(1, c.trials // max(2, people)), people, c.seed, axes, c.maximize)
+    with search.kept(bars) as held:
+        score = search.scorer(held, chosen, c.metric, terms_of(c))
+        if method == "grid":
+            return search.grid(chosen, score, c.metric, axes, c.maximize, c.batch_size)
+        if method == "random":
+            return search.randomly(chosen, score, c.metric, c.trials, c.seed, axes, c.maximize, c.batch_size)
+        if method == "bayesian":
+            return search.bayesian(chosen, score, c.metric, c.trials, c.seed, axes, c.maximize, c.batch_size)
+        if method == "genetic":
+            people = max(4, min(c.batch_size, c.trials))
+            return search.genetic(chosen, score, c.metric, max(1, c.trials // max(2, people)), people, c.seed, axes, c.maximize)
     raise ValueError(f"unknown method: {method}")
 
 
 def walk_forward(bars: DataFrame, n_bars: int, name: str, method: str = "bayesian", splits: int = 5, share: float = 0.7, expanding: bool = False, axes: dict[str, Axis] | None = None, config: Config | None = None) -> walkforward.Outcome:
     c = config or Config()
     chosen: Strategy = strategy(name)
-    return walkforward.run(bars, n_bars, chosen, c.slippage, c.commission, c.metric, method, c.trials, splits, share, expanding, c.maximize, c.seed, axes, periods=c.periods_per_year)
+    return walkforward.run(bars, n_bars, chosen, terms_of(c), c.metric, method, c.trials, splits, share, expanding, c.maximize, c.seed, axes)

@@ -12,7 +12,9 @@ from barloom.operators import bars as bar_ops
 from barloom.operators import indicators as ind
 from barloom.operators import assist_v4, metrics, portfolio, search, stability, strategies, walkforward  # noqa: F401  assist_v4 registers itself
 from barloom.plans import oracles as sql
-from barloom.plans.oracles import BAR_ROW, HOURLY, W, over_bars, r, rows, smoothed, summed
+from barloom.plans import state_sql
+from barloom.plans.oracles import BAR_ROW, HOURLY, W, over_bars, r, rows, smoothed
+from barloom.plans.state_sql import ADX, RSI
 from barloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +22,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 HOURS = 252.0 * 24
 SLIPPAGE, COMMISSION = costs.PercentSlippage(0.0001), costs.PercentCommission(0.0002)
+TERMS = search.Terms(SLIPPAGE, COMMISSION, periods=HOURS)
 
 
 def _rounded(c: str) -> Column:
@@ -129,31 +132,31 @@ def dedupe_keep_last(spark, sf_dir):
 
 
 def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of one type of event, those of each third day's stretch as a contract."""
-    bars = tables.event_bars(spark, sf_dir).where("symbol = 'click'")
-    return bars.withColumn("seq", F.floor((F.dayofmonth("ts") - 1) / 10).cast("int")).withColumn("contract", F.concat(F.lit("C"), F.col("seq").cast("string"))).drop("symbol")
+    """Bars of each type of event, those of each ten days' stretch as a contract."""
+    bars = tables.event_bars(spark, sf_dir)
+    return bars.withColumn("seq", F.floor((F.dayofmonth("ts") - 1) / 10).cast("int")).withColumn("contract", F.concat(F.lit("C"), F.col("seq").cast("string")))
 
 
 def _continuous(change: str, step: str) -> str:
     return over_bars(
-        f"SELECT epoch(ts)::BIGINT AS at, contract, {r(f'open {change} shift', 'open')}, {r(f'close {change} shift', 'close')}, {r('volume', 'volume')} FROM c JOIN moved USING (seq)",
-        "c AS (SELECT *, ((day(ts) - 1) // 10)::INTEGER AS seq, 'C' || ((day(ts) - 1) // 10)::INTEGER AS contract FROM raw WHERE symbol = 'click')",
-        "edges AS (SELECT seq, arg_min(close, ts) AS first_close, arg_max(close, ts) AS last_close FROM c GROUP BY seq)",
-        f"moved AS (SELECT seq, {step} AS shift FROM (SELECT *, lag(last_close) OVER (ORDER BY seq) AS before FROM edges))",
+        f"SELECT symbol, epoch(ts)::BIGINT AS at, contract, {r(f'open {change} shift', 'open')}, {r(f'close {change} shift', 'close')}, {r('volume', 'volume')} FROM c JOIN moved USING (symbol, seq)",
+        "c AS (SELECT *, ((day(ts) - 1) // 10)::INTEGER AS seq, 'C' || ((day(ts) - 1) // 10)::INTEGER AS contract FROM raw)",
+        "edges AS (SELECT symbol, seq, arg_min(close, ts) AS first_close, arg_max(close, ts) AS last_close FROM c GROUP BY symbol, seq)",
+        f"moved AS (SELECT symbol, seq, {step} AS shift FROM (SELECT *, lag(last_close) OVER (PARTITION BY symbol ORDER BY seq) AS before FROM edges))",
         base=HOURLY,
     )
 
 
-@query(_continuous("+", "sum(coalesce(before - first_close, 0)) OVER (ORDER BY seq)"))
+@query(_continuous("+", "sum(coalesce(before - first_close, 0)) OVER (PARTITION BY symbol ORDER BY seq)"))
 def continuous_difference(spark, sf_dir):
-    out = bar_ops.continuous(_contracts(spark, sf_dir))
-    return out.select(F.unix_timestamp("ts").alias("at"), "contract", "open", "close", "volume")
+    out = bar_ops.continuous(_contracts(spark, sf_dir), keys=["symbol"])
+    return out.select("symbol", F.unix_timestamp("ts").alias("at"), "contract", "open", "close", "volume")
 
 
-@query(_continuous("*", "exp(sum(ln(coalesce(before / first_close, 1))) OVER (ORDER BY seq))"))
+@query(_continuous("*", "exp(sum(ln(coalesce(before / first_close, 1))) OVER (PARTITION BY symbol ORDER BY seq))"))
 def continuous_ratio(spark, sf_dir):
-    out = bar_ops.continuous(_contracts(spark, sf_dir), method="ratio")
-    return out.select(F.unix_timestamp("ts").alias("at"), "contract", "open", "close", "volume")
+    out = bar_ops.continuous(_contracts(spark, sf_dir), method="ratio", keys=["symbol"])
+    return out.select("symbol", F.unix_timestamp("ts").alias("at"), "contract", "open", "close", "volume")
 
 
 # Indicators
@@ -178,9 +181,6 @@ def wilder(spark, sf_dir):
     return _indexed(ind.wilder(_all(spark, sf_dir), 14), "wilder")
 
 
-RSI = [sql.CHANGES, smoothed("g", "changes", "gain", "1.0::DOUBLE / 14"), smoothed("l", "changes", "loss", "1.0::DOUBLE / 14"), "rsis AS MATERIALIZED (SELECT symbol, bar_idx, 100 - 100 / (1 + g.v / (l.v + 1e-12)) AS rsi FROM g JOIN l USING (symbol, bar_idx))"]
-
-
 @query(_over([("rsi", "rsi")], *RSI, source="rsis", recursive=True))
 def rsi(spark, sf_dir):
     return _indexed(ind.rsi(_all(spark, sf_dir)), "rsi")
@@ -201,33 +201,12 @@ def atr(spark, sf_dir):
     return _indexed(ind.atr(_all(spark, sf_dir)), "atr")
 
 
-ADX = [
-    sql.RANGES, "moves AS MATERIALIZED (SELECT symbol, bar_idx, CASE WHEN bar_idx > 0 AND up > dn AND up > 0 THEN up ELSE 0 END AS pdm, CASE WHEN bar_idx > 0 AND dn > up AND dn > 0 THEN dn ELSE 0 END AS mdm, CASE WHEN bar_idx > 0 THEN tr ELSE 0 END AS tr FROM ranges)",
-    summed("p", "moves", "pdm", 14), summed("q", "moves", "mdm", 14), summed("t", "moves", "tr", 14),
-    "di AS (SELECT symbol, bar_idx, CASE WHEN t.v > 0 THEN p.v * 100 / t.v ELSE 0 END AS plus_di, CASE WHEN t.v > 0 THEN q.v * 100 / t.v ELSE 0 END AS minus_di FROM p JOIN q USING (symbol, bar_idx) JOIN t USING (symbol, bar_idx))",
-    "dx AS MATERIALIZED (SELECT *, CASE WHEN plus_di + minus_di > 0 THEN abs(plus_di - minus_di) * 100 / (plus_di + minus_di) ELSE 0 END AS dx FROM di)",
-    "terms AS MATERIALIZED (SELECT symbol, bar_idx, CASE bar_idx WHEN 0 THEN 0 WHEN 1 THEN dx ELSE dx / 14 END AS u FROM dx)", summed("a", "terms", "u", 14),
-]
-
-
 @query(_over([("a.v", "adx"), ("plus_di", "plus_di"), ("minus_di", "minus_di")], *ADX, source="a JOIN dx USING (symbol, bar_idx)", recursive=True))
 def adx(spark, sf_dir):
     return _indexed(ind.adx(_all(spark, sf_dir)), "adx", "plus_di", "minus_di")
 
 
-PSAR = f"""near AS MATERIALIZED (SELECT *, lead(close) OVER ({W}) AS following, lag(low) OVER ({W}) AS l1, lag(low, 2) OVER ({W}) AS l2, lag(high) OVER ({W}) AS h1, lag(high, 2) OVER ({W}) AS h2 FROM bars),
-sar AS MATERIALIZED (
-  SELECT symbol, bar_idx, following > close AS up, 0.02::DOUBLE AS af, CASE WHEN following > close THEN high ELSE low END AS ep, CASE WHEN following > close THEN low ELSE high END AS sar FROM near WHERE bar_idx = 0
-  UNION ALL
-  SELECT symbol, bar_idx, CASE WHEN turns THEN NOT up ELSE up END, CASE WHEN turns THEN 0.02::DOUBLE WHEN (up AND high > ep) OR (NOT up AND low < ep) THEN least(af + 0.02::DOUBLE, 0.2::DOUBLE) ELSE af END,
-    CASE WHEN turns THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(high, ep) ELSE least(low, ep) END, CASE WHEN turns THEN ep ELSE s END
-  FROM (SELECT *, CASE WHEN up THEN s > low ELSE s < high END AS turns FROM (
-    SELECT n.*, p.up, p.af, p.ep, CASE WHEN p.up THEN least(p.sar + p.af * (p.ep - p.sar), l1, coalesce(l2, l1)) ELSE greatest(p.sar + p.af * (p.ep - p.sar), h1, coalesce(h2, h1)) END AS s
-    FROM sar p JOIN near n ON n.symbol = p.symbol AND n.bar_idx = p.bar_idx + 1))
-)"""
-
-
-@query(_over([("sar", "sar")], PSAR, source="sar", recursive=True))
+@query(_over([("sar", "sar")], state_sql.NEAR, state_sql.stop_levels("sar", 0.02), source="sar", recursive=True))
 def parabolic_sar(spark, sf_dir):
     return _indexed(ind.parabolic_sar(_all(spark, sf_dir)), "sar")
 
@@ -387,12 +366,12 @@ def signal_combined(spark, sf_dir):
     return _indexed(strategies.combined([(one, 2.0), (other, 1.0)]), "signal")
 
 
-@query()
+@query(over_bars(f"SELECT symbol, bar_idx, {state_sql.V3_SIGNAL}::DOUBLE AS signal FROM turns", *state_sql.SEEN, *state_sql.V3, recursive=True))
 def signal_psar_v3(spark, sf_dir):
     return _indexed(strategies.strategy("psar_trade_assist_v3").signals(_all(spark, sf_dir), [{"atr_ratio_window": 30, "adx_threshold": 10.0, "require_adx_slope": 0}]), "signal")
 
 
-@query()
+@query(over_bars(f"SELECT symbol, bar_idx, {r('size', 'signal')} FROM trade", *state_sql.SEEN, *state_sql.V4, recursive=True))
 def signal_psar_v4(spark, sf_dir):
     params = {"framework": "F2", "risk_mode": "aggressive", "atr_ratio_window": 30, "adx_threshold": 10.0, "require_adx_slope": 0}
     return _indexed(strategies.strategy("psar_trade_assist_v4").signals(_all(spark, sf_dir), [params]), "signal")
@@ -446,15 +425,20 @@ def sim_sequential(spark, sf_dir):
 RULES = costs.Rules(margin_ratio=0.5, max_position=0.8, max_risk_per_trade=0.5, max_daily_loss=0.05, max_weekly_loss=0.1, max_drawdown=0.3, drawdown_action="reduce")
 
 
-@query()
+RULED = state_sql.ruled(0.5, 0.8, 0.5, 0.05, 0.1, 0.3, 3000.0)
+_ONE = sql.SMA_SIGNAL.replace("SELECT *, CASE WHEN fast", "SELECT 0::BIGINT AS combo_id, *, CASE WHEN fast")
+
+
+@query(over_bars(f"SELECT bar_idx, {r('equity', 'equity')}, {r('ret', 'ret')}, {r('turnover', 'turnover')}, len(events)::INTEGER AS events, trades::INTEGER AS trades FROM state", _ONE, RULED, recursive=True))
 def sim_rules(spark, sf_dir):
     out = portfolio.sequential(_sma_signals(spark, sf_dir), SLIPPAGE, COMMISSION, RULES, cash=3000.0)
     return out.select(F.col("bar_idx").cast("int").alias("bar_idx"), "equity", "ret", "turnover", F.size("events").alias("events"), F.size("trades").alias("trades"))
 
 
-@query()
+@query(over_bars("SELECT combo_id, bar_idx AS bar, split_part(event, '|', 1) AS type, split_part(event, '|', 2) AS detail FROM (SELECT *, unnest(events) AS event FROM state)", _ONE, RULED, recursive=True))
 def risk_events(spark, sf_dir):
-    return portfolio.events_of(portfolio.sequential(_sma_signals(spark, sf_dir), SLIPPAGE, COMMISSION, RULES, cash=3000.0))
+    found = portfolio.events_of(portfolio.sequential(_sma_signals(spark, sf_dir), SLIPPAGE, COMMISSION, RULES, cash=3000.0))
+    return found.withColumn("bar", F.col("bar").cast("int"))
 
 
 # Measures
@@ -495,10 +479,20 @@ def batch_measures(spark, sf_dir):
 @query(over_bars(f"SELECT combo_id, {r('sharpe', 'score')} FROM scored ORDER BY sharpe DESC, combo_id LIMIT 20", *SCORED))
 def grid_search_top20(spark, sf_dir):
     """The twenty best sets of a grid, all simulated in one job."""
-    found = search.scores(_all(spark, sf_dir), strategies.strategy("sma_cross"), SETS, "sharpe", SLIPPAGE, COMMISSION, periods=HOURS)
+    found = search.scores(_all(spark, sf_dir), strategies.strategy("sma_cross"), SETS, "sharpe", TERMS)
     return found.orderBy(F.desc("score"), "combo_id").limit(20)
 
 
+_RULED_CURVE = "curve AS MATERIALIZED (SELECT combo_id, bar_idx, equity, ret FROM state)"
+
+
+@query(over_bars(f"SELECT combo_id, {r('total_return', 'score')} FROM scored", SCORED[0], SCORED[1], RULED, _RULED_CURVE, sql.MARKET, sql.performance("combo_id, ", periods=HOURS), recursive=True))
+def grid_search_rules(spark, sf_dir):
+    """A grid whose sets are all simulated under rules that depend on equity."""
+    terms = search.Terms(SLIPPAGE, COMMISSION, RULES, cash=3000.0, periods=HOURS)
+    return search.scores(_all(spark, sf_dir), strategies.strategy("sma_cross"), SETS, "total_return", terms)
+
+
 @query("SELECT (row_number() OVER (ORDER BY f, s) - 1)::BIGINT AS combo_id, f::INTEGER AS fast, s::INTEGER AS slow FROM range(5, 26, 5) a(f) CROSS JOIN range(20, 61, 10) b(s)")
 def parameter_product(spark, sf_dir):
     return search.product_table(spark, GRID)
@@ -506,20 +500,20 @@ def parameter_product(spark, sf_dir):
 
 @query(over_bars("SELECT fast, " + ", ".join(f"max(CASE WHEN slow = {w} THEN floor(sharpe * 1000000 + 0.5) / 1000000 END) AS slow_{w}" for w in (20, 30, 40, 50, 60)) + " FROM scored JOIN (VALUES " + ", ".join(f"({k}, {s['fast']}, {s['slow']})" for k, s in enumerate(SETS)) + ") v(combo_id, fast, slow) USING (combo_id) GROUP BY fast", *SCORED))
 def score_heatmap(spark, sf_dir):
-    found = search.scores(_all(spark, sf_dir), strategies.strategy("sma_cross"), SETS, "sharpe", SLIPPAGE, COMMISSION, periods=HOURS)
+    found = search.scores(_all(spark, sf_dir), strategies.strategy("sma_cross"), SETS, "sharpe", TERMS)
     names = spark.createDataFrame([(k, s["fast"], s["slow"]) for k, s in enumerate(SETS)], "combo_id long, fast int, slow int")
     wide = found.join(F.broadcast(names), "combo_id").groupBy("fast").pivot("slow", [20, 30, 40, 50, 60]).agg(F.max("score"))
     return wide.select("fast", *[F.col(str(w)).alias(f"slow_{w}") for w in (20, 30, 40, 50, 60)])
 
 
 TRADE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
-LOTS = """WITH t AS (SELECT l_linestatus || '-' || (l_suppkey % 7) AS symbol, CASE WHEN l_returnflag = 'N' THEN 1 ELSE -1 END AS side, l_quantity AS q, round(l_extendedprice / l_quantity) AS price,
+LOTS = """WITH t AS (SELECT l_linestatus || '-' || (l_suppkey % 7) AS symbol, CASE WHEN l_returnflag = 'N' THEN 1 ELSE -1 END AS side, l_quantity AS q, round(l_extendedprice / l_quantity) AS price, l_shipdate, l_orderkey, l_linenumber,
   row_number() OVER (PARTITION BY l_linestatus || '-' || (l_suppkey % 7) ORDER BY l_shipdate, l_orderkey, l_linenumber) AS trade FROM lineitem WHERE l_quantity > 0),
 p AS (SELECT *, sum(side * q) OVER (PARTITION BY symbol ORDER BY trade) AS pos FROM t),
 s AS (SELECT *, pos - side * q AS before FROM p),
 parts AS (
-  SELECT symbol, trade, side, price, least(q, abs(before)) AS q, true AS closes, before AS book FROM s WHERE before * side < 0
-  UNION ALL SELECT symbol, trade, side, price, CASE WHEN before * side < 0 THEN q - abs(before) ELSE q END, false, CASE WHEN before * side < 0 THEN 0 ELSE before END FROM s WHERE before * side >= 0 OR q > abs(before)
+  SELECT symbol, trade, side, price, l_shipdate, l_orderkey, l_linenumber, least(q, abs(before)) AS q, true AS closes, before AS book FROM s WHERE before * side < 0
+  UNION ALL SELECT symbol, trade, side, price, l_shipdate, l_orderkey, l_linenumber, CASE WHEN before * side < 0 THEN q - abs(before) ELSE q END, false, CASE WHEN before * side < 0 THEN 0 ELSE before END FROM s WHERE before * side >= 0 OR q > abs(before)
 ),
 stretches AS (SELECT *, count(CASE WHEN NOT closes AND book = 0 THEN 1 END) OVER (PARTITION BY symbol ORDER BY trade, closes DESC) AS episode FROM parts),
 cum AS (SELECT *, sum(q) OVER (PARTITION BY symbol, episode, closes ORDER BY trade) AS hi FROM stretches)
@@ -532,7 +526,17 @@ def trade_fifo_pnl(spark, sf_dir):
     return lots.groupBy("symbol", "trade").agg(F.count("*").alias("lots"), F.sum("pnl").alias("pnl"))
 
 
-@query()
+_PAIRS = LOTS + """, lots AS (SELECT c.symbol, c.trade, c.l_shipdate, c.l_orderkey, c.l_linenumber, o.hi, (least(o.hi, c.hi) - greatest(o.hi - o.q, c.hi - c.q)) * (c.price - o.price) * -c.side AS pnl
+  FROM cum o JOIN cum c ON o.symbol = c.symbol AND o.episode = c.episode AND NOT o.closes AND c.closes AND o.hi > c.hi - c.q AND c.hi > o.hi - o.q),
+placed AS (SELECT *, count(CASE WHEN pnl >= 0 THEN 1 END) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, symbol, hi) AS run FROM lots),
+streak AS (SELECT max(n) AS longest FROM (SELECT run, count(*) AS n FROM placed WHERE pnl < 0 GROUP BY run)),
+active AS (SELECT symbol FROM t GROUP BY symbol ORDER BY count(*) DESC, min((l_shipdate, l_orderkey, l_linenumber)) LIMIT 1)
+"""
+
+
+@query(_PAIRS + f"""SELECT 0::BIGINT AS combo_id, count(*) AS trade_count, (SELECT count(*) FROM t WHERE side = 1) AS buy_count, (SELECT count(*) FROM t WHERE side = -1) AS sell_count, {r("(SELECT count(*) FROM t) / count(*)", "avg_trade_cost")}, {r("(SELECT sum(q) FROM t) / count(*)", "avg_trade_size")},
+  {r("count(CASE WHEN pnl > 0 THEN 1 END)::DOUBLE / count(*)", "win_rate")}, {r("sum(CASE WHEN pnl > 0 THEN pnl END) / -sum(CASE WHEN pnl < 0 THEN pnl END)", "profit_factor")}, {r("avg(CASE WHEN pnl > 0 THEN pnl END)", "avg_profit")}, {r("avg(CASE WHEN pnl < 0 THEN -pnl END)", "avg_loss")},
+  (SELECT longest FROM streak) AS max_consecutive_losses, (SELECT count(DISTINCT symbol) FROM t) AS symbol_count, (SELECT symbol FROM active) AS most_active_symbol FROM lots""")
 def trade_measures(spark, sf_dir):
     return metrics.trade_metrics(tables.line_trades(spark, sf_dir), order=TRADE_ORDER)
 
@@ -546,18 +550,44 @@ def walk_windows(spark, sf_dir):
     return stability.windows(spark, n, 240, 120, 60)
 
 
-@query()
+_CUT = """spans AS (SELECT (s // 60)::INTEGER AS w, unnest(['train', 'test']) AS split, unnest([s, s + 240]) AS lo, unnest([s + 240, s + 360]) AS hi FROM range(0, (SELECT max(bar_idx) + 1 - 360 + 1 FROM bars), 60) t(s)),
+cuts AS MATERIALIZED (SELECT combo_id, w, split, symbol, ts, bar_idx - lo AS bar_idx, open, close, volume, signal FROM signals JOIN spans ON bar_idx >= lo AND bar_idx < hi)"""
+_CUT_KEYS = "combo_id, w, split, "
+
+
+@query(
+    over_bars(
+        f"""SELECT combo_id, count(*) AS windows, {r("avg(train)", "train_mean")}, {r("avg(test)", "test_mean")}, {r("coalesce(stddev_samp(test), 0)", "test_std")}, {r("min(test)", "worst")}, {r("avg(CASE WHEN abs(train) > 1e-12 THEN (train - test) / abs(train) ELSE 0 END)", "decay")},
+  {r("avg(test) / (coalesce(stddev_samp(test), 0) + 1e-12)", "ratio")}, avg(test) / (coalesce(stddev_samp(test), 0) + 1e-12) >= 1 AND min(test) > 0 AS stable
+  FROM (SELECT combo_id, w, max(CASE WHEN split = 'train' THEN sharpe END) AS train, max(CASE WHEN split = 'test' THEN sharpe END) AS test FROM scored GROUP BY 1, 2) GROUP BY combo_id""",
+        SCORED[0], SCORED[1], _CUT, sql.held("cuts", key=_CUT_KEYS + "symbol"), sql.equity(_CUT_KEYS), sql.MARKET, sql.performance(_CUT_KEYS, periods=HOURS, rf=0.0),
+    )
+)
 def walk_forward_stability(spark, sf_dir):
     signals = _sma_signals(spark, sf_dir, SETS)
     spans = stability.windows(spark, signals.agg(F.max("bar_idx") + 1).first()[0], 240, 120, 60)
     return stability.walk_forward(signals, spans, stability.default_simulation(SLIPPAGE, COMMISSION), HOURS)[1]
 
 
-@query()
+_FOLDS = """sized AS (SELECT greatest(3, (max(bar_idx) + 1) // 4) AS block, max(bar_idx) + 1 AS n FROM bars),
+shares AS (SELECT *, greatest(2, floor(block * 0.7)::BIGINT) AS ins FROM sized), stretches AS (SELECT *, greatest(1, block - ins) AS outs FROM shares),
+spans AS (SELECT (k + 1)::INTEGER AS fold, unnest(['is', 'oos']) AS split, unnest([k * (ins + outs), k * (ins + outs) + ins]) AS lo, unnest([k * (ins + outs) + ins, (k + 1) * (ins + outs)]) AS hi FROM stretches, range(0, 4) t(k) WHERE (k + 1) * (ins + outs) <= n),
+pieces AS MATERIALIZED (SELECT fold, split, symbol, ts, bar_idx - lo AS bar_idx, open, high, low, close, volume FROM bars JOIN spans ON bar_idx >= lo AND bar_idx < hi)"""
+_FOLD_KEYS = "combo_id, fold, split, "
+_FOLD_MEANS = ", ".join(f"CASE WHEN bar_idx >= {w - 1} THEN avg(close) OVER (PARTITION BY fold, split, symbol ORDER BY bar_idx ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) END AS sma_{w}" for w in sorted({w for s in SETS for w in s.values()}))
+
+
+@query(
+    over_bars(
+        f"""SELECT fold, combo_id, {r("ins", "is_score")}, {r("oos", "oos_score")} FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY ins DESC, combo_id) AS nth FROM (
+  SELECT fold, combo_id, max(CASE WHEN split = 'is' THEN sharpe END) AS ins, max(CASE WHEN split = 'oos' THEN sharpe END) AS oos FROM scored GROUP BY 1, 2)) WHERE nth = 1""",
+        _FOLDS, f"means AS MATERIALIZED (SELECT *, {_FOLD_MEANS} FROM pieces)", f"signals AS ({_EACH})", sql.held(key=_FOLD_KEYS + "symbol"), sql.equity(_FOLD_KEYS), sql.MARKET, sql.performance(_FOLD_KEYS, periods=HOURS),
+    )
+)
 def walk_forward_grid(spark, sf_dir):
     bars = _all(spark, sf_dir)
     cut = walkforward.folds(bars.agg(F.max("bar_idx") + 1).first()[0], 4)
-    return walkforward.grid_by_fold(bars, cut, strategies.strategy("sma_cross"), SETS, "sharpe", SLIPPAGE, COMMISSION, periods=HOURS)
+    return walkforward.grid_by_fold(bars, cut, strategies.strategy("sma_cross"), SETS, "sharpe", TERMS)
 
 
 @query("""WITH t AS (SELECT event_type AS test, user_id % 20 AS part, least(1, avg(value) / 400) AS p FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY p, test, part) AS k, count(*) OVER () AS m FROM t)
@@ -573,15 +603,15 @@ def benjamini_hochberg(spark, sf_dir):
         f"""SELECT CASE regime WHEN 0 THEN 'low_vol' WHEN 1 THEN 'mid_vol' ELSE 'high_vol' END AS regime, count(*) AS bars, {r("CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) * sqrt(6048.0) / stddev_samp(ret) ELSE 0 END", "sharpe")}, {r("min(dd)", "max_drawdown")},
   {r("coalesce(count(CASE WHEN nth > 1 AND ret > 0 THEN 1 END)::DOUBLE / nullif(count(CASE WHEN nth > 1 AND ret <> 0 THEN 1 END), 0), 0)", "win_rate")}
   FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY bar_idx) AS nth, (equity - max(equity) OVER (PARTITION BY regime ORDER BY bar_idx)) / max(equity) OVER (PARTITION BY regime ORDER BY bar_idx) AS dd FROM classed) GROUP BY regime""",
-        *CURVE, sql.RANGES, smoothed("e", "ranges", "tr", "2.0::DOUBLE / 15"), "vol AS MATERIALIZED (SELECT bar_idx, v AS atr FROM e WHERE symbol = 'click')",
+        *CURVE, sql.RANGES, smoothed("e", "ranges", "tr", "2.0::DOUBLE / 15"), "vol AS MATERIALIZED (SELECT bar_idx, floor(avg(v) * 1000000 + 0.5) / 1000000 AS atr FROM e GROUP BY bar_idx)",
         "classed AS MATERIALIZED (SELECT c.*, ((SELECT quantile_cont(atr, 1.0::DOUBLE / 3) FROM vol) < atr)::INTEGER + ((SELECT quantile_cont(atr, 2.0::DOUBLE / 3) FROM vol) < atr)::INTEGER AS regime FROM curve c JOIN vol USING (bar_idx))", recursive=True,
     )
 )
 def regimes(spark, sf_dir):
     bars = _all(spark, sf_dir)
     equity = portfolio.vector(strategies.strategy("sma_cross").signals(bars, [{"fast": 10, "slow": 30}]), SLIPPAGE, COMMISSION)
-    one = ind.atr(bars.where("symbol = 'click'")).select("bar_idx", "atr")
-    return stability.regimes(equity.join(one, "bar_idx"), periods=6048.0).drop("combo_id")
+    mean = ind.atr(bars).groupBy("bar_idx").agg(F.avg("atr").alias("atr")).select("bar_idx", _rounded("atr"))
+    return stability.regimes(equity.join(mean, "bar_idx"), periods=6048.0).drop("combo_id")
 
 
 @query(over_bars(f"SELECT {r('sharpe', 'sharpe')}, 1.0 AS p_value, false AS significant FROM scored", *CURVE, sql.MARKET, sql.performance("", periods=HOURS, rf=0.0)))
@@ -590,9 +620,34 @@ def permutation_test(spark, sf_dir):
     return stability.permutation_test(equity, ["combo_id"], periods=HOURS).drop("combo_id")
 
 
-@query()
+_SHUFFLED = f"""drawn AS (SELECT i, bar_idx, ret FROM curve CROSS JOIN range(1, 201) p(i)),
+placed AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY md5('42:' || i || ':' || bar_idx)) AS bar_idx, ret FROM drawn WHERE bar_idx > 0 UNION ALL SELECT i, 0, 0.0 FROM drawn WHERE bar_idx = 0),
+grown AS (SELECT i, bar_idx, exp(sum(ln(1 + ret)) OVER (PARTITION BY i ORDER BY bar_idx)) AS level FROM placed),
+depths AS (SELECT i, min((level - peak) / peak) AS depth FROM (SELECT *, max(level) OVER (PARTITION BY i ORDER BY bar_idx) AS peak FROM grown) GROUP BY i)"""
+
+
+@query(over_bars(f"SELECT {r('max_drawdown', 'max_drawdown')}, {r('((SELECT count(*) FROM depths d WHERE d.depth >= s.max_drawdown) + 1)::DOUBLE / 201', 'p_value')}, ((SELECT count(*) FROM depths d WHERE d.depth >= s.max_drawdown) + 1)::DOUBLE / 201 < 0.05 AS significant FROM scored s", *CURVE, sql.MARKET, sql.performance("", periods=HOURS, rf=0.0), _SHUFFLED))
+def permutation_drawdown(spark, sf_dir):
+    """How many of 200 orders of the returns sink as little as the actual one."""
+    equity = portfolio.vector(_sma_signals(spark, sf_dir), SLIPPAGE, COMMISSION)
+    return stability.permutation_test(equity, ["combo_id"], 200, periods=HOURS, statistic="max_drawdown").drop("combo_id")
+
+
+_NEARBY = [{"fast": f, "slow": w} for f, w in ((10, 30), (9, 30), (11, 30), (10, 27), (10, 33))]
+_NEAR_MEANS = ", ".join(f"CASE WHEN bar_idx >= {w - 1} THEN avg(close) OVER {rows(w)} END AS sma_{w}" for w in (9, 10, 11, 27, 30, 33))
+_NEAR_EACH = " UNION ALL ".join(f"SELECT {k}::BIGINT AS combo_id, *, CASE WHEN sma_{s['fast']} > sma_{s['slow']} THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS signal FROM means" for k, s in enumerate(_NEARBY))
+
+
+@query(
+    over_bars(
+        f"""SELECT parameter, base_value, {r("b", "base_score")}, {r("l", "low_score")}, {r("h", "high_score")}, {r("greatest(abs(l - b), abs(h - b))", "largest_change")} FROM (
+  SELECT 'fast' AS parameter, 10.0::DOUBLE AS base_value, max(CASE WHEN combo_id = 0 THEN sharpe END) AS b, max(CASE WHEN combo_id = 1 THEN sharpe END) AS l, max(CASE WHEN combo_id = 2 THEN sharpe END) AS h FROM scored
+  UNION ALL SELECT 'slow', 30.0, max(CASE WHEN combo_id = 0 THEN sharpe END), max(CASE WHEN combo_id = 3 THEN sharpe END), max(CASE WHEN combo_id = 4 THEN sharpe END) FROM scored)""",
+        f"means AS MATERIALIZED (SELECT *, {_NEAR_MEANS} FROM bars)", f"signals AS ({_NEAR_EACH})", sql.held(key="combo_id, symbol"), sql.equity("combo_id, "), sql.MARKET, sql.performance("combo_id, ", periods=HOURS),
+    )
+)
 def sensitivity(spark, sf_dir):
-    score = search.scorer(_all(spark, sf_dir), strategies.strategy("sma_cross"), "sharpe", SLIPPAGE, COMMISSION, periods=HOURS)
+    score = search.scorer(_all(spark, sf_dir), strategies.strategy("sma_cross"), "sharpe", TERMS)
     return stability.sensitivity(spark, {"fast": 10, "slow": 30}, lambda sets: dict(enumerate(score(sets))))
 
 
