@@ -14,7 +14,7 @@ and not empty with a probability of 0.38 or more, so a pair that should be linke
 with a probability of at most 0.62 ** SLOTS, about 1e-10; above it, less.
 
 Many sets may share a block, as of a passage that they all quote. Classes of such large groups are not compared
-group by group but by their shingles (by_shingles()), which also is the exact way for a whole join: nothing there is left to chance.
+group by group but by those of their shingles that decide (by_shingles()), which also is the exact way for a whole join: nothing there is left to chance.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ SKETCH_BITS = 1024
 SMALL_GROUP = 48
 #: Classes that are compared with as many others at once.
 _PACK = 128
+#: Classes that heavy shingles are looked for in, and such shingles that go to all executors, at most.
+HEAVY_SAMPLE, MOST_HEAVY = 10_000, 200_000
 
 
 def _bands(top: int) -> np.ndarray:
@@ -222,48 +224,68 @@ def by_shingles(sets: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes of sets (class, set) and different components, as known (class, component, n_shingles, sketch) has
     them, that sizes and sketches allow; verified, they join all that the links between those classes join.
 
-    Shingles are put in one order, those of the fewest classes first. Of sets that link, the first
-    n - ceil(0.75 n) + 1 shingles have one in common. Where that shingle is rare, its few classes are compared. A
-    set that has a common one among these consists of common shingles, its frame, for three quarters and more, and
-    two such sets that share no rare one link by their frames alone. So of the sets of one frame the smallest
-    stands for all: every set as small as the frame allows links with it, and the others are compared with such smallest ones only, in packs, and not where
-    both are of a group's most frequent component.
+    Shingles are put in one order, by hash but for the heavy ones, which come last. Of sets that link, the first
+    n - ceil(0.75 n) + 1 shingles have one in common, so only these are dealt. A set that has a heavy one among them
+    consists of heavy shingles, its frame, for three quarters and more, and two such sets that share no other one link by their frames alone.
+    So of the sets of one frame the smallest stands for all: every set as small as the frame allows links with it, and the
+    others are compared with such smallest ones only.
     """
-    lists = settled(_prefixes(sets), "jaccard-prefixes").join(known, "class")
-    rare = lists.select("class", F.explode("rare").alias("key"), "component", "n_shingles", "sketch")
-    framed = lists.where("size(common) > 0")
+    firsts = settled(_first_shingles(sets, _heavy(sets)).join(known.select("class", "component"), "class"), "jaccard-firsts")
+    light = firsts.where("not is_heavy").select("class", "component", F.explode("tokens").alias("key"))
+    groups = light.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size")
+    met = settled(light.join(settled(groups, "jaccard-groups"), "key").join(known.drop("component"), "class"), "jaccard-light")
+    few, many = met.where(F.col("size") <= SMALL_GROUP), met.where(F.col("size") > SMALL_GROUP).drop("size")
+    framed = firsts.where("is_heavy").join(known.drop("component"), "class")
     smallest = framed.groupBy("frame", "heavy").agg(F.min(F.struct("n_shingles", "class", "component")).alias("least"))
     placed = framed.join(settled(smallest, "jaccard-frames"), ["frame", "heavy"]).withColumn("leads", F.col("class") == F.col("least.class"))
     near = (F.col("n_shingles") + F.col("least.n_shingles")) * 3 <= F.col("heavy") * 7
     stars = placed.where(near & ~F.col("leads") & (F.col("component") != F.col("least.component"))).select(F.col("class").alias("a"), F.col("least.class").alias("b"))
-    others = placed.where(F.col("leads") | ~near).select(F.explode("common").alias("key"), "class", "component", "n_shingles", "sketch", "frame", "leads")
-    return _within_small(rare).unionByName(stars).unionByName(_within_large(settled(others, "jaccard-large")))
+    others = placed.where(F.col("leads") | ~near).select(F.explode("tokens").alias("key"), "class", "component", "n_shingles", "sketch", "frame", "leads")
+    large = others.unionByName(many.select("key", "class", "component", "n_shingles", "sketch", F.col("class").alias("frame"), F.lit(True).alias("leads")))
+    return _within_small(few).unionByName(stars).unionByName(_within_large(settled(large, "jaccard-large")))
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """Of each class of sets (class, set): rare and common shingles among those that decide, those of at most and of more than
-    SMALL_GROUP classes; a hash of all common ones, frame, and their number, heavy. Classes that share nothing are left out."""
+def _heavy(sets: DataFrame) -> np.ndarray:
+    """Shingles, sorted, that many of sets (class, set) have, as far as a sample of HEAVY_SAMPLE classes shows them; at most MOST_HEAVY.
+
+    Results don't depend on which these are, only the number of comparisons does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own.as_buffer(), np.int64))], ["token"])
+
+    share = min(1.0, HEAVY_SAMPLE / max(sets.count(), 1))
+    sample = sets.where(F.pmod(F.xxhash64("class"), F.lit(1 << 20)) < int(share * (1 << 20))).select("set")
+    least = max(SMALL_GROUP * share, min(SMALL_GROUP, 4))
+    often = to_python(sample, run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(MOST_HEAVY).collect()], np.int64))
+
+
+def _first_shingles(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """Of each class of sets (class, set), those shingles that decide, heavy ones (is_heavy) and others in rows of their own, with a hash of all
+    its heavy ones, frame, and their number, heavy."""
+    shared = sets.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in batches:
+            out: list[tuple] = []
             for name, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = np.frombuffer(own.as_buffer(), np.int64)
-                for low in range(0, len(tokens), PART):
-                    part = tokens[low : low + PART]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(np.full(len(part), len(tokens))), pa.array(part)], ["class", "n", "token"])
-
-    tokens = to_python(sets.select("class", "set"), run, "class long, n long, token long")
-    often = settled(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "jaccard-often")
-    is_common = F.col("often") > SMALL_GROUP
-    lists = tokens.join(often, "token").groupBy("class").agg(
-        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "token"))).alias("own"),
-        F.coalesce(F.bit_xor(F.when(is_common, F.xxhash64("token"))), F.lit(0)).alias("frame"), F.count(F.when(is_common, 1)).alias("heavy"),
-    )
-    alone = F.col("n") - F.size("own")  # they come first in the order, and nothing else has them
-    deciding = F.col("n") - F.floor((F.col("n") * 3 + 3) / 4) + 1 - alone
-    lists = lists.withColumn("own", F.slice("own", F.lit(1), F.greatest(deciding, F.lit(0)).cast("int"))).where("size(own) > 0")
-    rare, common = F.filter("own", lambda s: s["often"] <= SMALL_GROUP), F.filter("own", lambda s: s["often"] > SMALL_GROUP)
-    return lists.select("class", "frame", "heavy", rare["token"].alias("rare"), common["token"].alias("common"))
+                is_common = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens if len(common) else np.zeros(len(tokens), bool)
+                light, frame = tokens[~is_common], tokens[is_common]
+                deciding = len(tokens) - (3 * len(tokens) + 3) // 4 + 1
+                hashed = int(np.bitwise_xor.reduce(mix(frame.view(U)))) if len(frame) else 0
+                for flag, part in ((False, light[:deciding]), (True, frame[: max(0, deciding - len(light))])):
+                    if len(part):
+                        out.append((name, flag, part, hashed - (1 << 63), len(frame)))
+            columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
+            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["class", "is_heavy", "tokens", "frame", "heavy"])
+
+    return to_python(sets.select("class", "set"), run, "class long, is_heavy boolean, tokens array<long>, frame long, heavy long")
 
 
 def _within_large(members: DataFrame) -> DataFrame:

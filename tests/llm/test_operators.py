@@ -82,10 +82,11 @@ def test_exact_components_equal_brute_force(spark, rows):
     assert sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out))) == sorted(map(str, brute_components(rows)))
 
 
-@pytest.mark.parametrize("small", [1, 2, 5])
-def test_large_groups_need_no_small_ones(spark, monkeypatch, small):
-    """With most groups and shingles counted as large or common, results stay the same."""
+@pytest.mark.parametrize(("small", "most"), [(1, 10**6), (2, 10**6), (5, 100), (3, 0)])
+def test_large_groups_need_no_small_ones(spark, monkeypatch, small, most):
+    """With most groups counted as large, and many, few or no shingles as heavy, results stay the same."""
     monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
+    monkeypatch.setattr(jaccard, "MOST_HEAVY", most)
     monkeypatch.setattr(jaccard, "_PACK", 3)
     rows = near_corpus(5)
     out = jaccard.join(documents(spark, rows)).collect()
