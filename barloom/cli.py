@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from barloom.config import config_of
+from barloom.operators.search import kept
 from barloom.operators.strategies import STRATEGIES, Axis
 from barloom.plans import audit, backtest, report
 from barloom.sources.files import load
@@ -78,18 +79,20 @@ def main(given: list[str] | None = None) -> int:
         return 0
     config = config_of(args.config)
     symbols = [s.strip().upper() for s in args.symbols.split(",") if s.strip()] or None
-    bars = load(session(), args.data, symbols).cache()
-    if args.command == "backtest":
-        return _backtest(args, bars, config)
+    with kept(load(session(), args.data, symbols)) as bars:
+        return _backtest(args, bars, config) if args.command == "backtest" else _searched(args, bars, config)
+
+
+def _searched(args: argparse.Namespace, bars, config) -> int:
     axes = axes_of(args.param_grid)
     if args.command == "optimize":
         found = backtest.optimise(bars, args.strategy, args.method, axes, config)
-        _write(args.output, {"type": "optimization", "method": found.method, "best": {"params": found.best[0], "score": found.best[1]}, "trials": [{**p, "score": s} for p, s in found.trials]})
+        _write(args.output, found.as_dict())
         text = report.search_page(found)
     else:
         n = bars.agg(F.max("bar_idx") + 1).first()[0]
         outcome = backtest.walk_forward(bars, n, args.strategy, args.method, args.splits, expanding=args.expanding, axes=axes, config=config)
-        _write(args.output, {"type": "walk_forward", "means": outcome.means(), "overfitting": outcome.overfitting(), "folds": [{"fold": f.fold, "params": p, "inside": i, "outside": o} for f, p, i, o in outcome.folds]})
+        _write(args.output, outcome.as_dict())
         text = report.walk_forward_page(outcome)
     if args.report:
         Path(args.report).write_text(text, encoding="utf-8")

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import series
-from barloom.operators import indicators
 from barloom.operators.scan import fold
-from barloom.operators.strategies import ASSIST_AXES, ASSIST_DEFAULTS, SWITCH, Assist, Axis, registered
+from barloom.operators.strategies import ASSIST_AXES, ASSIST_DEFAULTS, KEEP, OF_SET, SWITCH, Assist, Axis, _on, before, registered
 
 #: Which gates a framework turns on, and what a way of managing risk does (fixed values).
 FRAMEWORKS = {"F1": {}, "F2": {"enable_adx": 1}, "F3": {"enable_ma": 1}, "F4": {"enable_adx": 1, "enable_rsi": 1}, "F5": {"enable_ma": 1, "enable_body": 1}}
@@ -118,54 +117,56 @@ class PsarAssistV4(Assist):
     def periods(self, p):
         return [*super().periods(p), p["donchian_period"], p["cci_period"], p["vol_ma_period"], p["macd_slow"]]
 
-    def confirmed(self, p: dict, up: bool) -> Column:
-        """MACD, volume, session and momentum, as far as they are on."""
-        w = series(["symbol"])
-        at = lambda c, k=1: F.coalesce(F.lag(c, k).over(w), F.lit(0.0))
-        passed = F.lit(True)
+    def needed(self, p):
+        own = super().needed(p)
         if p["enable_macd"]:
-            rising = (at("macd_hist") > 0) & (at("macd_hist") > at("macd_hist", 2))
-            falling = (at("macd_hist") < 0) & (at("macd_hist") < at("macd_hist", 2))
-            passed = passed & (rising if up else falling)
+            own["macd_hist"] = [("macd", {"fast": int(p["macd_fast"]), "slow": int(p["macd_slow"]), "signal": int(p["macd_signal"])})]
         if p["enable_vol_filter"]:
-            passed = passed & ~((at("vol_ma") > 0) & (at("volume") <= at("vol_ma") * p["vol_ma_mult"]))
-        if p["enable_session"]:
-            passed = passed & ~((F.hour("ts") >= ASIA[0]) & (F.hour("ts") < ASIA[1]))
+            own["vol_ma"] = [("sma", {"window": int(p["vol_ma_period"]), "column": "volume"})]
         if p["enable_momentum"]:
+            own |= {c: [("donchian", {"period": int(p["donchian_period"])})] for c in ("donchian_upper", "donchian_lower")}
+            own["cci"] = [("cci", {"period": int(p["cci_period"])})]
+        return own
+
+    @staticmethod
+    def confirmed(rows: DataFrame, up: bool) -> Column:
+        """MACD, volume, session and momentum, as far as they are on in any of the sets, and in the row's own."""
+        at = lambda c, k=1: F.coalesce(before(c, k), F.lit(0.0))
+        passed = _on("enable_session", ~((F.hour("ts") >= ASIA[0]) & (F.hour("ts") < ASIA[1])))
+        if "macd_hist" in rows.columns:
+            rising = (at("macd_hist") > 0) & (at("macd_hist") > at("macd_hist", 2))
+            falling = (at("macd_hist") < 0) & (at("macd_hist") < at("macd_hist", 2))
+            passed = passed & _on("enable_macd", rising if up else falling)
+        if "vol_ma" in rows.columns:
+            passed = passed & _on("enable_vol_filter", ~((at("vol_ma") > 0) & (at("volume") <= at("vol_ma") * F.col("_p.vol_ma_mult"))))
+        if "cci" in rows.columns:
             broke = (at("donchian_upper", 2) > 0) & (at("close") > at("donchian_upper", 2)) if up else (at("donchian_lower", 2) > 0) & (at("close") < at("donchian_lower", 2))
-            passed = passed & (broke | (at("cci") > p["cci_threshold"] if up else at("cci") < -p["cci_threshold"]))
+            passed = passed & _on("enable_momentum", broke | (at("cci") > F.col("_p.cci_threshold") if up else at("cci") < -F.col("_p.cci_threshold")))
         return passed
 
-    def one(self, bars: DataFrame, p: dict) -> DataFrame:
-        rows = self.indicators(bars, p)
-        if p["enable_macd"]:
-            rows = indicators.macd(rows, p["macd_fast"], p["macd_slow"], p["macd_signal"])
-        if p["enable_vol_filter"]:
-            rows = indicators.sma(rows, p["vol_ma_period"], "volume", "vol_ma")
-        if p["enable_momentum"]:
-            rows = indicators.cci(indicators.donchian(rows, p["donchian_period"]), p["cci_period"])
-        w = series(["symbol"])
-        rows = rows.withColumn("sar", self.chosen(p, lambda pace: F.col(f"sar_{pace}")))
-        sar_1, sar_2 = F.lag("sar", 1).over(w), F.lag("sar", 2).over(w)
-        warm, count = self.warm_up(p), F.count("*").over(Window.partitionBy("symbol"))
-        ready = (F.col("bar_idx") >= warm) & (count >= warm)
+    def decided(self, rows: DataFrame, given: list[dict]) -> DataFrame:
+        w = series(OF_SET)
+        rows = rows.withColumn("sar", self.chosen(lambda pace: F.col(f"sar_{pace}")))
+        sar_1, sar_2 = before("sar", 1), before("sar", 2)
+        ready = (F.col("bar_idx") >= F.col("_p.warm")) & (F.count("*").over(Window.partitionBy(*OF_SET)) >= F.col("_p.warm"))
         turned = [F.coalesce(self.turn(sar_1, sar_2, up), F.lit(False)) for up in (True, False)]
-        passed = [F.coalesce(self.gates(p, up) & self.confirmed(p, up), F.lit(False)) for up in (True, False)]
+        passed = [F.coalesce(self.gates(up) & self.confirmed(rows, up), F.lit(False)) for up in (True, False)]
         way = F.when(turned[0] & passed[0], 1.0).when(~turned[0] & turned[1] & passed[1], -1.0).otherwise(0.0)
         rows = rows.withColumn("_way", F.when(ready, way).otherwise(0.0)).withColumn("_ready", ready)
-        entry, atr = F.lag("close", 1).over(w), F.lag("atr", 1).over(w)
+        entry, atr = before("close"), before("atr")
         unit = F.when(atr > 0, atr).otherwise(1.0)
-        stop = F.lit(0.0)
-        if p["enable_atr_sl"]:
-            stop = entry - F.col("_way") * unit * p["atr_sl_mult"]
-        if p["enable_structure_sl"] and p["structure_lookback"] >= 1:
-            near = w.rowsBetween(-int(p["structure_lookback"]), -1)
-            swing = F.when(F.col("_way") > 0, F.min("low").over(near) - unit * p["structure_pad"]).otherwise(F.max("high").over(near) + unit * p["structure_pad"])
-            stop = F.when((stop == 0) | (F.col("_way") * (swing - stop) < 0), swing).otherwise(stop) if p["enable_atr_sl"] else swing
+        by_atr = F.when(F.col("_p.enable_atr_sl") != 0, entry - F.col("_way") * unit * F.col("_p.atr_sl_mult"))
+        swing = F.lit(None).cast("double")
+        for back in sorted({int(p["structure_lookback"]) for p in given if p["enable_structure_sl"] and p["structure_lookback"] >= 1}):
+            near = w.rowsBetween(-back, -1)
+            edge = F.when(F.col("_way") > 0, F.min("low").over(near) - unit * F.col("_p.structure_pad")).otherwise(F.max("high").over(near) + unit * F.col("_p.structure_pad"))
+            swing = F.when((F.col("_p.enable_structure_sl") != 0) & (F.col("_p.structure_lookback") == back), edge).otherwise(swing)
+        stop = F.when(by_atr.isNull() | (by_atr == 0) | (F.col("_way") * (swing - by_atr) < 0), F.coalesce(swing, by_atr)).otherwise(by_atr)
         rows = rows.withColumn("_entry", entry).withColumn("_stop", F.coalesce(stop, F.lit(0.0)))
 
         def step(trade: Trade | None, row: tuple):
-            high, low, close, sar, atr, ma_fast, way, ready, entry, stop = row
+            combo, high, low, close, sar, atr, ma_fast, way, ready, entry, stop = row
+            p = given[combo]
             if not ready:
                 return None, (0.0,)
             if trade is not None:
@@ -178,5 +179,6 @@ class PsarAssistV4(Assist):
                 trade = Trade(p["entry_size"] * way, entry, stop, stop, *targets, high if way > 0 else low)
             return trade, (trade.size if trade else 0.0,)
 
-        inputs = ["high", "low", "close", "sar", "atr", "ma_fast", "_way", "_ready", "_entry", "_stop"]
-        return fold(rows, ["symbol"], ["bar_idx"], inputs, lambda: None, step, "signal double")
+        inputs = ["combo_id", "high", "low", "close", "sar", "atr", "ma_fast", "_way", "_ready", "_entry", "_stop"]
+        light = rows.select("combo_id", *KEEP, *[c for c in inputs if c not in ("combo_id", *KEEP)])
+        return fold(light, OF_SET, ["bar_idx"], inputs, lambda: None, step, "signal double")

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import finite_or_null, is_finite, series, small, so_far
+from barloom.functions.columns import SMALL_ROWS, finite_or_null, is_finite, series, small, so_far
 
 PRICES = ["open", "high", "low", "close"]
 FIELDS = [*PRICES, "volume"]
@@ -82,7 +82,8 @@ def of_ticks(ticks: DataFrame, symbol: str, ts: str, price: Column, volume: Colu
 def on_calendar(bars: DataFrame) -> DataFrame:
     """Every symbol at every time of any symbol, with bar_idx; prices null where a symbol has no bar."""
     times, symbols = bars.select("ts").distinct(), bars.select("symbol").distinct()
-    grid = times.crossJoin(small(symbols))
+    few_symbols = symbols.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    grid = times.crossJoin(F.broadcast(symbols)) if few_symbols else symbols.crossJoin(small(times))  # all of it is asked for
     return grid.join(bars, ["symbol", "ts"], "left").withColumn("bar_idx", F.row_number().over(series(["symbol"], "ts")) - 1)
 
 

@@ -1,7 +1,8 @@
 """Technical indicators as added columns of bars.
 
 Each function takes bars with a counted order (bar_idx within the keys, by default symbol) and names of
-input columns, and returns bars with its outputs. Values that a window isn't filled for are null.
+input columns, and returns bars with its outputs. Values that a window isn't filled for are null. added() computes
+several in one pass over stretches of the series.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import series, so_far
-from barloom.operators.scan import fold, linear
+from barloom.operators.scan import PART_ROWS, fold, in_parts, linear, reach
 
 SYMBOL = ["symbol"]
 
@@ -218,26 +219,26 @@ def _next_sar(state: tuple | None, row: tuple, step: float, maximum: float) -> t
     return (up, speed, extreme, level), level
 
 
-def parabolic_sars(bars: DataFrame, steps: dict[str, float], maximum: float = 0.2, keys: list[str] = SYMBOL) -> DataFrame:
-    """Stop-and-reverse levels for each name and step of steps, in one pass; 0 for a series of one row.
+def parabolic_sars(bars: DataFrame, paces: dict[str, tuple[float, float]], keys: list[str] = SYMBOL) -> DataFrame:
+    """Stop-and-reverse levels for each name, step and largest step of paces, in one pass; 0 for a series of one row.
 
     The level moves towards the extreme of the present direction, never past the last two bars; where price
     crosses it, the direction turns and the level starts at the extreme.
     """
     w = series(keys)
     before = {"_next": F.lead("close").over(w), "_l1": F.lag("low", 1).over(w), "_l2": F.lag("low", 2).over(w), "_h1": F.lag("high", 1).over(w), "_h2": F.lag("high", 2).over(w)}
-    paces = list(steps.values())
+    steps = list(paces.values())
 
     def move(states, row):
-        moved = [_next_sar(s, row, step, maximum) for s, step in zip(states, paces, strict=True)]
+        moved = [_next_sar(s, row, step, maximum) for s, (step, maximum) in zip(states, steps, strict=True)]
         return [m[0] for m in moved], tuple(m[1] for m in moved)
 
-    added = ", ".join(f"{name} double" for name in steps)
-    return fold(bars.withColumns(before), keys, ["bar_idx"], ["high", "low", "close", *before], lambda: [None] * len(paces), move, added).drop(*before)
+    added = ", ".join(f"{name} double" for name in paces)
+    return fold(bars.withColumns(before), keys, ["bar_idx"], ["high", "low", "close", *before], lambda: [None] * len(steps), move, added).drop(*before)
 
 
 def parabolic_sar(bars: DataFrame, step: float = 0.02, maximum: float = 0.2, out: str = "sar", keys: list[str] = SYMBOL) -> DataFrame:
-    return parabolic_sars(bars, {out: step}, maximum, keys)
+    return parabolic_sars(bars, {out: (step, maximum)}, keys)
 
 
 class Registry:
@@ -270,3 +271,40 @@ class Registry:
 REGISTRY = Registry()
 for _function in (sma, ema, rsi, macd, atr, parabolic_sar, adx, bollinger, stochastic, donchian, cci):
     REGISTRY.register(_function.__name__, _function)
+
+
+def _fades(span: float) -> int:
+    return reach(1 - 2 / (span + 1))
+
+
+#: Rows before a row that an indicator's value depends on, by its arguments.
+MEMORY: dict[str, Callable[..., int]] = {
+    "sma": lambda window, **_: window,
+    "ema": lambda span, **_: _fades(span),
+    "wilder": lambda window, **_: reach(1 - 1 / window),
+    "rsi": lambda window=14, **_: reach(1 - 1 / window) + 1,
+    "macd": lambda fast=12, slow=26, signal=9, **_: max(_fades(fast), _fades(slow)) + _fades(signal),
+    "atr": lambda window=14, **_: _fades(window) + 1,
+    "adx": lambda window=14, **_: 2 * reach(1 - 1 / window) + 2,
+    "bollinger": lambda period=20, **_: period,
+    "stochastic": lambda k_period=14, d_period=3, **_: k_period + d_period,
+    "donchian": lambda period=20, **_: period,
+    "cci": lambda period=14, **_: period,
+    "rolling_median": lambda window, **_: window,
+    "atr_ratio": lambda window=100, **_: window,
+}
+
+
+def added(bars: DataFrame, wanted: list[tuple[str, dict]], keys: list[str] = SYMBOL, rows: int = PART_ROWS) -> DataFrame:
+    """bars with the outputs of indicators (name, arguments), in order, so that later ones may use earlier ones' columns.
+
+    Series are cut into stretches of `rows` rows, each with the rows before it that the indicators depend on: a long
+    history of one symbol is many tasks, and all indicators share one exchange. Prices hold no nulls (see bars.align).
+    """
+
+    def work(part: DataFrame, own: list[str]) -> DataFrame:
+        for name, arguments in wanted:
+            part = globals()[name](part, keys=own, **arguments)
+        return part
+
+    return in_parts(bars, sum(MEMORY[name](**arguments) for name, arguments in wanted), work, keys, rows=rows)

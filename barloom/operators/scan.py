@@ -1,6 +1,6 @@
 """Recurrences over ordered series.
 
-linear() covers y[t] = r * y[t-1] + u[t] with window functions alone. fold() is for state that no window
+in_parts() cuts series into stretches, so that even one symbol's history is dealt to many tasks. linear() covers y[t] = r * y[t-1] + u[t] with window functions alone. fold() is for state that no window
 expresses: sorted partitions stream through a small step function, one row at a time.
 """
 
@@ -19,6 +19,29 @@ BLOCK = 64
 _NEGLIGIBLE = 1e-18
 
 
+#: Rows of the stretches that in_parts() deals.
+PART_ROWS = 1 << 16
+
+
+def in_parts(df: DataFrame, halo: int, work: Callable[[DataFrame, list[str]], DataFrame], keys: list[str], order: str = "bar_idx", rows: int = PART_ROWS) -> DataFrame:
+    """work(df, keys) for stretches of `rows` rows of each series, each with the `halo` rows before it.
+
+    For columns that depend on a row and at most halo rows before it (see reach() for averages that fade). `order` counts rows
+    from 0 without gaps; the input columns of work hold no nulls, which would make averages null only to the end of a
+    stretch. One exchange deals the stretches, however much work() computes from them.
+    """
+    rows = max(rows, halo, 1)
+    part = F.floor(F.col(order) / rows).cast("long")
+    again = F.when(F.pmod(F.col(order), F.lit(rows)) >= rows - halo, part + 1)
+    dealt = df.withColumn("_part", F.explode(F.array_compact(F.array(part, again))))
+    return work(dealt, [*keys, "_part"]).where(part == F.col("_part")).drop("_part")
+
+
+def reach(r: float) -> int:
+    """Rows after which an average that keeps r of itself has forgotten what was before."""
+    return 1 if r <= 0 else math.ceil(math.log(_NEGLIGIBLE) / math.log(r))
+
+
 def linear(df: DataFrame, terms: dict[str, tuple[Column, Column | float]], keys: list[str], order: str = "bar_idx", slowest: float = 0.999) -> DataFrame:
     """df with, for each name: (u, r) of terms, y[t] = r * y[t-1] + u[t] by rows of `order` within keys, 0 <= r < 1.
 

@@ -37,6 +37,12 @@ class Found:
         return sorted(self.trials, key=lambda t: (t[1] != t[1], sign * t[1]))[:n]
 
 
+    def as_dict(self) -> dict:
+        """For JSON: the method, the best set and all trials."""
+        params, score = self.best
+        return {"type": "optimization", "method": self.method, "metric": self.metric, "maximize": self.maximize, "best": {"params": params, "score": score}, "trials": [{**p, "score": s} for p, s in self.trials]}
+
+
 def product(axes: dict[str, Axis]) -> list[dict]:
     """All sets of values, the last axis fastest."""
     return [dict(zip(axes, values, strict=True)) for values in itertools.product(*[a.values() for a in axes.values()])]

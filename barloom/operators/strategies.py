@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import clipped, series, truth
 from barloom.operators import indicators
-from barloom.operators.scan import linear
+from barloom.operators.scan import in_parts
 
 KEEP = ["symbol", "ts", "bar_idx", "open", "high", "low", "close", "volume"]
 
@@ -53,6 +53,9 @@ class Strategy(ABC):
     axes: dict[str, Axis] = {}
     defaults: dict = {}
 
+    def begin(self, config) -> None:
+        """Called once before a run, with its configuration."""
+
     @abstractmethod
     def signals(self, bars: DataFrame, sets: list[dict]) -> DataFrame: ...
 
@@ -108,8 +111,7 @@ class SmaCross(Strategy):
         for s in sets:
             self.check(s)
         windows = sorted({int(s[k]) for s in sets for k in ("fast", "slow")})
-        rows = bars.select(*KEEP)
-        rows = rows.withColumns({f"_sma{w}": indicators._full(["symbol"], w, F.avg("close").over(indicators._window(["symbol"], w)), "close") for w in windows})
+        rows = indicators.added(bars.select(*KEEP), [("sma", {"window": w, "out": f"_sma{w}"}) for w in windows])
         means = F.create_map(*[x for w in windows for x in (F.lit(w), F.col(f"_sma{w}"))])
         return _per_set(rows, [{"fast": int(s["fast"]), "slow": int(s["slow"])} for s in sets], lambda s: F.when(means[s["fast"]] > means[s["slow"]], 1.0).otherwise(-1.0))
 
@@ -130,11 +132,8 @@ class RsiMeanReversion(Strategy):
         for s in sets:
             self.check(s)
         windows = sorted({int(s["window"]) for s in sets})
-        change = F.col("close") - F.coalesce(F.lag("close").over(series(["symbol"])), F.col("close"))
-        rows = bars.select(*KEEP).withColumn("_gain", F.greatest(change, F.lit(0.0))).withColumn("_loss", F.greatest(-change, F.lit(0.0)))
-        terms = {f"_{side}{w}": indicators.wilder_term(c, w) for w in windows for side, c in (("up", "_gain"), ("down", "_loss"))}
-        rows = linear(rows, terms, ["symbol"])
-        values = F.create_map(*[x for w in windows for x in (F.lit(w), 100 - 100 / (1 + F.col(f"_up{w}") / (F.col(f"_down{w}") + 1e-12)))])
+        rows = indicators.added(bars.select(*KEEP), [("rsi", {"window": w, "out": f"_rsi{w}"}) for w in windows])
+        values = F.create_map(*[x for w in windows for x in (F.lit(w), F.col(f"_rsi{w}"))])
         given = [{"window": int(s["window"]), "lower": float(s["lower"]), "upper": float(s["upper"])} for s in sets]
         return _per_set(rows, given, lambda s: F.when(values[s["window"]] < s["lower"], 1.0).when(values[s["window"]] > s["upper"], -1.0).otherwise(0.0))
 
@@ -160,8 +159,28 @@ ASSIST_AXES = {
 }
 
 
+#: The columns of indicators that add more than one.
+SEVERAL = {"adx": ["adx", "plus_di", "minus_di"], "macd": ["macd", "macd_signal", "macd_hist"], "donchian": ["donchian_upper", "donchian_lower"]}
+#: Series of the bars of one set of parameters.
+OF_SET = ["combo_id", "symbol"]
+
+
+def before(column: str, k: int = 1) -> Column:
+    """The value k bars ago."""
+    return F.lag(column, k).over(series(OF_SET))
+
+
+def _on(switch: str, test: Column) -> Column:
+    """test, where the set's switch is on."""
+    return (F.col(f"_p.{switch}") == 0) | test
+
+
 class Assist(Strategy):
-    """What the two parabolic-stop assistants share: their indicators and the gates for a turn."""
+    """What the two parabolic-stop assistants share: their indicators and the gates for a turn.
+
+    Each distinct indicator that a batch of sets needs is computed once from the bars; then every set takes its own of
+    them, and its gates are columns of its parameters, so a batch is one plan.
+    """
 
     def periods(self, p: dict) -> list[int]:
         return [p["atr_ratio_window"], p["ma_slow"], p["atr_period"], p["adx_period"], p["rsi_period"]]
@@ -170,62 +189,83 @@ class Assist(Strategy):
         return max(self.periods(p)) + 10
 
     def signals(self, bars, sets):
-        parts = [self.one(bars.select(*KEEP), self.resolved(s)).withColumn("combo_id", F.lit(k).cast("long")) for k, s in enumerate(sets)]
-        return _united(parts).select("combo_id", *KEEP, "signal")
+        given = [self.resolved(s) for s in sets]
+        return self.decided(self.per_set(bars.select(*KEEP), given), given).select("combo_id", *KEEP, "signal")
 
     def resolved(self, params: dict) -> dict:
         """params completed by defaults; switches (enable_, require_) may be given as words such as yes and off."""
         given = self.defaults | params
         return given | {k: int(truth(v, bool(self.defaults[k]))) for k, v in given.items() if k.startswith(("enable_", "require_")) and k in self.defaults}
 
-    def one(self, bars: DataFrame, p: dict) -> DataFrame:
+    def needed(self, p: dict) -> dict[str, list[tuple[str, dict]]]:
+        """For each column of a set, the indicators that it is made by, their last one's output named as the column."""
+        atr = ("atr", {"window": int(p["atr_period"])})
+        return {
+            "atr": [atr],
+            "atr_ratio": [atr, ("atr_ratio", {"window": int(p["atr_ratio_window"])})],
+            "rsi": [("rsi", {"window": int(p["rsi_period"])})],
+            **{c: [("adx", {"window": int(p["adx_period"])})] for c in ("adx", "plus_di", "minus_di")},
+            **{f"ma_{which}": [("ema", {"span": int(p[f"ma_{which}"])})] for which in ("fast", "slow")},
+        }
+
+    def per_set(self, bars: DataFrame, given: list[dict]) -> DataFrame:
+        """A row of bars for each set, with combo_id, its parameters _p and the columns of needed() and stop levels."""
+        names: dict[str, tuple[list, str]] = {}  # the column of each distinct way to make one
+        paces: dict[tuple[float, float], str] = {}
+        chosen: list[dict[str, str]] = []
+        for p in given:
+            own = {c: f"_{c}_" + "_".join(f"{v}" for _, arguments in steps for v in arguments.values()) for c, steps in self.needed(p).items()}
+            names |= {own[c]: (steps, c) for c, steps in self.needed(p).items()}
+            for pace in ("low", "mid", "high"):
+                found = paces.setdefault((float(p[f"psar_step_{pace}"]), float(p["psar_max"])), f"_sar{len(paces)}")
+                own[f"sar_{pace}"] = found
+            chosen.append(own)
+
+        def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+            for name, (steps, c) in names.items():
+                if name in rows.columns:
+                    continue
+                for step, arguments in steps:
+                    rows = getattr(indicators, step)(rows, keys=keys, **arguments)
+                suffix = name.removeprefix(f"_{c}")
+                rows = rows.withColumnsRenamed({x: name if x in ("ema", "sma") else f"_{x}{suffix}" for x in SEVERAL.get(steps[-1][0], [steps[-1][0]])}).drop(*[s for s, _ in steps[:-1]])
+            return rows
+
+        halo = max(sum(indicators.MEMORY[step](**arguments) for step, arguments in steps) for steps, _ in names.values())
+        rows = indicators.parabolic_sars(in_parts(bars, halo, work, ["symbol"]), {name: pace for pace, name in paces.items()})
+        sets = []
+        for k, (p, own) in enumerate(zip(given, chosen, strict=True)):
+            numbers = {n: F.lit(float(v)) for n, v in p.items() if not isinstance(v, str)} | {"warm": F.lit(float(self.warm_up(p)))}
+            sets.append(F.struct(F.lit(k).cast("long").alias("combo_id"), F.struct(*[v.alias(n) for n, v in sorted(numbers.items())]).alias("p"), F.struct(*[F.col(name).alias(c) for c, name in sorted(own.items())]).alias("own")))
+        each = rows.select(*KEEP, F.explode(F.array(*sets)).alias("_set"))
+        return each.select("_set.combo_id", *KEEP, F.col("_set.p").alias("_p"), "_set.own.*")
+
+    def decided(self, rows: DataFrame, given: list[dict]) -> DataFrame:
         raise NotImplementedError
 
-    def indicators(self, bars: DataFrame, p: dict) -> DataFrame:
-        """bars with atr, atr_ratio, rsi, adx, plus_di, minus_di, ma_fast, ma_slow and the three stop levels."""
-        rows = indicators.atr(bars, p["atr_period"])
-        rows = indicators.adx(indicators.rsi(rows, p["rsi_period"]), p["adx_period"])
-        rows = linear(rows, {"ma_fast": indicators.ema_term("close", p["ma_fast"]), "ma_slow": indicators.ema_term("close", p["ma_slow"])}, ["symbol"])
-        rows = indicators.atr_ratio(rows, p["atr_ratio_window"])
-        paces = ("low", "mid", "high") if p["enable_adaptive_step"] else ("mid",)
-        return indicators.parabolic_sars(rows, {f"sar_{pace}": p[f"psar_step_{pace}"] for pace in paces}, p["psar_max"])
-
     @staticmethod
-    def chosen(p: dict, level) -> Column:
+    def chosen(level) -> Column:
         """level(pace) by the volatility of the bar: slow where it is low, fast where it is high."""
-        if not p["enable_adaptive_step"]:
-            return level("mid")
-        return F.when(F.col("atr_ratio") < p["atr_ratio_low"], level("low")).when(F.col("atr_ratio") > p["atr_ratio_high"], level("high")).otherwise(level("mid"))
+        adaptive = F.when(F.col("atr_ratio") < F.col("_p.atr_ratio_low"), level("low")).when(F.col("atr_ratio") > F.col("_p.atr_ratio_high"), level("high")).otherwise(level("mid"))
+        return F.when(F.col("_p.enable_adaptive_step") == 0, level("mid")).otherwise(adaptive)
 
     @staticmethod
-    def gates(p: dict, up: bool) -> Column:
+    def gates(up: bool) -> Column:
         """Whether the bar before lets a turn pass; ADX, RSI, candle body and averages, as far as they are on."""
-        w = series(["symbol"])
-
-        def at(c: str, k: int = 1) -> Column:
-            return F.lag(c, k).over(w)
-
-        passed = F.lit(True)
-        if p["enable_adx"]:
-            strong = at("plus_di") > at("minus_di") if up else at("minus_di") > at("plus_di")
-            passed = passed & (at("adx") >= p["adx_threshold"]) & strong
-            if p["require_adx_slope"]:
-                passed = passed & (at("adx") > at("adx", 2))
-        if p["enable_rsi"]:
-            passed = passed & (at("rsi") > p["rsi_lower"]) & (at("rsi") < p["rsi_upper"])
-        if p["enable_body"]:
-            passed = passed & (at("atr") > 0) & (F.abs(at("close") - at("open")) <= at("atr") * p["body_atr_mult"])
-        if p["enable_ma"]:
-            above = (at("close") > at("ma_fast")) & (at("ma_fast") >= at("ma_slow"))
-            below = (at("close") < at("ma_fast")) & (at("ma_fast") <= at("ma_slow"))
-            passed = passed & (above if up else below)
-        return passed
+        strong = before("plus_di") > before("minus_di") if up else before("minus_di") > before("plus_di")
+        above = (before("close") > before("ma_fast")) & (before("ma_fast") >= before("ma_slow"))
+        below = (before("close") < before("ma_fast")) & (before("ma_fast") <= before("ma_slow"))
+        return (
+            _on("enable_adx", (before("adx") >= F.col("_p.adx_threshold")) & strong & _on("require_adx_slope", before("adx") > before("adx", 2)))
+            & _on("enable_rsi", (before("rsi") > F.col("_p.rsi_lower")) & (before("rsi") < F.col("_p.rsi_upper")))
+            & _on("enable_body", (before("atr") > 0) & (F.abs(before("close") - before("open")) <= before("atr") * F.col("_p.body_atr_mult")))
+            & _on("enable_ma", above if up else below)
+        )
 
     @staticmethod
     def turn(sar_1: Column, sar_2: Column, up: bool) -> Column:
         """Whether price crossed the stop level between the two bars before."""
-        w = series(["symbol"])
-        close_1, close_2 = F.lag("close", 1).over(w), F.lag("close", 2).over(w)
+        close_1, close_2 = before("close", 1), before("close", 2)
         return (sar_2 >= close_2) & (sar_1 < close_1) if up else (sar_2 <= close_2) & (sar_1 > close_1)
 
 
@@ -237,14 +277,13 @@ class PsarAssistV3(Assist):
     defaults = {"enable_adx": 1, "enable_rsi": 1, "enable_ma": 1, "enable_body": 1, **ASSIST_DEFAULTS}
     axes = {**{k: SWITCH for k in ("enable_adx", "enable_rsi", "enable_ma", "enable_body")}, **ASSIST_AXES}
 
-    def one(self, bars, p):
-        rows, w = self.indicators(bars, p), series(["symbol"])
+    def decided(self, rows, given):
         # both earlier levels are those of the pace that the present bar's volatility chooses
-        sar_1, sar_2 = (self.chosen(p, lambda pace, k=k: F.lag(f"sar_{pace}", k).over(w)) for k in (1, 2))
-        warm = F.col("bar_idx") >= self.warm_up(p)
-        passed = [F.coalesce(self.turn(sar_1, sar_2, up) & self.gates(p, up), F.lit(False)) & warm for up in (True, False)]
+        sar_1, sar_2 = (self.chosen(lambda pace, k=k: before(f"sar_{pace}", k)) for k in (1, 2))
+        warm = F.col("bar_idx") >= F.col("_p.warm")
+        passed = [F.coalesce(self.turn(sar_1, sar_2, up) & self.gates(up), F.lit(False)) & warm for up in (True, False)]
         rows = rows.withColumn("_turn", F.when(passed[0], 1.0).when(passed[1], -1.0).otherwise(0.0))
-        return rows.withColumn("signal", indicators.last_nonzero("_turn"))
+        return rows.withColumn("signal", indicators.last_nonzero("_turn", OF_SET))
 
 
 def combined(parts: list[tuple[DataFrame, float]]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +77,12 @@ class Outcome:
         return out
 
 
+    def as_dict(self) -> dict:
+        """For JSON: means outside, ratios to inside, and each fold."""
+        folds = [{**asdict(f), "params": p, "inside": i, "outside": o} for f, p, i, o in self.folds]
+        return {"type": "walk_forward", "means": self.means(), "overfitting": self.overfitting(), "folds": folds}
+
+
 def run(bars: DataFrame, n_bars: int, strategy: Strategy, terms: search.Terms, metric: str = "sharpe", method: str = "bayesian", trials: int = 100, splits: int = 5, share: float = 0.7, expanding: bool = False, maximize: bool = True, seed: int = 42, axes: dict[str, Axis] | None = None) -> Outcome:
     """Optimises inside each fold by any method and reports the best set inside and outside, under the same terms."""
     out = []

@@ -57,10 +57,16 @@ class Report:
         raise KeyError(metric)
 
 
+def _begun(name: str, config: Config) -> Strategy:
+    chosen = strategy(name)
+    chosen.begin(config)
+    return chosen
+
+
 def backtest(bars: DataFrame, name: str, params: dict | None = None, config: Config | None = None) -> Report:
     """One strategy with one set of parameters, under all rules."""
     config = config or Config()
-    chosen = strategy(name)
+    chosen = _begun(name, config)
     full = chosen.defaults | (params or {})
     signals = chosen.signals(bars, [full])
     return Report(name, full, _simulated(signals, config), bars, config)
@@ -69,7 +75,8 @@ def backtest(bars: DataFrame, name: str, params: dict | None = None, config: Con
 def backtest_many(bars: DataFrame, parts: list[tuple[str, dict, float]], config: Config | None = None) -> Report:
     """The weighted mean of several strategies' signals."""
     config = config or Config()
-    signals = combined([(strategy(n).signals(bars, [strategy(n).defaults | p]), w) for n, p, w in parts])
+    begun = [(_begun(n, config), p, w) for n, p, w in parts]
+    signals = combined([(s.signals(bars, [s.defaults | p]), w) for s, p, w in begun])
     return Report("+".join(n for n, _, _ in parts), {n: p for n, p, _ in parts}, _simulated(signals, config), bars, config)
 
 
@@ -96,7 +103,8 @@ def terms_of(c: Config) -> search.Terms:
 
 def optimise(bars: DataFrame, name: str, method: str = "grid", axes: dict[str, Axis] | None = None, config: Config | None = None) -> search.Found:
     """Searches a strategy's parameters by grid, random, bayesian or genetic; every set is simulated as backtest() does."""
-    c, chosen = config or Config(), strategy(name)
+    c = config or Config()
+    chosen = _begun(name, c)
     with search.kept(bars) as held:
         score = search.scorer(held, chosen, c.metric, terms_of(c))
         if method == "grid":
@@ -113,5 +121,5 @@ def optimise(bars: DataFrame, name: str, method: str = "grid", axes: dict[str, A
 
 def walk_forward(bars: DataFrame, n_bars: int, name: str, method: str = "bayesian", splits: int = 5, share: float = 0.7, expanding: bool = False, axes: dict[str, Axis] | None = None, config: Config | None = None) -> walkforward.Outcome:
     c = config or Config()
-    chosen: Strategy = strategy(name)
+    chosen = _begun(name, c)
     return walkforward.run(bars, n_bars, chosen, terms_of(c), c.metric, method, c.trials, splits, share, expanding, c.maximize, c.seed, axes)

@@ -66,3 +66,11 @@ def missing_signals(bars: DataFrame, signals: DataFrame) -> DataFrame:
     """combo_id, symbol, bar_idx of bars that a set of signals has no row for; simulations need none missing."""
     sets = signals.select("combo_id").distinct()
     return bars.select("symbol", "bar_idx").join(sets).join(signals.select("combo_id", "symbol", "bar_idx"), ["combo_id", "symbol", "bar_idx"], "left_anti")
+
+
+def checked_signals(bars: DataFrame, signals: DataFrame) -> DataFrame:
+    """signals, or a ValueError that names the first bars that a set has no signal for."""
+    gaps = [tuple(r) for r in missing_signals(bars, signals).limit(5).collect()]
+    if gaps:
+        raise ValueError(f"no signal for (combo_id, symbol, bar_idx) {gaps}")
+    return signals

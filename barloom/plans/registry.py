@@ -168,22 +168,22 @@ def _over(names: list[tuple[str, str]], *ctes: str, source: str = "bars", recurs
 
 @query(_over([(f"CASE WHEN bar_idx >= 19 THEN avg(close) OVER {rows(20)} END", "sma")]))
 def sma(spark, sf_dir):
-    return _indexed(ind.sma(_all(spark, sf_dir), 20), "sma")
+    return _indexed(ind.added(_all(spark, sf_dir), [("sma", {"window": 20})]), "sma")
 
 
 @query(_over([("v", "ema")], smoothed("e", "bars", "close", "2.0::DOUBLE / 13"), source="e", recursive=True))
 def ema(spark, sf_dir):
-    return _indexed(ind.ema(_all(spark, sf_dir), 12), "ema")
+    return _indexed(ind.added(_all(spark, sf_dir), [("ema", {"span": 12})]), "ema")
 
 
 @query(_over([("v", "wilder")], smoothed("e", "bars", "close", "1.0::DOUBLE / 14"), source="e", recursive=True))
 def wilder(spark, sf_dir):
-    return _indexed(ind.wilder(_all(spark, sf_dir), 14), "wilder")
+    return _indexed(ind.added(_all(spark, sf_dir), [("wilder", {"window": 14})]), "wilder")
 
 
 @query(_over([("rsi", "rsi")], *RSI, source="rsis", recursive=True))
 def rsi(spark, sf_dir):
-    return _indexed(ind.rsi(_all(spark, sf_dir)), "rsi")
+    return _indexed(ind.added(_all(spark, sf_dir), [("rsi", {})]), "rsi")
 
 
 @query(
@@ -193,17 +193,17 @@ def rsi(spark, sf_dir):
     )
 )
 def macd(spark, sf_dir):
-    return _indexed(ind.macd(_all(spark, sf_dir)), "macd", "macd_signal", "macd_hist")
+    return _indexed(ind.added(_all(spark, sf_dir), [("macd", {})]), "macd", "macd_signal", "macd_hist")
 
 
 @query(_over([("v", "atr")], sql.RANGES, smoothed("e", "ranges", "tr", "2.0::DOUBLE / 15"), source="e", recursive=True))
 def atr(spark, sf_dir):
-    return _indexed(ind.atr(_all(spark, sf_dir)), "atr")
+    return _indexed(ind.added(_all(spark, sf_dir), [("atr", {})]), "atr")
 
 
 @query(_over([("a.v", "adx"), ("plus_di", "plus_di"), ("minus_di", "minus_di")], *ADX, source="a JOIN dx USING (symbol, bar_idx)", recursive=True))
 def adx(spark, sf_dir):
-    return _indexed(ind.adx(_all(spark, sf_dir)), "adx", "plus_di", "minus_di")
+    return _indexed(ind.added(_all(spark, sf_dir), [("adx", {})]), "adx", "plus_di", "minus_di")
 
 
 @query(_over([("sar", "sar")], state_sql.NEAR, state_sql.stop_levels("sar", 0.02), source="sar", recursive=True))
@@ -216,7 +216,7 @@ _M, _S = f"avg(close) OVER {rows(20)}", f"stddev_pop(close) OVER {rows(20)}"
 
 @query(_over([(f"CASE WHEN bar_idx >= 19 THEN {e} END", n) for e, n in ((f"{_M} + 2 * {_S}", "bb_upper"), (_M, "bb_middle"), (f"{_M} - 2 * {_S}", "bb_lower"))]))
 def bollinger(spark, sf_dir):
-    return _indexed(ind.bollinger(_all(spark, sf_dir)), "bb_upper", "bb_middle", "bb_lower")
+    return _indexed(ind.added(_all(spark, sf_dir), [("bollinger", {})]), "bb_upper", "bb_middle", "bb_lower")
 
 
 @query(
@@ -228,12 +228,12 @@ def bollinger(spark, sf_dir):
     )
 )
 def stochastic(spark, sf_dir):
-    return _indexed(ind.stochastic(_all(spark, sf_dir)), "stoch_k", "stoch_d")
+    return _indexed(ind.added(_all(spark, sf_dir), [("stochastic", {})]), "stoch_k", "stoch_d")
 
 
 @query(_over([(f"CASE WHEN bar_idx >= 19 THEN max(high) OVER {rows(20)} END", "donchian_upper"), (f"CASE WHEN bar_idx >= 19 THEN min(low) OVER {rows(20)} END", "donchian_lower")]))
 def donchian(spark, sf_dir):
-    return _indexed(ind.donchian(_all(spark, sf_dir)), "donchian_upper", "donchian_lower")
+    return _indexed(ind.added(_all(spark, sf_dir), [("donchian", {})]), "donchian_upper", "donchian_lower")
 
 
 @query(
@@ -244,7 +244,7 @@ def donchian(spark, sf_dir):
     )
 )
 def cci(spark, sf_dir):
-    return _indexed(ind.cci(_all(spark, sf_dir)), "cci")
+    return _indexed(ind.added(_all(spark, sf_dir), [("cci", {})]), "cci")
 
 
 @query(
@@ -254,8 +254,8 @@ def cci(spark, sf_dir):
     )
 )
 def atr_ratio(spark, sf_dir):
-    bars = ind.atr(_all(spark, sf_dir))
-    return _indexed(ind.atr_ratio(ind.rolling_median(bars, 50, "atr"), 50), "median", "atr_ratio")
+    found = ind.added(_all(spark, sf_dir), [("atr", {}), ("rolling_median", {"window": 50, "column": "atr"}), ("atr_ratio", {"window": 50})])
+    return _indexed(found, "median", "atr_ratio")
 
 
 _P = f"lag(close) OVER ({W})"

@@ -22,30 +22,35 @@ def live_bars(ticks: DataFrame, bucket: str = "1 hour", late: str = "2 hours") -
     return out.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def live_ema(bars: DataFrame, span: int, late: str = "2 hours") -> DataFrame:
+def live_ema(bars: DataFrame, span: int) -> DataFrame:
     """symbol, ts, close, ema for each bar of a stream, in order of time within a batch.
 
-    The state of a symbol is its last average.
+    The state of a symbol is its last average and the time of its last bar. Bars must come in order from batch to batch, as those of live_bars() do;
+    a bar that is not later than the last one has a null average and changes nothing.
     """
     weight = 2 / (span + 1)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        value = state.get[0] if state.exists else None
+        value, last = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values("ts")
         out = []
-        for close in rows["close"]:
-            value = close if value is None else value + weight * (close - value)
+        for at, close in zip(rows["ts"].astype("int64"), rows["close"], strict=True):
+            if last is not None and at <= last:
+                out.append(None)
+                continue
+            value, last = close if value is None else value + weight * (close - value), at
             out.append(value)
         if value is not None:
-            state.update((float(value),))
-        yield rows.assign(ema=out)[["symbol", "ts", "close", "ema"]]
+            state.update((float(value), int(last)))
+        yield rows.assign(ema=pd.Series(out, index=rows.index, dtype="float64"))[["symbol", "ts", "close", "ema"]]
 
     rows = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close")
-    return rows.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, close double, ema double", "value double", "append", "NoTimeout")
+    return rows.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, close double, ema double", "value double, last long", "append", "NoTimeout")
 
 
 class LiveGateway(ABC):
-    """What a broker must offer; orders of a stream reach it through foreachBatch."""
+    """What a broker must offer; orders of a stream reach it through foreachBatch, each with an order_id by which the
+    broker tells one that comes again."""
 
     @abstractmethod
     def connect(self) -> None: ...
@@ -64,10 +69,15 @@ class LiveGateway(ABC):
 
 
 def send_orders(orders: DataFrame, gateway: LiveGateway, checkpoint: str):
-    """Starts a stream that submits each batch of orders, once and in order of time."""
+    """Starts a stream that submits each batch of orders, in order of time.
 
-    def submit(batch: DataFrame, _number: int) -> None:
-        for order in batch.orderBy("ts").toLocalIterator():
-            gateway.submit(order.asDict())
+    A batch that failed comes again with the same number, so an order may be submitted twice, with the same order_id: its batch
+    and its place in it (by time, then a hash of the order).
+    """
+
+    def submit(batch: DataFrame, number: int) -> None:
+        placed = batch.orderBy("ts", F.xxhash64(*batch.columns)).toLocalIterator()
+        for k, order in enumerate(placed):
+            gateway.submit({**order.asDict(), "order_id": f"{number}-{k}"})
 
     return orders.writeStream.foreachBatch(submit).option("checkpointLocation", checkpoint).start()
