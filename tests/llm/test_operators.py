@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from barloom.llm import components, fingerprint, jaccard, language, mixing, neighbours, packing, quality, queries, revisits
 from barloom.llm.common import fold_of
 from pyspark.sql import functions as F
@@ -184,6 +185,22 @@ def test_fingerprints_and_their_neighbours(spark):
     assert fingerprint.compare(documents(spark, edge_rows())).count() == len(edge_rows())
 
 
+def test_many_rows_without_ids_or_words(spark):
+    """Rows that share a null id, and runs of texts without words, are dealt by their texts and never held together."""
+    texts = [f"t{k % 700} word" if k % 3 else None for k in range(4000)]
+    docs = spark.createDataFrame([(None if k % 2 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    out = fingerprint.compare(docs).collect()
+    assert len(out) == 4000 and sorted(str(r["doc_id"]) for r in out) == sorted(str(None if k % 2 else k) for k in range(4000))
+    order = sorted(((None if k % 2 else k, t or "") for k, t in enumerate(texts)), key=lambda r: (r[0] is None, -(r[0] or 0), -signed_hash(r[1])))
+    expected = sorted((str(i), t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]) for k, (i, t) in enumerate(order))
+    assert sorted((str(r["doc_id"]), r["edited_text"]) for r in out) == expected
+
+
+def signed_hash(text):
+    value = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return value - (1 << 64) if value >> 63 else value
+
+
 def test_likeness_estimates_similarity():
     draw, errors = random.Random(1), []
     for n in (40, 200, 1000):
@@ -299,7 +316,8 @@ def test_language_of_odd_rows(spark):
     assert {(4, "und"), (5, "und"), (6, "und"), (7, "en"), (9, "en")} <= out
     assert {r["lang_pred"] for r in language.identify(docs, language.train(docs.limit(0))).collect()} == {"und"}
     assert language.identify(docs.limit(0), language.train(docs)).count() == 0
-    assert fold_of(F.lit(5), 4) is not None
+    folds = spark.range(200).select("id", fold_of(F.col("id"), 4).alias("f"), fold_of(F.lit(None).cast("long"), 4).alias("none")).collect()
+    assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 4 and r["none"] == zlib.crc32(b"null") % 4 for r in folds)
 
 
 def vectors(spark, rows):
@@ -352,6 +370,15 @@ def test_ties_of_scaled_vectors_stay():
         assert got[:5] == sorted(ids[k::8].tolist())[:5]
 
 
+def test_queries_go_to_few_cells(spark):
+    """In a clustered table, exact search deals far fewer queries than queries times shards."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(40, 16))[draw.integers(0, 40, 4000)] + 0.02 * draw.normal(size=(4000, 16))
+    rows = [(k, [float(np.float32(a)) for a in v], "z") for k, v in enumerate(x)]
+    out = neighbours.search(vectors(spark, rows), F.col("vec_id") % 50 == 0, factor=1.0, shard_rows=100).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in out} == {(q, v) for q, own in brute_neighbours(rows).items() for v in own}
+
+
 def test_neighbours_recall(spark):
     rows = [(r["vec_id"], r["embedding"], "") for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     want, out = brute_neighbours(rows), queries.op6_neighbours(spark, "/root/testdata/sf0.1").collect()

@@ -58,5 +58,21 @@ def test_run_gives_the_last_stage(spark):
     assert out.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
 
 
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_of_odd_tables(spark, name, stage):
+    """An empty table, and one with nulls, repeats and columns named as the operators' own."""
+    base = spark.createDataFrame([(1, "some words of text here", "en", "a", 1), (1, "some words of text here", "en", "a", 1), (None, None, None, None, None), (3, "", "en", None, 0), (4, "mail a@b.com now", "de", "a", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.selectExpr("*", "'mine' AS score", "7 AS predicted", "'c' AS `class`", "'k' AS keys", "1 AS spans", "2 AS mix_size")
+    out = stage(spark, docs, "/root/testdata/sf0.001")
+    if name == "pack":
+        assert out.select("doc_id").distinct().count() == 4
+    else:
+        assert out.columns == docs.columns
+        assert {(r["score"], r["predicted"], r["class"], r["keys"], r["spans"], r["mix_size"]) for r in out.collect()} <= {("mine", 7, "c", "k", 1, 2)}
+        assert out.count() == {"near_duplicates": 4, "personal_data": 5}.get(name, out.count())
+    none = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+    assert none.count() == 0 and none.columns == out.columns
+
+
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
