@@ -80,7 +80,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of identifiers up to which small() sends a table to all executors.
-SMALL_ROWS = 500_000
+SMALL_ROWS = 1_000_000
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

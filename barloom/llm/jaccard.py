@@ -129,21 +129,26 @@ def outline(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and set (sorted 64-bit hashes) of the classes of wanted (doc_id, class), from their texts."""
+    """class and set (sorted 64-bit hashes) of the classes of wanted (doc_id, class), from their texts.
+
+    A row for each class: ids tell rows apart, or else, where ids are repeated, classes are made unique by a shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in slices(batches, "text"):
             tokens, at, whole = sets_of(data, offsets)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(whole), pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["class", "set"])
 
-    ids = small(wanted.select(F.col("doc_id").alias("wanted")).distinct())
+    ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = to_python(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text"), run, "class long, set binary")
+    rows = to_python(texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text"), run, "class long, set binary")
+    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
     return rows.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of classes whose sets have 100 * intersection >= 75 * union."""
+    """Those of pairs (a, b) of classes whose sets have 100 * intersection >= 75 * union. Only the sets of pairs are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +161,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
 
-    first, second = (sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    first, second = (sets.join(small(pairs.select(F.col(c).alias("class")).distinct()), "class", "left_semi").select(F.col("class").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
     return to_python(pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
@@ -360,7 +365,7 @@ def links_between_classes(docs: DataFrame, rows: DataFrame, exact: bool = False)
     many = settled(open_.where(F.col("size") > SMALL_GROUP).select("class", "component").distinct().join(described, "class"), "jaccard-many")
     pairs = _within_small(few)
     if not many.isEmpty():
-        pairs = pairs.unionByName(by_shingles(sets.join(many.select("class"), "class", "left_semi"), many))
+        pairs = pairs.unionByName(by_shingles(sets.join(small(many.select("class")), "class", "left_semi"), many))
     more = _once(pairs).join(tried, ["a", "b"], "left_anti")
     return links.unionByName(_verified(settled(more, "jaccard-more"), sets))
 
