@@ -570,7 +570,7 @@ def walk_forward_stability(spark, sf_dir):
 
 
 _FOLDS = """sized AS (SELECT greatest(3, (max(bar_idx) + 1) // 4) AS block, max(bar_idx) + 1 AS n FROM bars),
-shares AS (SELECT *, greatest(2, floor(block * 0.7)::BIGINT) AS ins FROM sized), stretches AS (SELECT *, greatest(1, block - ins) AS outs FROM shares),
+shares AS (SELECT *, greatest(2, floor(block * 0.7::DOUBLE)::BIGINT) AS ins FROM sized), stretches AS (SELECT *, greatest(1, block - ins) AS outs FROM shares),
 spans AS (SELECT (k + 1)::INTEGER AS fold, unnest(['is', 'oos']) AS split, unnest([k * (ins + outs), k * (ins + outs) + ins]) AS lo, unnest([k * (ins + outs) + ins, (k + 1) * (ins + outs)]) AS hi FROM stretches, range(0, 4) t(k) WHERE (k + 1) * (ins + outs) <= n),
 pieces AS MATERIALIZED (SELECT fold, split, symbol, ts, bar_idx - lo AS bar_idx, open, high, low, close, volume FROM bars JOIN spans ON bar_idx >= lo AND bar_idx < hi)"""
 _FOLD_KEYS = "combo_id, fold, split, "
@@ -614,7 +614,7 @@ def regimes(spark, sf_dir):
     return stability.regimes(equity.join(mean, "bar_idx"), periods=6048.0).drop("combo_id")
 
 
-@query(over_bars(f"SELECT {r('sharpe', 'sharpe')}, 1.0 AS p_value, false AS significant FROM scored", *CURVE, sql.MARKET, sql.performance("", periods=HOURS, rf=0.0)))
+@query(over_bars(f"SELECT {r('sharpe', 'sharpe')}, 1.0::DOUBLE AS p_value, false AS significant FROM scored", *CURVE, sql.MARKET, sql.performance("", periods=HOURS, rf=0.0)))
 def permutation_test(spark, sf_dir):
     equity = portfolio.vector(_sma_signals(spark, sf_dir), SLIPPAGE, COMMISSION)
     return stability.permutation_test(equity, ["combo_id"], periods=HOURS).drop("combo_id")
