@@ -162,7 +162,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
 
     first, second = (sets.join(small(pairs.select(F.col(c).alias("class")).distinct()), "class", "left_semi").select(F.col("class").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-    return to_python(pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
+    return to_python(first.join(small(pairs), "a").join(second, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def by_shingles(sets: DataFrame, known: DataFrame) -> DataFrame:
     firsts = settled(_first_shingles(sets, _heavy(sets)).join(known.select("class", "component"), "class"), "jaccard-firsts")
     light = firsts.where("not is_heavy").select("class", "component", F.explode("tokens").alias("key"))
     groups = light.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size")
-    met = settled(light.join(settled(groups, "jaccard-groups"), "key").join(known.drop("component"), "class"), "jaccard-light")
+    met = settled(light.join(small(settled(groups, "jaccard-groups")), "key").join(known.drop("component"), "class"), "jaccard-light")
     few, many = met.where(F.col("size") <= SMALL_GROUP), met.where(F.col("size") > SMALL_GROUP).drop("size")
     framed = firsts.where("is_heavy").join(known.drop("component"), "class")
     smallest = framed.groupBy("frame", "heavy").agg(F.min(F.struct("n_shingles", "class", "component")).alias("least"))
@@ -349,15 +349,15 @@ def links_between_classes(docs: DataFrame, rows: DataFrame, exact: bool = False)
     blocks = classes.select("class", F.explode("keys").alias("key"))
     groups = blocks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = settled(blocks.join(groups, "key"), "jaccard-members")
-    met = members.groupBy("class").agg(F.sum("size").alias("met"))
-    known = settled(classes.select("class", "n_shingles", "sketch").join(met, "class"), "jaccard-classes")
-    hubs = members.join(met, "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("hub"))
+    met = settled(members.groupBy("class").agg(F.sum("size").alias("met")), "jaccard-met")
+    known = settled(classes.select("class", "n_shingles", "sketch").join(small(met), "class"), "jaccard-classes")
+    hubs = members.join(small(met), "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("hub"))
     stars = members.join(hubs, "key").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     tried = settled(_plausible(_once(stars), known), "jaccard-pairs")
-    sets = settled(_sets(docs, ids.join(met.select("class"), "class", "left_semi")), "jaccard-sets")
+    sets = settled(_sets(docs, ids.join(small(met.select("class")), "class", "left_semi")), "jaccard-sets")
     links = settled(_verified(tried, sets), "jaccard-links")
     found = components(links)
-    labelled = members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = members.join(small(found.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = settled(labelled.join(mixed, "key", "left_semi").select("key", "class", "size", "component"), "jaccard-open")
     described = known.select("class", "n_shingles", "sketch")
