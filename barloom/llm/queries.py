@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import captures, fingerprint, jaccard, language, mixing, neighbours, packing, pii, quality, revisits, secret_scan, spans
+from barloom.llm import captures, clusters, fingerprint, jaccard, language, mixing, neighbours, packing, pii, quality, revisits, secret_scan, spans
 from barloom.llm.common import fold_of, table
 
 
@@ -114,6 +114,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]), pii.BASE)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector after five rounds, and how tight clusters are."""
+    return clusters.summary(*clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_jaccard_join": op2_jaccard_join,
@@ -125,5 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_language": op9_language,
     "op10_personal_data": op10_personal_data,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op4_revisits": captures.SQL, "op8_secrets": secret_scan.SQL}
+ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op4_revisits": captures.SQL, "op8_secrets": secret_scan.SQL, "op11_centroid_clusters": clusters.SQL}

@@ -14,7 +14,7 @@ RULES_VERSION = 1
 BASE = ["assign", "access", "hex"]
 #: Fixed formats of well-known credentials that the method adds.
 ADDED = {
-    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",  # not within a longer run, so no run is tried at each of its places
     "pem": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
     "forge": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "chat": r"xox[abprs]-[A-Za-z0-9-]{10,}",
@@ -73,12 +73,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules_version: in
 def _sql() -> str:
     """The rows of the query over documents in DuckDB SQL: places from interleaving matches and what is between."""
     patterns = {"assign": _ASSIGN, "access": _ACCESS, "hex": _HEX, **ADDED}
+    patterns["jwt"] = patterns["jwt"].replace("(?<![A-Za-z0-9_-])", "(?:^|[^A-Za-z0-9_-])")  # no looking back there: what stands before is cut off below
     quoted = {k: p.replace("'", "''") for k, p in patterns.items()}
     parts = []
     for rank, (kind, p) in enumerate(quoted.items()):
         keep = f"len(regexp_extract(hit, '{p}', 1)) >= 6" if kind == "assign" else "true"
+        led = " + length(hit) - length(regexp_replace(hit, '^[^A-Za-z0-9_-]', '')) AS start" if kind == "jwt" else ""
         parts.append(
-            f"SELECT id, {rank} AS rank, '{kind}' AS kind, start, start + length(hit) AS stop FROM (SELECT id, hit, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS start "
+            f"SELECT id, {rank} AS rank, '{kind}' AS kind, start{led}, start + length(hit) AS stop FROM (SELECT id, hit, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS start "
             f"FROM (SELECT id, hits, gaps, unnest(hits) AS hit, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT id, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM t WHERE regexp_matches(text, '{p}')))) WHERE {keep}"
         )
     counts = ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS n_{k}" for k in BASE)

@@ -1,7 +1,9 @@
 """Secrets and personal data against plain Python patterns."""
 
 import random
+import time
 
+import pytest
 from barloom.llm import pii, secret_scan, spans
 from pyspark.sql import functions as F
 from tests.llm.reference_rules import personal, secrets
@@ -12,7 +14,7 @@ ALPHABET = ["a", "B", "é", "😀", " ", " ", "\n", ".", "-", "@", "+", "1", "23
 def texts():
     draw = random.Random(5)
     made = ["".join(draw.choice(ALPHABET) for _ in range(draw.randrange(1, 40))) for _ in range(3000)]
-    return [*made, "", " ", "token = " * 5, "1" * 40_000, "a" * 60_000 + "@", "secret=token: abcdef", "a@b.c_x@d.e", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "1 " * 3000, "+1 " + "(" * 3000, "a@" + "b." * 1000 + "c"]
+    return [*made, "", " ", "token = " * 5, "1" * 40_000 + ".", "a" * 60_000 + "@", "secret=token: abcdef", "a@b.c_x@d.e", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "1 " * 3000, "+1 " + "(" * 3000, "a@" + "b." * 1000 + "c"]
 
 
 def frame(spark, rows):
@@ -70,3 +72,47 @@ def test_look_alikes_need_support(spark):
 def test_joined_order(spark):
     row = spark.range(1).select(spans.joined(F.array().cast(f"array<{spans.SPAN}>")).alias("x")).collect()[0]
     assert row["x"] == ""
+
+
+MILLION = 1_000_000
+#: Texts that a pattern which tries each place of a run anew, or recurses for each part, could not get through; and their base spans.
+LONG = {
+    "parts": ("x a@b" + ".c" * MILLION, [("email", 2, 5 + 2 * MILLION)]),
+    "digits": ("1" * MILLION + ". @ + eyJ", []),
+    "numbers": ("1 " * (MILLION // 2) + ".+@", []),
+    "addresses": ("12." * 60_000 + "@+", [("ip", 12 * k, 12 * k + 11) for k in range(15_000)]),
+    "dials": ("+1 " * (MILLION // 3) + "@.", []),
+    "letters": ("a" * MILLION + "@.+", []),
+    "token starts": ("eyJa" * (MILLION // 4) + ".eyJ @", []),
+    "names": ("token" * (MILLION // 5) + "=", []),
+    "marks": ("xoxa-" * (MILLION // 5) + " AKIA" * 1000, []),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts_take_seconds(spark, name):
+    text, expected = LONG[name]
+    began = time.monotonic()
+    rows = frame(spark, ["mail a@b.com", text, None])
+    data = {r["doc_id"]: r["spans"] for r in pii.find(rows, keep=["doc_id"]).collect()}
+    keys = rows.select(secret_scan.found_in(F.col("text")).alias("spans")).collect()[1]["spans"]
+    assert time.monotonic() - began < 60
+    assert [(s["kind"], s["start"], s["end"]) for s in data[1] if s["kind"] in pii.BASE] == expected
+    assert [(s["kind"], s["start"], s["end"]) for s in keys if s["kind"] in secret_scan.BASE] == ([("hex", 0, MILLION)] if name in ("digits", "letters") else [])
+    assert len(data[0]) == 1 and data[2] == []
+
+
+def test_tokens_begin_no_run_and_sql_agrees(spark):
+    import duckdb
+
+    part = "eyJ" + "h" * 12
+    token = f"{part}.{part}.{'s' * 12}"
+    rows = [token, f" {token}.{token}", f"x{token}", f"é{token} {token}", f"-{token}", f"{token}\n{token}", f".{token}.x", None]
+    expected = [["0:44"], ["1:45", "46:90"], [], ["1:45", "46:90"], [], ["0:44", "45:89"], ["1:45"], []]
+    got = [[f"{s['start']}:{s['end']}" for s in r["spans"] if s["kind"] == "jwt"] for r in frame(spark, rows).select(secret_scan.found_in(F.col("text")).alias("spans")).collect()]
+    assert got == expected
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(rows)))
+    found = {r[0]: r[-1] for r in con.execute(f"SELECT doc_id, spans FROM ({secret_scan.SQL})").fetchall()}
+    assert [[s.removeprefix("jwt:") for s in found[k].split(",") if s.startswith("jwt:")] for k in range(len(rows))] == expected
