@@ -1,20 +1,16 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of its distinct five-word shingles (see textkernel.shingles), each hashed to 64 bits.
-Equal sets form a class; links are sought between classes. If two sets of sizes a and b have a
+A document is the set of its distinct five-word shingles. If two sets of sizes a and b have a
 similarity of 0.75 or more, at most (a + b) / 7 shingles are in only one of them. So sets are cut into
 D + 1 blocks by a hash of the shingle, D the most such differences within a band of sizes, and the
 XOR of a block's hashes is a sketch of it: differences touch D blocks at most, and an untouched block has
-equal XORs in both. Pairs are looked for where a block's XOR is equal, and then verified on the sets.
+equal XORs in both. Pairs are looked for where a block's XOR is equal, and then verified on the sets (see setjoin).
 
 Bands grow by 4/3, so partners are in the same band or the next; each set sends its blocks for both pairs of
 bands it is part of. Blocks are SLOTS for each of these: large sets send the first SLOTS of their D + 1 blocks,
 small ones repeat the cut with other hashes, the last as far as needed, until SLOTS are full. At the similarity of 0.75 a block is the same
 and not empty with a probability of 0.38 or more, so a pair that should be linked is missed
 with a probability of at most 0.62 ** SLOTS, about 1e-10; above it, less.
-
-Many sets may share a block, as of a passage that they all quote. Classes of such large groups are not compared
-group by group but by those of their shingles that decide (by_shingles()), which also is the exact way for a whole join: nothing there is left to chance.
 """
 
 from __future__ import annotations
@@ -28,19 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from barloom.llm import setjoin
 from barloom.llm.common import settled, slices, small, to_python
-from barloom.llm.components import components
-from barloom.llm.textkernel import PART, U, mix, shingles
+from barloom.llm.setjoin import Likeness, sets_of
+from barloom.llm.textkernel import PART, U, mix
 
 SLOTS = 48
-#: Bits of the parity sketch of a whole set.
-SKETCH_BITS = 1024
-#: Classes in one block's group up to which all its pairs of different components are listed.
-SMALL_GROUP = 48
-#: Classes that are compared with as many others at once.
-_PACK = 128
-#: Classes that heavy shingles are looked for in, and such shingles that go to all executors, at most.
-HEAVY_SAMPLE, MOST_HEAVY = 10_000, 200_000
+#: Five words, a similarity of 0.75 or more.
+LIKE = Likeness(5, 75)
 
 
 def _bands(top: int) -> np.ndarray:
@@ -54,17 +45,6 @@ def _bands(top: int) -> np.ndarray:
 _ENDS = _bands(1 << 40)
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingle hashes of each text, sorted; their offsets; a hash of each whole set)."""
-    found, at = shingles(data, offsets)
-    parts = [np.unique(found[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    out = np.concatenate(parts) if parts else found
-    sizes = np.array([len(p) for p in parts], np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(out + U(1)))])
-    return out, at, mix((total[at[1:]] - total[at[:-1]]) ^ mix(sizes.astype(U)))
-
-
 def block_keys(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """The keys of each set's blocks: hashes of (bands, number of the block, XOR of the block)."""
     n = np.diff(at)
@@ -94,282 +74,6 @@ def block_keys(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return np.split(np.concatenate(keys)[order], np.searchsorted(side[order], np.arange(1, len(n)))) if len(n) else []
 
 
-def parity_sketches(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of SKETCH_BITS / 64 words for each set: every shingle flips one bit, so the Hamming distance
-    of two sketches is at most the number of shingles in one of the sets alone."""
-    n = np.diff(at)
-    words = SKETCH_BITS // 64
-    out = np.zeros(len(n) * words, U)
-    spot = mix(tokens ^ U(0x5851F42D4C957F2D)) % U(SKETCH_BITS)
-    np.bitwise_xor.at(out, np.repeat(np.arange(len(n)), n) * words + (spot >> U(6)).astype(np.int64), U(1) << (spot & U(63)))
-    return out.reshape(len(n), words)
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def outline(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (of equal sets; null for an empty one), sketch, keys of each row of docs (doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches, "text"):
-            tokens, at, whole = sets_of(data, offsets)
-            keys, n = block_keys(tokens, at), np.diff(at)
-            lengths = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(0), pa.array(n, pa.int64()), pa.array(_signed(whole), pa.int64(), mask=n == 0), pa.array([s.tobytes() for s in parity_sketches(tokens, at)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(lengths), pa.array(_signed(np.concatenate(keys)), pa.int64())),
-                ],
-                ["doc_id", "n_shingles", "class", "sketch", "keys"],
-            )
-
-    return to_python(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_shingles long, class long, sketch binary, keys array<long>")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and set (sorted 64-bit hashes) of the classes of wanted (doc_id, class), from their texts.
-
-    A row for each class: ids tell rows apart, or else, where ids are repeated, classes are made unique by a shuffle.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in slices(batches, "text"):
-            tokens, at, whole = sets_of(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(whole), pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["class", "set"])
-
-    ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = to_python(texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text"), run, "class long, set binary")
-    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows
-    return rows.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of classes whose sets have 100 * intersection >= 75 * union. Only the sets of pairs are dealt."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good.append(100 * both >= 75 * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
-
-    first, second = (sets.join(small(pairs.select(F.col(c).alias("class")).distinct()), "class", "left_semi").select(F.col("class").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-    return to_python(first.join(small(pairs), "a").join(second, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
-
-
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that sizes and sketches allow."""
-    first, second = (classes.select(F.col("class").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b"))
-    sizes = (F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), U).reshape(len(c), SKETCH_BITS // 64) for c in batch.columns[3:])
-            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * 7 <= batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], ["a", "b"])
-
-    joined = pairs.join(first, "a").join(second, "b").where(sizes)
-    return to_python(joined.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b"), run, "a long, b long")
-
-
-def _near(n: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sizes and sketches allow a link of each pair of rows x, y."""
-    sized = (4 * n[y] >= 3 * n[x]) & (4 * n[x] >= 3 * n[y])
-    sized[sized] = np.bitwise_count(sketch[x[sized]] ^ sketch[y[sized]]).sum(axis=1, dtype=np.int64) * 7 <= (n[x] + n[y])[sized]
-    return sized
-
-
-def _columns(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """class, component, n_shingles, sketch"""
-    plain = [rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy() for c in ("class", "component", "n_shingles")]
-    return *plain, np.frombuffer(b"".join(rows.column(rows.schema.get_field_index("sketch")).to_pylist()), U).reshape(len(plain[0]), SKETCH_BITS // 64)
-
-
-def _within_small(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, class, component, n_shingles, sketch) of one key and different components that
-    sizes and sketches allow; groups have at most SMALL_GROUP rows and stream by in order of key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            rows = batch if held is None or not len(held) else pa.concat_batches([held, batch])
-            key = rows.column(0).to_numpy()
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on
-            yield pairs(rows.slice(0, whole))
-            held = rows.slice(whole)
-        if held is not None:
-            yield pairs(held)
-
-    def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
-        key = rows.column(0).to_numpy()
-        name, component, n, sketch = _columns(rows)
-        a, b = [name[:0]], [name[:0]]
-        for step in range(1, len(key)):
-            x = np.flatnonzero(key[:-step] == key[step:])
-            if not len(x):
-                break
-            x = x[component[x] != component[x + step]]
-            x = x[_near(n, sketch, x, x + step)]
-            a.append(name[x])
-            b.append(name[x + step])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return to_python(members.select("key", "class", "component", "n_shingles", "sketch").repartition("key").sortWithinPartitions("key"), run, "a long, b long")
-
-
-def by_shingles(sets: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of sets (class, set) and different components, as known (class, component, n_shingles, sketch) has
-    them, that sizes and sketches allow; verified, they join all that the links between those classes join.
-
-    Shingles are put in one order, by hash but for the heavy ones, which come last. Of sets that link, the first
-    n - ceil(0.75 n) + 1 shingles have one in common, so only these are dealt. A set that has a heavy one among them
-    consists of heavy shingles, its frame, for three quarters and more, and two such sets that share no other one link by their frames alone.
-    So of the sets of one frame the smallest stands for all: every set as small as the frame allows links with it, and the
-    others are compared with such smallest ones only.
-    """
-    firsts = settled(_first_shingles(sets, _heavy(sets)).join(known.select("class", "component"), "class"), "jaccard-firsts")
-    light = firsts.where("not is_heavy").select("class", "component", F.explode("tokens").alias("key"))
-    groups = light.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size")
-    met = settled(light.join(small(settled(groups, "jaccard-groups")), "key").join(known.drop("component"), "class"), "jaccard-light")
-    few, many = met.where(F.col("size") <= SMALL_GROUP), met.where(F.col("size") > SMALL_GROUP).drop("size")
-    framed = firsts.where("is_heavy").join(known.drop("component"), "class")
-    smallest = framed.groupBy("frame", "heavy").agg(F.min(F.struct("n_shingles", "class", "component")).alias("least"))
-    placed = framed.join(settled(smallest, "jaccard-frames"), ["frame", "heavy"]).withColumn("leads", F.col("class") == F.col("least.class"))
-    near = (F.col("n_shingles") + F.col("least.n_shingles")) * 3 <= F.col("heavy") * 7
-    stars = placed.where(near & ~F.col("leads") & (F.col("component") != F.col("least.component"))).select(F.col("class").alias("a"), F.col("least.class").alias("b"))
-    others = placed.where(F.col("leads") | ~near).select(F.explode("tokens").alias("key"), "class", "component", "n_shingles", "sketch", "frame", "leads")
-    large = others.unionByName(many.select("key", "class", "component", "n_shingles", "sketch", F.col("class").alias("frame"), F.lit(True).alias("leads")))
-    return _within_small(few).unionByName(stars).unionByName(_within_large(settled(large, "jaccard-large")))
-
-
-def _heavy(sets: DataFrame) -> np.ndarray:
-    """Shingles, sorted, that many of sets (class, set) have, as far as a sample of HEAVY_SAMPLE classes shows them; at most MOST_HEAVY.
-
-    Results don't depend on which these are, only the number of comparisons does.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own.as_buffer(), np.int64))], ["token"])
-
-    share = min(1.0, HEAVY_SAMPLE / max(sets.count(), 1))
-    sample = sets.where(F.pmod(F.xxhash64("class"), F.lit(1 << 20)) < int(share * (1 << 20))).select("set")
-    least = max(SMALL_GROUP * share, min(SMALL_GROUP, 4))
-    often = to_python(sample, run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    return np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(MOST_HEAVY).collect()], np.int64))
-
-
-def _first_shingles(sets: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Of each class of sets (class, set), those shingles that decide, heavy ones (is_heavy) and others in rows of their own, with a hash of all
-    its heavy ones, frame, and their number, heavy."""
-    shared = sets.sparkSession.sparkContext.broadcast(heavy)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        for batch in batches:
-            out: list[tuple] = []
-            for name, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = np.frombuffer(own.as_buffer(), np.int64)
-                is_common = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens if len(common) else np.zeros(len(tokens), bool)
-                light, frame = tokens[~is_common], tokens[is_common]
-                deciding = len(tokens) - (3 * len(tokens) + 3) // 4 + 1
-                hashed = int(np.bitwise_xor.reduce(mix(frame.view(U)))) if len(frame) else 0
-                for flag, part in ((False, light[:deciding]), (True, frame[: max(0, deciding - len(light))])):
-                    if len(part):
-                        out.append((name, flag, part, hashed - (1 << 63), len(frame)))
-            columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
-            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["class", "is_heavy", "tokens", "frame", "heavy"])
-
-    return to_python(sets.select("class", "set"), run, "class long, is_heavy boolean, tokens array<long>, frame long, heavy long")
-
-
-def _within_large(members: DataFrame) -> DataFrame:
-    """As _within_small() for groups of any size, of members (key, class, component, n_shingles, sketch, frame, leads) of
-    different frames of which one leads.
-
-    Groups are dealt into packs of about _PACK members, those of the most frequent component apart, and each pack of the others
-    is compared with all packs: a row holds two packs, so work is dealt evenly, however large a group is.
-    """
-    tally = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    groups = tally.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    dealt = members.join(settled(groups.select("key", "top", "all"), "jaccard-groups"), "key").withColumn("of_top", F.col("component") == F.col("top.component"))
-    packs = F.ceil(F.when(F.col("of_top"), F.col("top.n")).otherwise(F.col("all") - F.col("top.n")) / _PACK)
-    member = F.struct("class", "component", "n_shingles", "frame", "leads", "sketch")
-    packed = dealt.groupBy("key", "of_top", F.pmod(F.xxhash64("class"), packs).alias("pack")).agg(F.collect_list(member).alias("members"))
-    packed = settled(packed, "jaccard-packs")
-    first, second = (packed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("of_top", "pack", "members")]) for side in ("a", "b"))
-    meet = ~F.col("of_top_a") & (F.col("of_top_b") | (F.col("pack_a") <= F.col("pack_b")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                yield pairs(x.values, y.values)
-
-    def pairs(first: pa.StructArray, second: pa.StructArray) -> pa.RecordBatch:
-        both = [pa.concat_arrays([first.field(k), second.field(k)]) for k in range(6)]
-        name, component, n, frame, leads = (c.to_numpy(zero_copy_only=False) for c in both[:5])
-        sketch = np.frombuffer(b"".join(both[5].to_pylist()), U).reshape(len(name), SKETCH_BITS // 64)
-        x, y = (i.ravel() for i in np.meshgrid(np.arange(len(first)), np.arange(len(first), len(name)), indexing="ij"))
-        worth = (component[x] != component[y]) & (frame[x] != frame[y]) & (leads[x] | leads[y])
-        x, y = x[worth], y[worth]
-        good = _near(n, sketch, x, y)
-        return pa.RecordBatch.from_arrays([pa.array(name[x[good]]), pa.array(name[y[good]])], ["a", "b"])
-
-    return to_python(first.join(second, "key").where(meet).select("members_a", "members_b"), run, "a long, b long")
-
-
-def _once(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def links_between_classes(docs: DataFrame, rows: DataFrame, exact: bool = False) -> DataFrame:
-    """Links (a, b) of classes of rows (from outline(docs)) that join everything that all links join.
-
-    First each class is compared with one class of each of its blocks' groups, the one whose blocks have the most
-    members in all: the original of many altered copies shares more blocks than any copy. What these links
-    leave in different components is compared wherever it shares a block, as far as sizes and sketches
-    allow: small groups as they stream by, the classes of larger ones by_shingles(). If exact, all classes are compared by_shingles().
-    """
-    classes = rows.where("class is not null").select("class", "n_shingles", "sketch", "keys").dropDuplicates(["class"])
-    ids = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    if exact:
-        sets = settled(_sets(docs, ids), "jaccard-sets")
-        alone = settled(classes.select("class", F.col("class").alias("component"), "n_shingles", "sketch"), "jaccard-classes")
-        return _verified(settled(_once(by_shingles(sets, alone)), "jaccard-more"), sets)
-    blocks = classes.select("class", F.explode("keys").alias("key"))
-    groups = blocks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = settled(blocks.join(groups, "key"), "jaccard-members")
-    met = settled(members.groupBy("class").agg(F.sum("size").alias("met")), "jaccard-met")
-    known = settled(classes.select("class", "n_shingles", "sketch").join(small(met), "class"), "jaccard-classes")
-    hubs = members.join(small(met), "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("hub"))
-    stars = members.join(hubs, "key").select(F.col("class").alias("a"), F.col("hub").alias("b"))
-    tried = settled(_plausible(_once(stars), known), "jaccard-pairs")
-    sets = settled(_sets(docs, ids.join(small(met.select("class")), "class", "left_semi")), "jaccard-sets")
-    links = settled(_verified(tried, sets), "jaccard-links")
-    found = components(links)
-    labelled = members.join(small(found.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = settled(labelled.join(mixed, "key", "left_semi").select("key", "class", "size", "component"), "jaccard-open")
-    described = known.select("class", "n_shingles", "sketch")
-    few = open_.where(F.col("size") <= SMALL_GROUP).join(described, "class")
-    many = settled(open_.where(F.col("size") > SMALL_GROUP).select("class", "component").distinct().join(described, "class"), "jaccard-many")
-    pairs = _within_small(few)
-    if not many.isEmpty():
-        pairs = pairs.unionByName(by_shingles(sets.join(small(many.select("class")), "class", "left_semi"), many))
-    more = _once(pairs).join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(settled(more, "jaccard-more"), sets))
-
-
 def join(docs: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, class and component_id of each row of docs (doc_id, text). If exact, no link is left to the
     chance of blocks, at the cost of a quarter of all shingles being dealt instead of SLOTS blocks.
@@ -381,13 +85,7 @@ def join(docs: DataFrame, exact: bool = False) -> DataFrame:
     ignored. Links between equal sets are not listed, they are one class; so copies, however many, cost one row
     each and are never compared.
     """
-    rows = settled(outline(docs), "jaccard-rows")
-    parts = components(links_between_classes(docs, rows, exact))
-    ids = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = ids.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "component").select(F.col("class").alias("of"), "component_id")
-    return rows.join(labels, F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return setjoin.join(docs, LIKE, block_keys, exact)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -418,8 +116,8 @@ def _without(docs: DataFrame, again: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text"):
-            _, at, sets = sets_of(data, offsets)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_signed(sets), pa.int64(), mask=np.diff(at) == 0)], [*rows.schema.names, "class"])
+            _, at, sets = sets_of(data, offsets, LIKE.words)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sets.view(np.int64), pa.int64(), mask=np.diff(at) == 0)], [*rows.schema.names, "class"])
 
     classed = to_python(whole, run, StructType([*whole.schema.fields, StructField("class", LongType())]))
     copies = again.select(F.col("doc_id").alias("id_again"), F.col("class").alias("class_again"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import captures, clusters, fingerprint, jaccard, language, mixing, neighbours, packing, pii, quality, revisits, secret_scan, spans
+from barloom.llm import captures, clusters, fingerprint, jaccard, language, mixing, neardup, neighbours, packing, pii, quality, revisits, secret_scan, spans
 from barloom.llm.common import fold_of, table
 
 
@@ -119,6 +119,11 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.summary(*clusters.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates by pairs of words that each document is in, and whether it stays."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_jaccard_join": op2_jaccard_join,
@@ -131,5 +136,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_personal_data": op10_personal_data,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_near_duplicates": op12_near_duplicates,
 }
 ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op4_revisits": captures.SQL, "op8_secrets": secret_scan.SQL, "op11_centroid_clusters": clusters.SQL}

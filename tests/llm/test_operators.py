@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from barloom.llm import components, fingerprint, jaccard, language, mixing, neighbours, packing, quality, queries, revisits
+from barloom.llm import components, fingerprint, jaccard, language, mixing, neighbours, packing, quality, queries, revisits, setjoin
 from barloom.llm.common import fold_of
 from pyspark.sql import functions as F
 from tests.llm.reference_rules import shingle_set, words
@@ -86,8 +86,8 @@ def test_exact_components_equal_brute_force(spark, rows):
 @pytest.mark.parametrize(("small", "most"), [(1, 10**6), (2, 10**6), (5, 100), (3, 0)])
 def test_large_groups_need_no_small_ones(spark, monkeypatch, small, most):
     """With most groups counted as large, and many, few or no shingles as heavy, results stay the same."""
-    monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
-    monkeypatch.setattr(jaccard, "MOST_HEAVY", most)
+    monkeypatch.setattr(setjoin, "SMALL_GROUP", small)
+    monkeypatch.setattr(setjoin, "MOST_HEAVY", most)
     monkeypatch.setattr(jaccard, "_PACK", 3)
     rows = near_corpus(5)
     out = jaccard.join(documents(spark, rows)).collect()
@@ -106,7 +106,7 @@ def templated(pairs=120, template=56, seed=3):
 
 def test_templated_near_copies_meet(spark):
     rows = templated()
-    assert len(rows) > jaccard.SMALL_GROUP
+    assert len(rows) > setjoin.SMALL_GROUP
     out = jaccard.join(documents(spark, rows)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(brute_components(rows))
 
