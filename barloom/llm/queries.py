@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import captures, clusters, fingerprint, jaccard, language, mixing, neardup, neighbours, packing, pii, quality, revisits, secret_scan, spans
+from barloom.llm import captures, clusters, conversations, fingerprint, jaccard, language, mixing, neardup, neighbours, packing, pii, quality, revisits, secret_scan, spans
 from barloom.llm.common import fold_of, table
 
 
@@ -124,6 +124,12 @@ def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of each damaged conversation, its cheapest repair and what comes of it."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.summary(conversations.repair(conversations.damaged(rows)), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_jaccard_join": op2_jaccard_join,
@@ -137,5 +143,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_near_duplicates": op12_near_duplicates,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op4_revisits": captures.SQL, "op8_secrets": secret_scan.SQL, "op11_centroid_clusters": clusters.SQL}
