@@ -1,8 +1,8 @@
 """Simulation of signals: positions one bar later, fills at the open, costs, equity, trades, risk rules.
 
-vector() is window functions and aggregates alone. sequential() also applies rules that depend on equity, so
-it streams each combination's bars in order through a step that sees all assets of a bar. equity_under() takes the
-first where no such rule is set.
+vector() is window functions and aggregates alone. Rules that depend on equity are first looked for on that curve (see batch): as
+long as none binds, it is the curve under rules as well. equity_under() goes on from the first bar in which one does, many
+combinations at a time; sequential(), which also tells trades and risk events, then streams the run's bars in order through a step that sees all assets of a bar.
 Signals are rows (combo_id, symbol, ts, bar_idx, open, close, volume, signal) with every symbol in every bar.
 """
 
@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import clipped, day_id, series, week_id
+from barloom.functions.columns import clipped, day_id, series, small, week_id
 from barloom.functions.costs import Commission, FixedCommission, FixedSlippage, PercentCommission, PercentSlippage, Rules, Slippage
+from barloom.operators import batch
 from barloom.operators.scan import fold
 
 CASH = 1_000_000.0
@@ -43,20 +44,20 @@ def positions(signals: DataFrame, slippage: Slippage, commission: Commission, ru
     return rows.withColumns({n: F.when(later, v).otherwise(0.0) for n, v in cash.items()})
 
 
-def equity_of(held: DataFrame, cash: float = CASH, keys: list[str] | None = None) -> DataFrame:
-    """equity, ret and turnover by bar of positions(): cash plus what was gained so far, never below 0.
+def equity_of(held: DataFrame, cash: float = CASH, keys: list[str] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """equity, ret and turnover by bar of positions(): cash plus what was gained so far, never below 0; and `more` aggregates of a bar.
 
     Losses beyond all cash are forgiven once: the lowest point below 0 so far is added back.
     """
-    keys = keys or ["combo_id"]
-    per_bar = held.groupBy(*keys, "bar_idx").agg(F.min("ts").alias("ts"), F.sum(F.col("pnl") - F.col("slippage_cash") - F.col("commission_cash")).alias("gain"), F.sum(F.abs("delta")).alias("turnover"))
+    keys, more = keys or ["combo_id"], more or {}
+    per_bar = held.groupBy(*keys, "bar_idx").agg(F.min("ts").alias("ts"), F.sum(F.col("pnl") - F.col("slippage_cash") - F.col("commission_cash")).alias("gain"), F.sum(F.abs("delta")).alias("turnover"), *[c.alias(n) for n, c in more.items()])
     w = Window.partitionBy(*keys).orderBy("bar_idx")
     path = per_bar.withColumn("path", F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, 0)) + cash)
     lowest = F.coalesce(F.min(F.when(F.col("bar_idx") > 0, F.col("path"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
     out = path.withColumn("equity", F.col("path") - F.least(lowest, F.lit(0.0)))
     before = F.lag("equity").over(w)
     ret = F.when(before.isNotNull(), (F.col("equity") - before) / F.when(before > 1, before).otherwise(1.0)).otherwise(0.0)
-    return out.withColumn("ret", ret).select(*keys, "ts", "bar_idx", "equity", "ret", "turnover")
+    return out.withColumn("ret", ret).select(*keys, "ts", "bar_idx", "equity", "ret", "turnover", *more)
 
 
 def vector(signals: DataFrame, slippage: Slippage, commission: Commission, rules: Rules | None = None, cash: float = CASH, multiplier: float | Column = 1.0) -> DataFrame:
@@ -67,12 +68,29 @@ def vector(signals: DataFrame, slippage: Slippage, commission: Commission, rules
 def equity_under(signals: DataFrame, slippage: Slippage, commission: Commission, rules: Rules | None = None, cash: float = CASH, multiplier: float = 1.0) -> DataFrame:
     """combo_id, ts, bar_idx, equity, ret, turnover of all combinations under all rules: what a single run gives each of them.
 
-    Without rules that depend on equity, and no multiplier by row, this is vector() as long as no combination loses all its
-    cash; rules are applied by sequential(), whose combinations are independent tasks.
+    Combinations in which no rule binds are vector()'s curves, and so are the others up to the first bar where one does, from which they are
+    stepped on together. Whether any binds is found by a job of this call; if none does, no Python worker starts.
     """
     if rules is None or not rules.by_equity:
         return vector(signals, slippage, commission, rules, cash, multiplier)
-    return sequential(signals, slippage, commission, rules, cash, multiplier).select("combo_id", "ts", "bar_idx", "equity", "ret", "turnover")
+    held = _unruled(signals, slippage, commission, rules, multiplier)
+    found, n = batch.fetched(batch.screen(held, rules, cash, multiplier))
+    curve = equity_of(held, cash)
+    if not n:
+        return curve
+    groups = batch.groups_of(n, int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    until = found.select(F.col("combo_id").alias("_combo"), "from")
+    before = curve.join(small(until), F.col("combo_id") == F.col("_combo"), "left").where("`from` is null or bar_idx < `from`").select(*curve.columns)
+    return before.unionByName(batch.stepped(held, found, slippage, commission, rules, multiplier, groups))
+
+
+def _unruled(signals: DataFrame, slippage: Slippage, commission: Commission, rules: Rules, multiplier: float) -> DataFrame:
+    """positions() under the largest position alone, which doesn't depend on equity, and `target`, the position wanted."""
+    w = series(KEYS)
+    rows = signals.withColumn("_wanted", F.coalesce(clipped(F.lag("signal").over(w)), F.lit(0.0)))
+    if rules.max_position > 0:
+        rows = rows.withColumn("signal", clipped(clipped(F.col("signal")), -rules.max_position, rules.max_position))
+    return positions(rows, slippage, commission, rules, multiplier).withColumnRenamed("_wanted", "target")
 
 
 def trades_of(held: DataFrame) -> DataFrame:
@@ -146,7 +164,19 @@ def sequential(signals: DataFrame, slippage: Slippage, commission: Commission, r
     Within a bar: halving or stopping after losses, largest position, add-ons, risk of a trade, margin; then
     fills and profit; then the tests for losses, which bind from the next bar. Days and weeks that
     begin anew lift their stops. A bar of a combination is one row with an array over symbols, by name.
+    Where no rule binds, which a job of this call finds out, all of it comes from windows.
     """
+    if rules is None or not rules.by_equity:
+        return _assembled(positions(signals, slippage, commission, rules, multiplier), cash)
+    if rules.max_position <= 0:
+        held = _unruled(signals, slippage, commission, rules, multiplier)
+        if batch.screen(held, rules, cash, multiplier).isEmpty():
+            return _assembled(held, cash)
+    return _bar_by_bar(signals, slippage, commission, rules, cash, multiplier)
+
+
+def _bar_by_bar(signals: DataFrame, slippage: Slippage, commission: Commission, rules: Rules | None = None, cash: float = CASH, multiplier: float = 1.0) -> DataFrame:
+    """sequential(), whether or not a rule binds."""
     w = series(KEYS)
     rows = signals.withColumn("_target", F.coalesce(clipped(F.lag("signal").over(w)), F.lit(0.0))).withColumn("_before", F.lag("close").over(w))
     asset = F.struct("symbol", "open", "close", "volume", "_target", "_before")
@@ -165,6 +195,21 @@ def sequential(signals: DataFrame, slippage: Slippage, commission: Commission, r
     return fold(bars, ["combo_id"], ["bar_idx"], ["assets", "day", "week"], lambda: None, step, made)
 
 
+_TRADE = "struct<symbol:string,side:string,quantity:double,price:double,cost:double>"
+
+
+def _assembled(held: DataFrame, cash: float) -> DataFrame:
+    """sequential()'s rows of positions() under which no rule binds."""
+    trade = F.struct("symbol", F.when(F.col("delta") >= 0, "BUY").otherwise("SELL").alias("side"), F.abs("delta").alias("quantity"), F.col("fill_price").alias("price"), (F.col("slippage_cash") + F.col("commission_cash")).alias("cost"))
+    filled = F.when((F.abs("delta") >= 1e-12) & F.col("close_before").isNotNull(), trade)
+    more = {
+        "_held": F.sort_array(F.collect_list(F.struct("symbol", "position"))),
+        "trades": F.sort_array(F.collect_list(filled)).cast(f"array<{_TRADE}>"),
+    }
+    out = equity_of(held, cash, more=more)
+    return out.withColumn("positions", F.transform("_held", lambda h: h["position"])).withColumn("events", F.array().cast("array<struct<type:string,detail:string>>")).drop("_held")
+
+
 def _targets(a: _Account, assets: list[dict], rules: Rules | None, multiplier: float) -> tuple[list[float], bool]:
     """Positions that the rules allow, and whether a rule bit."""
     cur, bit = [x["_target"] for x in assets], False
