@@ -227,6 +227,32 @@ def by_shingles(sets: DataFrame, known: DataFrame, like: Likeness) -> DataFrame:
     return found
 
 
+def _counted(sets: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """token and n, how many of sets (class, set) have it: tasks add up before they send, some `most` shingles at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate(held), return_counts=True) if held else (known[:0], often[:0])
+            every, at = np.unique(np.concatenate([known, new]), return_inverse=True)
+            return every, np.bincount(at, np.concatenate([often, n]), minlength=len(every)).astype(np.int64)
+
+        for batch in batches:
+            for own in batch.column(0):
+                held.append(np.frombuffer(own.as_buffer(), np.int64))
+                size += len(held[-1])
+                if size > most:
+                    (known, often), held, size = merged(), [], 0
+                    if len(known) > most:
+                        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(often)], ["token", "n"])
+                        known, often = known[:0], often[:0]
+        known, often = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(often)], ["token", "n"])
+
+    return to_python(sets.select("set"), run, "token long, n long")
+
+
 def _tokens(sets: DataFrame) -> DataFrame:
     """class and token of each shingle of sets (class, set)."""
 
@@ -243,7 +269,7 @@ def _tokens(sets: DataFrame) -> DataFrame:
 def _first_shingles(sets: DataFrame, like: Likeness) -> DataFrame:
     """Of each class of sets (class, set), those shingles that decide, heavy ones (is_heavy) and others in rows of their own, with a hash of all
     its heavy ones, frame, and their number, heavy. All shingles of all sets are counted."""
-    counts = settled(_tokens(sets).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_GROUP), "pairs-heavy")
+    counts = settled(_counted(sets).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SMALL_GROUP), "pairs-heavy")
     if counts.limit(MOST_HEAVY + 1).count() > MOST_HEAVY:
         return _first_by_join(sets, counts, like)
     rows = counts.orderBy("token").collect()
