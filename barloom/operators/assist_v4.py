@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import series
-from barloom.operators.scan import fold
+from barloom.operators.scan import speculative
 from barloom.operators.strategies import ASSIST_AXES, ASSIST_DEFAULTS, KEEP, OF_SET, SWITCH, Assist, Axis, _on, before, registered
 
 #: Which gates a framework turns on, and what a way of managing risk does (fixed values).
@@ -181,4 +181,4 @@ class PsarAssistV4(Assist):
 
         inputs = ["combo_id", "high", "low", "close", "sar", "atr", "ma_fast", "_way", "_ready", "_entry", "_stop"]
         light = rows.select("combo_id", *KEEP, *[c for c in inputs if c not in ("combo_id", *KEEP)])
-        return fold(light, OF_SET, ["bar_idx"], inputs, lambda: None, step, "signal double")
+        return speculative(light, OF_SET, "bar_idx", inputs, lambda: None, step, "signal double")

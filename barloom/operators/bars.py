@@ -11,7 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import SMALL_ROWS, finite_or_null, is_finite, series, small, so_far
+from barloom.functions.columns import SMALL_ROWS, finite_or_null, is_finite, series, small
+from barloom.operators import scan
 
 PRICES = ["open", "high", "low", "close"]
 FIELDS = [*PRICES, "volume"]
@@ -79,38 +80,60 @@ def of_ticks(ticks: DataFrame, symbol: str, ts: str, price: Column, volume: Colu
     ).withColumnRenamed("_bar", "ts")
 
 
-def on_calendar(bars: DataFrame) -> DataFrame:
-    """Every symbol at every time of any symbol, with bar_idx; prices null where a symbol has no bar."""
+def _calendar(bars: DataFrame) -> tuple[DataFrame, bool]:
+    """(every symbol at every time of any symbol, with bar_idx; whether series have more rows than a stretch), after one job that counts as far as plans depend on it."""
     times, symbols = bars.select("ts").distinct(), bars.select("symbol").distinct()
-    few_symbols = symbols.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    counted = symbols.limit(SMALL_ROWS + 1).select(F.lit("symbols").alias("what")).unionByName(times.limit(scan.PART_ROWS + 1).select(F.lit("times").alias("what")))
+    n = dict(counted.groupBy("what").count().collect())
+    few_symbols, long = n.get("symbols", 0) <= SMALL_ROWS, n.get("times", 0) > scan.PART_ROWS
+    if long:
+        times = numbered(times)
     grid = times.crossJoin(F.broadcast(symbols)) if few_symbols else symbols.crossJoin(small(times))  # all of it is asked for
-    return grid.join(bars, ["symbol", "ts"], "left").withColumn("bar_idx", F.row_number().over(series(["symbol"], "ts")) - 1)
+    whole = grid.join(bars, ["symbol", "ts"], "left")
+    return whole if long else whole.withColumn("bar_idx", F.row_number().over(series(["symbol"], "ts")) - 1), long
+
 
+def numbered(times: DataFrame) -> DataFrame:
+    """times (ts, each once) with bar_idx, their place: counted within days, and days on from each other."""
+    dealt = times.withColumn("_day", F.to_date("ts"))
+    days = dealt.groupBy("_day").agg(F.count("*").alias("_n"))
+    before = days.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each day
+    placed = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_day").orderBy("ts")) - 1)
+    return placed.join(before.select("_day", "_before"), "_day").select("ts", (F.col("_before") + F.col("_nth")).cast("int").alias("bar_idx"))
 
-def fill(aligned: DataFrame) -> DataFrame:
+
+def on_calendar(bars: DataFrame) -> DataFrame:
+    """Every symbol at every time of any symbol, with bar_idx; prices null where a symbol has no bar."""
+    return _calendar(bars)[0]
+
+
+def fill(aligned: DataFrame, long: bool = True) -> DataFrame:
     """Prices carried forward; one gap row before a symbol's first bar takes its prices; empty volume: 0."""
-    back = F.lead
-    for c in PRICES:
-        forward = F.last(c, ignorenulls=True).over(so_far(["symbol"]))
-        aligned = aligned.withColumn(f"_{c}", F.coalesce(forward, back(c, 1).over(series(["symbol"]))))
-    return aligned.withColumns({c: F.col(f"_{c}") for c in PRICES} | {"volume": F.coalesce("volume", F.lit(0.0))}).drop(*[f"_{c}" for c in PRICES])
+    wanted = {f"_{c}": ("last", F.col(c)) for c in PRICES} | {f"_next_{c}": ("next", F.col(c)) for c in PRICES}
+    rows = scan.running(aligned, ["symbol"], wanted, long=long)
+    return rows.withColumns({c: F.coalesce(f"_{c}", f"_next_{c}") for c in PRICES} | {"volume": F.coalesce("volume", F.lit(0.0))}).select(*aligned.columns)
 
 
-def repair_start(aligned: DataFrame) -> DataFrame:
+def repair_start(aligned: DataFrame, long: bool = True) -> DataFrame:
     """Rows before a symbol's first row with finite prices become copies of it, volume included; later gaps
     are carried forward, field by field. Symbols without such a row stay as they are (see problems())."""
     whole = is_finite(F.col("open")) & is_finite(F.col("high")) & is_finite(F.col("low")) & is_finite(F.col("close"))
-    entire = Window.partitionBy("symbol").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first(F.when(whole, F.struct("bar_idx", *FIELDS)), ignorenulls=True).over(entire)
-    rows = aligned.withColumn("_first", first)
+    found = F.struct("bar_idx", *FIELDS)
+    if long:
+        first = aligned.where(whole).groupBy("symbol").agg(F.min_by(found, "bar_idx").alias("_first"))
+        rows = aligned.join(first, "symbol", "left")
+    else:
+        entire = Window.partitionBy("symbol").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = aligned.withColumn("_first", F.first(F.when(whole, found), ignorenulls=True).over(entire))
     early = F.col("bar_idx") < F.col("_first.bar_idx")
-    rows = rows.withColumns({c: F.when(early, F.col(f"_first.{c}")).otherwise(finite_or_null(F.col(c))) for c in FIELDS}).drop("_first")
-    return rows.withColumns({c: F.last(c, ignorenulls=True).over(so_far(["symbol"])) for c in FIELDS})
+    rows = rows.withColumns({c: F.when(early, F.col(f"_first.{c}")).otherwise(finite_or_null(F.col(c))) for c in FIELDS}).select(*aligned.columns)
+    return scan.running(rows, ["symbol"], {c: ("last", F.col(c)) for c in FIELDS}, long=long).select(*aligned.columns)
 
 
 def align(bars: DataFrame) -> DataFrame:
-    """Bars of all symbols on their common calendar without gaps."""
-    return repair_start(fill(on_calendar(bars)))
+    """Bars of all symbols on their common calendar without gaps. Series longer than a stretch are filled stretch by stretch (see scan.running)."""
+    grid, long = _calendar(bars)
+    return repair_start(fill(grid, long), long)
 
 
 PROBLEMS = {

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import series, so_far
-from barloom.operators.scan import PART_ROWS, fold, in_parts, linear, reach
+from barloom.operators.scan import in_parts, linear, reach, running, speculative
 
 SYMBOL = ["symbol"]
 
@@ -183,6 +183,19 @@ def drawdown(column: str, keys: list[str], order: str = "bar_idx") -> Column:
     return (F.col(column) - peak) / F.greatest(peak, F.lit(1e-12))
 
 
+def drawdowns(rows: DataFrame, wanted: dict[str, str], keys: list[str] = SYMBOL) -> DataFrame:
+    """rows with, for each name: column, drawdown() of it, of series of any length."""
+    peaks = running(rows, keys, {f"_peak_{n}": ("max", F.col(c)) for n, c in wanted.items()})
+    shares = {n: (F.col(c) - F.col(f"_peak_{n}")) / F.greatest(F.col(f"_peak_{n}"), F.lit(1e-12)) for n, c in wanted.items()}
+    return peaks.withColumns(shares).drop(*[f"_peak_{n}" for n in wanted])
+
+
+def last_values(rows: DataFrame, wanted: dict[str, str], keys: list[str] = SYMBOL) -> DataFrame:
+    """rows with, for each name: column, last_nonzero() of it, of series of any length."""
+    held = running(rows, keys, {n: ("last", F.when(F.col(c) != 0, F.col(c))) for n, c in wanted.items()})
+    return held.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in wanted})
+
+
 def simple_return(column: str = "close", keys: list[str] = SYMBOL) -> Column:
     before = F.lag(column).over(series(keys))
     return F.when(before.isNotNull(), (F.col(column) - before) / F.when(before != 0, before).otherwise(1.0)).otherwise(0.0)
@@ -223,10 +236,14 @@ def parabolic_sars(bars: DataFrame, paces: dict[str, tuple[float, float]], keys:
     """Stop-and-reverse levels for each name, step and largest step of paces, in one pass; 0 for a series of one row.
 
     The level moves towards the extreme of the present direction, never past the last two bars; where price
-    crosses it, the direction turns and the level starts at the extreme.
+    crosses it, the direction turns and the level starts at the extreme. Long series are worked through in stretches (see scan.speculative).
     """
-    w = series(keys)
-    before = {"_next": F.lead("close").over(w), "_l1": F.lag("low", 1).over(w), "_l2": F.lag("low", 2).over(w), "_h1": F.lag("high", 1).over(w), "_h2": F.lag("high", 2).over(w)}
+    before = ["_next", "_l1", "_l2", "_h1", "_h2"]
+
+    def lagged(part: DataFrame, own: list[str]) -> DataFrame:
+        w = series(own)  # the next close counts at a series' first row alone
+        return part.withColumns(dict(zip(before, (F.lead("close").over(w), F.lag("low", 1).over(w), F.lag("low", 2).over(w), F.lag("high", 1).over(w), F.lag("high", 2).over(w)), strict=True)))
+
     steps = list(paces.values())
 
     def move(states, row):
@@ -234,7 +251,7 @@ def parabolic_sars(bars: DataFrame, paces: dict[str, tuple[float, float]], keys:
         return [m[0] for m in moved], tuple(m[1] for m in moved)
 
     added = ", ".join(f"{name} double" for name in paces)
-    return fold(bars.withColumns(before), keys, ["bar_idx"], ["high", "low", "close", *before], lambda: [None] * len(steps), move, added).drop(*before)
+    return speculative(in_parts(bars, 2, lagged, keys), keys, "bar_idx", ["high", "low", "close", *before], lambda: [None] * len(steps), move, added).drop(*before)
 
 
 def parabolic_sar(bars: DataFrame, step: float = 0.02, maximum: float = 0.2, out: str = "sar", keys: list[str] = SYMBOL) -> DataFrame:
@@ -295,7 +312,7 @@ MEMORY: dict[str, Callable[..., int]] = {
 }
 
 
-def added(bars: DataFrame, wanted: list[tuple[str, dict]], keys: list[str] = SYMBOL, rows: int = PART_ROWS) -> DataFrame:
+def added(bars: DataFrame, wanted: list[tuple[str, dict]], keys: list[str] = SYMBOL, rows: int | None = None) -> DataFrame:
     """bars with the outputs of indicators (name, arguments), in order, so that later ones may use earlier ones' columns.
 
     Series are cut into stretches of `rows` rows, each with the rows before it that the indicators depend on: a long

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.indicators import drawdown, simple_return
+from barloom.operators.scan import running, stretch
 
 PERIODS = 252 * 390  # minutes of a year's trading days
 RISK_FREE = 0.02
@@ -31,26 +32,52 @@ def _quotient(top: Column, bottom: Column, least: float = 1e-12) -> Column:
     return F.coalesce(F.when(good, top / F.when(good, bottom)), F.lit(0.0))
 
 
+#: Pairs of moments that summaries hold: the rows and the values whose mean, spread and product with another they tell.
+_MOMENTS = ["ret", "down", "market"]
+
+
+def _summaries(rows: DataFrame, keys: list[str], rf: float) -> DataFrame:
+    """Summaries of stretches of curves (keys, bar_idx, equity, ret, market) that can be merged: a row for each stretch."""
+    part = rows.withColumn("_part", stretch()).withColumn("excess", F.col("ret") - rf)
+    part = part.withColumn("down", F.when(F.col("excess") < 0, F.col("excess"))).withColumn("_dd", drawdown("equity", [*keys, "_part"]))
+    later = F.col("bar_idx") > 0
+    paired = F.when(F.col("market").isNotNull(), F.col("ret"))
+    moments = [x for c in _MOMENTS for x in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"), (F.var_pop(c) * F.count(c)).alias(f"m2_{c}"))]
+    return part.groupBy(*keys, "_part").agg(
+        F.count("*").alias("n"), F.sum("excess").alias("excess"), F.min("_dd").alias("fall"), F.max("equity").alias("high"), F.min("equity").alias("low"),
+        F.min_by("equity", "bar_idx").alias("first"), F.max_by("equity", "bar_idx").alias("last"),
+        F.sum(F.when(later & (F.col("ret") > 0), 1).otherwise(0)).alias("wins"), F.sum(F.when(later & (F.col("ret") != 0), 1).otherwise(0)).alias("moves"),
+        *moments, F.avg(paired).alias("mean_paired"), (F.covar_pop("ret", "market") * F.count("market")).alias("c2"),
+    )
+
+
+def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """One summary of each curve, of the summaries of its stretches. The deepest fall is a stretch's own, or from an earlier one's peak to its lowest."""
+    by_part = Window.partitionBy(*keys).orderBy("_part")
+    peak = F.max("high").over(by_part.rowsBetween(Window.unboundedPreceding, -1))
+    over = Window.partitionBy(*keys)
+    rows = parts.withColumn("_fall", F.least("fall", (F.col("low") - peak) / F.greatest(peak, F.lit(1e-12))))
+    rows = rows.withColumns({f"_{c}": F.sum(F.col(f"n_{c}") * F.col(f"mean_{c}")).over(over) / F.nullif(F.sum(f"n_{c}").over(over), F.lit(0)) for c in _MOMENTS})
+    rows = rows.withColumn("_paired", F.sum(F.col("n_market") * F.col("mean_paired")).over(over) / F.nullif(F.sum("n_market").over(over), F.lit(0)))
+    spread = lambda c: F.sum(F.col(f"m2_{c}") + F.col(f"n_{c}") * F.pow(F.col(f"mean_{c}") - F.col(f"_{c}"), 2))
+    deviation = lambda c: F.when(F.sum(f"n_{c}") > 1, F.sqrt(spread(c) / F.nullif(F.sum(f"n_{c}") - 1, F.lit(0))))
+    together = F.sum(F.col("c2") + F.col("n_market") * (F.col("mean_paired") - F.col("_paired")) * (F.col("mean_market") - F.col("_market")))
+    return rows.groupBy(*keys).agg(
+        F.sum("n").alias("n"), (F.sum("excess") / F.sum("n")).alias("mean"), deviation("ret").alias("spread"), deviation("down").alias("down"), F.sum("n_down").alias("n_down"),
+        F.min("_fall").alias("max_drawdown"), F.min_by("first", "_part").alias("first"), F.max_by("last", "_part").alias("last"), F.sum("wins").alias("wins"), F.sum("moves").alias("moves"),
+        (together / F.nullif(F.sum("n_market"), F.lit(0))).alias("cov"), (spread("market") / F.nullif(F.sum("n_market"), F.lit(0))).alias("var"),
+    )
+
+
 def performance(equity: DataFrame, keys: list[str], periods: float = PERIODS, risk_free: float = RISK_FREE, market: DataFrame | None = None) -> DataFrame:
     """keys and PERFORMANCE of equity (keys, bar_idx, equity, ret); beta is 0 without market (bar_idx, market).
 
     Sharpe and volatility take the sample deviation of all returns; Sortino that of the negative excess ones;
-    win_rate passes over the first bar and returns of 0; beta is by population moments.
+    win_rate passes over the first bar and returns of 0; beta is by population moments. A long curve is summed up in stretches, and their summaries are merged.
     """
-    rows = equity.withColumn("_dd", drawdown("equity", keys))
-    if market is not None:
-        rows = rows.join(market, "bar_idx", "left")
-    else:
-        rows = rows.withColumn("market", F.lit(0.0))
+    rows = equity if market is None else equity.join(market, "bar_idx", "left")
     rf, year = risk_free / periods, math.sqrt(periods)
-    excess = F.col("ret") - rf
-    later = F.col("bar_idx") > 0
-    agg = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(excess).alias("mean"), F.stddev_samp("ret").alias("spread"), F.stddev_samp(F.when(excess < 0, excess)).alias("down"), F.sum(F.when(excess < 0, 1).otherwise(0)).alias("n_down"),
-        F.min("_dd").alias("max_drawdown"), F.min_by("equity", "bar_idx").alias("first"), F.max_by("equity", "bar_idx").alias("last"),
-        F.sum(F.when(later & (F.col("ret") > 0), 1).otherwise(0)).alias("wins"), F.sum(F.when(later & (F.col("ret") != 0), 1).otherwise(0)).alias("moves"),
-        F.covar_pop("ret", "market").alias("cov"), F.var_pop("market").alias("var"),
-    )
+    agg = _merged(_summaries(rows if market is not None else rows.withColumn("market", F.lit(0.0)), keys, rf), keys)
     growth = F.when((F.col("first") > 0) & (F.col("last") > 0), F.col("last") / F.when(F.col("first") > 0, F.col("first")))
     years = F.greatest((F.col("n") - 1) / periods, F.lit(1e-9))
     annual = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce(F.pow(growth, 1 / years) - 1, F.lit(-1.0)))
@@ -69,7 +96,8 @@ def performance(equity: DataFrame, keys: list[str], periods: float = PERIODS, ri
 def risk(equity: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
     """keys, var, cvar (mean of returns at or below var), ulcer_index, downside_deviation."""
     var = equity.groupBy(*keys).agg(F.percentile("ret", F.lit(alpha)).alias("var"))
-    rows = equity.withColumn("_dd", drawdown("equity", keys)).join(var, keys)
+    peak = running(equity, keys, {"_peak": ("max", F.col("equity"))})
+    rows = peak.withColumn("_dd", (F.col("equity") - F.col("_peak")) / F.greatest("_peak", F.lit(1e-12))).join(var, keys)
     return rows.groupBy(*keys).agg(
         F.first("var").alias("var"), F.coalesce(F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))), F.first("var")).alias("cvar"),
         F.sqrt(F.avg(F.pow(F.col("_dd") * 100, 2))).alias("ulcer_index"), F.coalesce(F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))), F.lit(0.0)).alias("downside_deviation"),

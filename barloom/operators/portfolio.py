@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import clipped, day_id, series, small, week_id
 from barloom.functions.costs import Commission, FixedCommission, FixedSlippage, PercentCommission, PercentSlippage, Rules, Slippage
-from barloom.operators import batch
+from barloom.operators import batch, scan
 from barloom.operators.scan import fold
 
 CASH = 1_000_000.0
@@ -26,10 +26,8 @@ def positions(signals: DataFrame, slippage: Slippage, commission: Commission, ru
     The position is the signal of the bar before, clipped; it is entered at the open. Profit counts the
     position before from close to open, and the new one from open to close.
     """
-    w = series(KEYS)
-    held = lambda k: F.coalesce(clipped(F.lag("signal", k).over(w)), F.lit(0.0))
-    rows = signals.withColumn("position", held(1)).withColumn("prev_position", held(2)).withColumn("close_before", F.lag("close").over(w))
-    rows = rows.withColumn("delta", F.col("position") - F.col("prev_position"))
+    dealt = scan.in_parts(signals, 2, lambda rows, own: _lagged(rows, own), KEYS)
+    rows = dealt.withColumn("delta", F.col("position") - F.col("prev_position"))
     price = slippage.price(F.col("open"), F.col("delta"), F.abs("delta"), F.col("volume"))
     if rules and (rules.limit_up or rules.limit_down):
         price = rules.limited(price, F.col("close_before"))
@@ -44,6 +42,14 @@ def positions(signals: DataFrame, slippage: Slippage, commission: Commission, ru
     return rows.withColumns({n: F.when(later, v).otherwise(0.0) for n, v in cash.items()})
 
 
+def _lagged(signals: DataFrame, keys: list[str]) -> DataFrame:
+    """signals with position, prev_position, close_before, and target where they have the signal wanted, _wanted."""
+    w = series(keys)
+    held = lambda c, k: F.coalesce(clipped(F.lag(c, k).over(w)), F.lit(0.0))
+    target = {"target": held("_wanted", 1)} if "_wanted" in signals.columns else {}
+    return signals.withColumns({"position": held("signal", 1), "prev_position": held("signal", 2), "close_before": F.lag("close").over(w), **target})
+
+
 def equity_of(held: DataFrame, cash: float = CASH, keys: list[str] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """equity, ret and turnover by bar of positions(): cash plus what was gained so far, never below 0; and `more` aggregates of a bar.
 
@@ -51,11 +57,23 @@ def equity_of(held: DataFrame, cash: float = CASH, keys: list[str] | None = None
     """
     keys, more = keys or ["combo_id"], more or {}
     per_bar = held.groupBy(*keys, "bar_idx").agg(F.min("ts").alias("ts"), F.sum(F.col("pnl") - F.col("slippage_cash") - F.col("commission_cash")).alias("gain"), F.sum(F.abs("delta")).alias("turnover"), *[c.alias(n) for n, c in more.items()])
-    w = Window.partitionBy(*keys).orderBy("bar_idx")
-    path = per_bar.withColumn("path", F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, 0)) + cash)
-    lowest = F.coalesce(F.min(F.when(F.col("bar_idx") > 0, F.col("path"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
-    out = path.withColumn("equity", F.col("path") - F.least(lowest, F.lit(0.0)))
-    before = F.lag("equity").over(w)
+    # two levels: gains and their lowest sum within stretches, and what stretches bring in
+    part = per_bar.withColumn("_part", scan.stretch()).repartition(*keys, "_part")
+    inside = Window.partitionBy(*keys, "_part").orderBy("bar_idx")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    later = lambda x: F.when(F.col("bar_idx") > 0, x)
+    rows = part.withColumn("_sum", F.sum("gain").over(so_far)).withColumn("_least", F.min(later(F.col("_sum"))).over(so_far))
+    ends = rows.groupBy(*keys, "_part").agg(F.sum("gain").alias("_gain"), F.min(later(F.col("_sum"))).alias("_low"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_in", F.coalesce(F.sum("_gain").over(earlier), F.lit(0.0)) + cash).withColumn("_low_in", F.min(F.col("_in") + F.col("_low")).over(earlier)).withColumn("_follows", F.count("*").over(earlier) > 0)
+    joined = rows.join(ends.select(*keys, "_part", "_in", "_low_in", "_follows"), [*keys, "_part"])
+
+    def level(so_far: Column, least: Column) -> Column:
+        return so_far + F.col("_in") - F.least(F.coalesce("_low_in", F.lit(0.0)), F.coalesce(least + F.col("_in"), F.lit(0.0)), F.lit(0.0))
+
+    last_sum, last_least = (F.lag(c).over(inside) for c in ("_sum", "_least"))
+    out = joined.withColumn("equity", level(F.col("_sum"), F.col("_least"))).withColumn("_before", F.when(last_sum.isNotNull() | F.col("_follows"), level(F.coalesce(last_sum, F.lit(0.0)), last_least)))
+    before = F.col("_before")
     ret = F.when(before.isNotNull(), (F.col("equity") - before) / F.when(before > 1, before).otherwise(1.0)).otherwise(0.0)
     return out.withColumn("ret", ret).select(*keys, "ts", "bar_idx", "equity", "ret", "turnover", *more)
 
@@ -86,11 +104,10 @@ def equity_under(signals: DataFrame, slippage: Slippage, commission: Commission,
 
 def _unruled(signals: DataFrame, slippage: Slippage, commission: Commission, rules: Rules, multiplier: float) -> DataFrame:
     """positions() under the largest position alone, which doesn't depend on equity, and `target`, the position wanted."""
-    w = series(KEYS)
-    rows = signals.withColumn("_wanted", F.coalesce(clipped(F.lag("signal").over(w)), F.lit(0.0)))
+    rows = signals.withColumn("_wanted", F.col("signal"))
     if rules.max_position > 0:
         rows = rows.withColumn("signal", clipped(clipped(F.col("signal")), -rules.max_position, rules.max_position))
-    return positions(rows, slippage, commission, rules, multiplier).withColumnRenamed("_wanted", "target")
+    return positions(rows, slippage, commission, rules, multiplier).drop("_wanted")
 
 
 def trades_of(held: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import columns, costs
 from barloom.operators import bars as bar_ops
 from barloom.operators import indicators as ind
-from barloom.operators import assist_v4, metrics, portfolio, search, stability, strategies, walkforward  # noqa: F401  assist_v4 registers itself
+from barloom.operators import assist_v4, metrics, portfolio, scan, search, stability, strategies, walkforward  # noqa: F401  assist_v4 registers itself
 from barloom.plans import oracles as sql
 from barloom.plans import state_sql
 from barloom.plans.oracles import BAR_ROW, HOURLY, W, over_bars, r, rows, smoothed
@@ -270,7 +270,8 @@ _P = f"lag(close) OVER ({W})"
     )
 )
 def series_functions(spark, sf_dir):
-    found = _all(spark, sf_dir).withColumns({"drawdown": ind.drawdown("close", ["symbol"]), "simple_return": ind.simple_return(), "log_return": ind.log_return(), "shifted": ind.shift("close", 3), "last_volume": ind.last_nonzero("volume")})
+    lagged = lambda rows_, own: rows_.withColumns({"simple_return": ind.simple_return(keys=own), "log_return": ind.log_return(keys=own), "shifted": ind.shift("close", 3, keys=own)})
+    found = ind.drawdowns(ind.last_values(scan.in_parts(_all(spark, sf_dir), 3, lagged, ["symbol"]), {"last_volume": "volume"}), {"drawdown": "close"})
     return _indexed(found, "drawdown", "simple_return", "log_return", "shifted", "last_volume")
 
 
