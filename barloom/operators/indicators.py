@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import series, so_far
-from barloom.operators.scan import in_parts, linear, reach, running, speculative
+from barloom.operators.scan import in_parts, linear, reach, running, sliding_median, speculative
 
 SYMBOL = ["symbol"]
 
@@ -149,16 +149,28 @@ def cci(bars: DataFrame, period: int = 14, out: str = "cci", keys: list[str] = S
     _positive(period=period)
     w = _window(keys, period)
     typical = bars.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    held = typical.withColumn("_mean", F.avg("_tp").over(w)).withColumn("_held", F.collect_list("_tp").over(w))
-    deviation = F.aggregate(F.transform("_held", lambda x: F.abs(x - F.col("_mean"))), F.lit(0.0), lambda a, x: a + x) / period
+    held = typical.withColumn("_mean", F.avg("_tp").over(w))
+    if period <= SORTED:  # earlier values by name: no array is made for a row
+        earlier = [F.lag("_tp", k).over(series(keys)) for k in range(period)]
+        deviation = sum((F.abs(x - F.col("_mean")) for x in reversed(earlier)), F.lit(0.0)) / period
+    else:
+        held = held.withColumn("_held", F.collect_list("_tp").over(w))
+        deviation = F.aggregate(F.transform("_held", lambda x: F.abs(x - F.col("_mean"))), F.lit(0.0), lambda a, x: a + x) / period
     value = (F.col("_tp") - F.col("_mean")) / (0.015 * F.when(deviation > 0, deviation).otherwise(1e-12))
     return held.withColumn(out, _full(keys, period, value)).drop("_tp", "_mean", "_held")
 
 
+#: Rows of a window up to which each frame is sorted anew.
+SORTED = 100
+
+
 def rolling_median(bars: DataFrame, window: int, column: str = "close", out: str = "median", keys: list[str] = SYMBOL) -> DataFrame:
-    """Median of the last `window` values; the value itself for windows of one or less."""
+    """Median of the last `window` values; the value itself for windows of one or less. Windows of more than SORTED rows slide over values kept in order."""
     if window <= 1:
         return bars.withColumn(out, F.col(column))
+    if window > SORTED:
+        held = sliding_median(bars, keys, "bar_idx", column, window, "_slid")
+        return held.withColumn(out, _full(keys, window, F.col("_slid"))).drop("_slid")
     return bars.withColumn(out, _full(keys, window, F.percentile(column, F.lit(0.5)).over(_window(keys, window))))
 
 

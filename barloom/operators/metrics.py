@@ -14,6 +14,9 @@ PERIODS = 252 * 390  # minutes of a year's trading days
 RISK_FREE = 0.02
 #: Bars of a year, by kind of data (fixed values).
 PRESETS = {"minute": 252 * 390, "hour": 252 * 6, "daily": 252, "forex-1m": 358_800}
+RISK = ["var", "cvar", "ulcer_index", "downside_deviation"]
+#: Measures of trades that are numbers and no measure of performance.
+TRADES = ["trade_count", "buy_count", "sell_count", "avg_trade_cost", "avg_trade_size", "profit_factor", "avg_profit", "avg_loss", "max_consecutive_losses", "symbol_count"]
 PERFORMANCE = ["sharpe", "sortino", "max_drawdown", "total_return", "annualized_return", "volatility", "calmar", "win_rate", "beta"]
 
 
@@ -70,12 +73,12 @@ def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def performance(equity: DataFrame, keys: list[str], periods: float = PERIODS, risk_free: float = RISK_FREE, market: DataFrame | None = None) -> DataFrame:
-    """keys and PERFORMANCE of equity (keys, bar_idx, equity, ret); beta is 0 without market (bar_idx, market).
+    """keys and PERFORMANCE of equity (keys, bar_idx, equity, ret); beta is 0 without market (bar_idx, any of keys, market).
 
     Sharpe and volatility take the sample deviation of all returns; Sortino that of the negative excess ones;
     win_rate passes over the first bar and returns of 0; beta is by population moments. A long curve is summed up in stretches, and their summaries are merged.
     """
-    rows = equity if market is None else equity.join(market, "bar_idx", "left")
+    rows = equity if market is None else equity.join(market, [c for c in market.columns if c != "market"], "left")
     rf, year = risk_free / periods, math.sqrt(periods)
     agg = _merged(_summaries(rows if market is not None else rows.withColumn("market", F.lit(0.0)), keys, rf), keys)
     growth = F.when((F.col("first") > 0) & (F.col("last") > 0), F.col("last") / F.when(F.col("first") > 0, F.col("first")))
@@ -95,7 +98,7 @@ def performance(equity: DataFrame, keys: list[str], periods: float = PERIODS, ri
 
 def risk(equity: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
     """keys, var, cvar (mean of returns at or below var), ulcer_index, downside_deviation."""
-    var = equity.groupBy(*keys).agg(F.percentile("ret", F.lit(alpha)).alias("var"))
+    var = percentiles(equity, keys, "ret", [alpha]).select(*keys, F.col("values")[0].alias("var"))
     peak = running(equity, keys, {"_peak": ("max", F.col("equity"))})
     rows = peak.withColumn("_dd", (F.col("equity") - F.col("_peak")) / F.greatest("_peak", F.lit(1e-12))).join(var, keys)
     return rows.groupBy(*keys).agg(
@@ -104,12 +107,44 @@ def risk(equity: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
     )
 
 
-def batch_score(equity: DataFrame, metric: str, periods: float = PERIODS, risk_free: float = RISK_FREE, market: DataFrame | None = None) -> DataFrame:
-    """combo_id, score: one measure of each combination; KeyError if it isn't one of performance() or risk()."""
+#: Ranks of percentile_approx() are off by a share of 1 / ACCURACY at most.
+ACCURACY = 10_000
+
+
+def percentiles(rows: DataFrame, keys: list[str], column: str, shares: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """keys and values, the exact percentiles (between neighbours, in proportion) of column at each of shares; null values are passed over.
+
+    Groups may be of any size: sketches, which merge, tell two values that surely enclose each percentile; what is below is counted, and only what is
+    between is ranked, by distinct values with their counts. No task holds a group.
+    """
+    low, high = ([min(1.0, max(0.0, p + d / accuracy)) for p in shares] for d in (-2, 2))
+    known = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_x"))
+    bounds = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", low, accuracy).alias("_low"), F.percentile_approx("_x", high, accuracy).alias("_high"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    # of small groups, whose neighbouring ranks the margin may not hold, all is ranked
+    every = lambda c, edge: F.when(F.col("_n") <= 4 * accuracy, F.array_repeat(edge, len(shares))).otherwise(F.col(c)).alias(c)
+    bounds = bounds.select(*keys, "_n", every("_low", "_min"), every("_high", "_max"))
+    near = known.join(bounds.select(*keys, "_low", "_high"), keys)
+    below = near.groupBy(*keys).agg(*[F.count(F.when(F.col("_x") < F.col("_low")[k], 1)).alias(f"_b{k}") for k in range(len(shares))])
+    within = F.filter(F.sequence(F.lit(0), F.lit(len(shares) - 1)), lambda k: (F.col("_x") >= F.get("_low", k)) & (F.col("_x") <= F.get("_high", k)))
+    tally = near.select(*keys, "_x", F.explode(within).alias("_k")).groupBy(*keys, "_k", "_x").agg(F.count("*").alias("_c"))
+    place = bounds.join(below, keys).select(*keys, F.posexplode(F.array(*[F.struct(((F.col("_n") - 1) * F.lit(float(p))).alias("at"), F.col(f"_b{k}").alias("below")) for k, p in enumerate(shares)])).alias("_k", "_p"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = tally.withColumn("_upto", upto).join(place, [*keys, "_k"])
+    ranked = ranked.withColumns({"_upto": F.col("_upto") + F.col("_p.below"), "_at": F.col("_p.at")})
+    first, second = (F.min(F.when(F.col("_upto") > f("_at"), F.col("_x"))) for f in (F.floor, F.ceil))
+    share = F.max(F.col("_at") - F.floor("_at"))
+    value = F.when(first == second, first).otherwise((1 - share) * first + share * second)
+    each = ranked.groupBy(*keys, "_k").agg(value.alias("_value"))
+    return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_value"))), lambda v: v["_value"]).alias("values"))
+
+
+def batch_score(equity: DataFrame, metric: str, periods: float = PERIODS, risk_free: float = RISK_FREE, market: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """combo_id (or keys), score: one measure of each combination; KeyError if it isn't one of performance() or risk()."""
+    keys = keys or ["combo_id"]
     if metric in PERFORMANCE:
-        return performance(equity, ["combo_id"], periods, risk_free, market).select("combo_id", F.col(metric).alias("score"))
-    if metric in ("var", "cvar", "ulcer_index", "downside_deviation"):
-        return risk(equity, ["combo_id"]).select("combo_id", F.col(metric).alias("score"))
+        return performance(equity, keys, periods, risk_free, market).select(*keys, F.col(metric).alias("score"))
+    if metric in RISK:
+        return risk(equity, keys).select(*keys, F.col(metric).alias("score"))
     raise KeyError(metric)
 
 

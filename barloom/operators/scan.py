@@ -6,8 +6,10 @@ expresses: sorted partitions stream through a small step function, one row at a
 
 from __future__ import annotations
 
+import bisect
 import math
 import pickle
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -166,6 +168,36 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], st
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def sliding_median(df: DataFrame, keys: list[str], order: str, column: str, window: int, out: str) -> DataFrame:
+    """df with the median of the last `window` rows' values (fewer at first; null values are passed over), null without any.
+
+    A series' rows stream by; the window's values are held in order, so each row costs one search to put its value in and one to take the oldest out.
+    """
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"`{out}` double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, last, held = None, deque(), []
+        for batch in batches:
+            names = batch.schema.names
+            groups = zip(*[batch.column(names.index(k)).to_pylist() for k in keys], strict=True)
+            made = []
+            for group, value in zip(groups, batch.column(names.index(column)).to_pylist(), strict=True):
+                if group != series:
+                    series, last, held = group, deque(), []
+                last.append(value)
+                if value is not None:
+                    bisect.insort(held, value)
+                if len(last) > window:
+                    old = last.popleft()
+                    if old is not None:
+                        held.pop(bisect.bisect_left(held, old))
+                n = len(held)
+                made.append(None if not n else held[n // 2] if n % 2 else 0.5 * held[n // 2 - 1] + 0.5 * held[n // 2])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*names, out])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 #: Rounds after which speculative() leaves a series whose stretches never come to agree to fold().
 ROUNDS = 6
 #: Stretches whose states the driver holds at once, at most.

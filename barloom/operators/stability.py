@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,29 +95,131 @@ def sensitivity(spark: SparkSession, base: dict, score: Callable[[list[dict]], d
     return out.withColumn("largest_change", F.greatest(F.abs(F.col("low_score") - F.col("base_score")), F.abs(F.col("high_score") - F.col("base_score"))))
 
 
+#: Rounds of the permutation; bars of a curve whose returns go to every task, at most (beyond it, rows are dealt); places that are summed up at once.
+_ROUNDS, MOST_RETURNS, BLOCK = 6, 1 << 22, 1 << 16
+
+
+def round_keys(seed: int, order: int) -> list[int]:
+    """The keys of an order of returns: 28 bits each."""
+    return [int(hashlib.md5(f"{seed}:{order}:{k}".encode()).hexdigest()[:7], 16) for k in range(_ROUNDS)]
+
+
+def _half_bits(n: int) -> int:
+    """Half the bits of the smallest even number of bits that tells n places apart."""
+    return max(1, -(-(max(n, 2) - 1).bit_length() // 2))
+
+
+def _crossed(half: np.ndarray, key: int, bits: int) -> np.ndarray:
+    return ((half * 40503 + key) * 33769 // 65536) % (1 << bits)
+
+
+def places(at: np.ndarray, n: int, keys: list[int], back: bool = False) -> np.ndarray:
+    """Where a keyed permutation of 0 to n - 1 puts `at`, or, back, what it puts there: a Feistel network over the smallest square of a power of two that
+    holds n, walked on until it comes to a number below n."""
+    bits = _half_bits(n)
+    mask = (1 << bits) - 1
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> bits, x & mask
+        for key in reversed(keys) if back else keys:
+            if back:
+                left, right = right ^ _crossed(left, key, bits), left
+            else:
+                left, right = right, left ^ _crossed(right, key, bits)
+        return left << bits | right
+
+    out = once(at.astype(np.int64))
+    beyond = np.flatnonzero(out >= n)
+    while len(beyond):
+        out[beyond] = once(out[beyond])
+        beyond = beyond[out[beyond] >= n]
+    return out
+
+
+_SUMMARY = "_block long, _total double, _top double, _low double, _fall double"
+
+
+def _fallen(growth: np.ndarray) -> tuple[float, float, float, float]:
+    """Of the logarithms of a stretch's growth: total, highest and lowest so far, deepest fall from a peak of its own."""
+    path = np.cumsum(growth)
+    return float(path[-1]), float(path.max()), float(path.min()), float(np.expm1((path - np.maximum.accumulate(path)).min()))
+
+
+def _drawn_summaries(returns: DataFrame, keys: list[str], n: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """keys, _order and a summary of each stretch of BLOCK places of each reordering of returns (keys, bar_idx > 0, _growth)."""
+    spark, kinds = returns.sparkSession, dict(returns.dtypes)
+    fields = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    if returns.limit(MOST_RETURNS + 1).count() <= MOST_RETURNS:
+        rows = returns.select(*keys, "bar_idx", "_growth").toPandas()
+        curves = {}
+        for key, own in rows.groupby(keys, sort=False) if len(rows) else []:
+            curves[key] = own.sort_values("bar_idx")["_growth"].to_numpy(np.float64)
+        held = spark.sparkContext.broadcast(list(curves.items()))
+        work = [(c, order, block) for c, (_, g) in enumerate(curves.items()) for order in range(1, permutations + 1) for block in range(-(-len(g) // BLOCK))]
+        tasks = spark.createDataFrame(work, "curve int, _order int, block int").repartition(min(len(work), 4 * spark.sparkContext.defaultParallelism) or 1)
+
+        def summed(batches):
+            for frame in batches:
+                out = []
+                for c, order, block in frame.itertuples(index=False):
+                    key, growth = held.value[c]
+                    at = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(growth)))
+                    out.append((*key, order, block, *_fallen(growth[places(at, len(growth), round_keys(seed, order), back=True)])))
+                yield pd.DataFrame(out, columns=[*keys, "_order", "_block", "_total", "_top", "_low", "_fall"])
+
+        return tasks.mapInPandas(summed, f"{fields}, _order int, {_SUMMARY}")
+
+    def put(batches):
+        for frame in batches:
+            made = []
+            for order in range(1, permutations + 1):
+                own, named = frame.assign(_order=order), round_keys(seed, order)
+                for size, at in own.groupby("_n").groups.items():
+                    own.loc[at, "_place"] = places(own.loc[at, "bar_idx"].to_numpy(np.int64) - 1, int(size), named)
+                made.append(own)
+            for own in made:
+                own["_place"] = own["_place"].astype(np.int64)
+                own["_block"] = own["_place"] // BLOCK
+                yield own[[*keys, "_order", "_block", "_place", "_growth"]]
+
+    dealt = returns.join(n, keys).select(*keys, "bar_idx", "_growth", "_n").mapInPandas(put, f"{fields}, _order int, _block long, _place long, _growth double")
+
+    def of_block(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [(*[frame[k].iloc[0] for k in keys], frame["_order"].iloc[0], frame["_block"].iloc[0], *_fallen(frame.sort_values("_place")["_growth"].to_numpy()))]
+        return pd.DataFrame(out, columns=[*keys, "_order", "_block", "_total", "_top", "_low", "_fall"])
+
+    return dealt.groupBy(*keys, "_order", "_block").applyInPandas(of_block, f"{fields}, _order int, {_SUMMARY}")
+
+
 def permutation_test(equity: DataFrame, keys: list[str], permutations: int = 1000, alpha: float = 0.05, periods: float = 525_600, risk_free: float = 0.0, statistic: str = "sharpe", seed: int = 42) -> DataFrame:
     """keys, the statistic (of metrics.PERFORMANCE), p_value, significant of a test by reordering returns: the share of
     orders, the actual one among them, in which the statistic is as large or larger.
 
-    Measures of max_drawdown and calmar depend on the order; each reordering goes by a hash of seed, its number and the bar, and is a
-    series of its own, compounded from the first equity. The other measures don't depend on order, so
+    Measures of max_drawdown and calmar depend on the order. Each reordering is a keyed permutation (places()): which return stands where follows from
+    arithmetic, so nothing is sorted; stretches of places are summed up in tasks, compounded from the first equity, and only their summaries are shuffled. Curves of up to
+    MOST_RETURNS bars in all are sent to every task, of more their returns are dealt to the stretches. The other measures don't depend on order, so
     every reordering ties with the actual one and p is 1; that is stated rather than drawn from rounding noise.
     """
     actual = metrics.performance(equity, keys, periods, risk_free).select(*keys, statistic)
     if statistic not in ("max_drawdown", "calmar"):
         p = F.lit((permutations + 1.0) / (permutations + 1.0))
         return actual.withColumn("p_value", p).withColumn("significant", p < alpha)
-    first = equity.groupBy(*keys).agg(F.min_by("equity", "bar_idx").alias("_first"))
-    rows = equity.select(*keys, "bar_idx", "ret").join(first, keys).withColumn("_order", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    returns = equity.where("bar_idx > 0").select(*keys, F.col("bar_idx").cast("long").alias("bar_idx"), F.ln(F.greatest(1 + F.col("ret"), F.lit(1e-300))).alias("_growth"))
+    n = equity.groupBy(*keys).agg((F.count("*") - 1).alias("_n"))
+    parts = _drawn_summaries(returns, keys, n, permutations, seed)
     own = [*keys, "_order"]
-    drawn = F.md5(F.concat_ws(":", F.lit(seed), "_order", "bar_idx"))
-    placed = rows.where("bar_idx > 0").withColumn("bar_idx", F.row_number().over(Window.partitionBy(*own).orderBy(drawn)))
-    started = rows.where("bar_idx = 0").withColumn("ret", F.lit(0.0))
-    w = Window.partitionBy(*own).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    grown = F.col("_first") * F.exp(F.sum(F.ln(F.greatest(1 + F.col("ret"), F.lit(1e-300)))).over(w))
-    shuffled = metrics.performance(started.unionByName(placed).withColumn("equity", grown), own, periods, risk_free).select(*own, F.col(statistic).alias("_drawn"))
-    found = shuffled.join(actual, keys).groupBy(*keys).agg(F.first(statistic).alias(statistic), F.count(F.when(F.col("_drawn") >= F.col(statistic), 1)).alias("_n"))
-    p = (F.col("_n") + 1) / (permutations + 1)
+    earlier = Window.partitionBy(*own).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
+    peak = F.greatest(F.coalesce(F.max(F.col("_before") + F.col("_top")).over(earlier), F.lit(0.0)), F.lit(0.0))
+    placed = placed.withColumn("_fall", F.least("_fall", F.exp(F.col("_before") + F.col("_low") - peak) - 1))
+    drawn = placed.groupBy(*own).agg(F.least(F.min("_fall"), F.lit(0.0)).alias("_fall"), F.sum("_total").alias("_total")).join(n, keys)
+    if statistic == "calmar":
+        annual = F.exp(F.col("_total") / F.greatest(F.col("_n") / periods, F.lit(1e-9))) - 1
+        value = F.when(F.col("_fall") < -1e-12, annual / F.abs(F.when(F.col("_fall") < -1e-12, F.col("_fall")))).otherwise(0.0)
+    else:
+        value = F.col("_fall")
+    found = actual.join(drawn.withColumn("_drawn", value).select(*keys, "_drawn"), keys, "left").groupBy(*keys).agg(F.first(statistic).alias(statistic), F.count(F.when(F.col("_drawn") >= F.col(statistic), 1)).alias("_m"), F.count("_drawn").alias("_of"))
+    p = F.when(F.col("_of") == 0, 1.0).otherwise((F.col("_m") + 1) / (permutations + 1))
     return found.select(*keys, statistic, p.alias("p_value"), (p < alpha).alias("significant"))
 
 
@@ -126,7 +231,8 @@ def regimes(rows: DataFrame, k: int = 3, keys: list[str] | None = None, periods:
     """
     keys = keys or ["combo_id"]
     valid = rows.where("atr is not null and not isnan(atr)")
-    cuts = valid.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile("atr", F.array(*[F.lit(j / k) for j in range(1, k)])).alias("_cuts")).where(F.col("_n") >= 10 * k)
+    enough = valid.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= 10 * k)
+    cuts = metrics.percentiles(valid, keys, "atr", [j / k for j in range(1, k)]).withColumnRenamed("values", "_cuts").join(enough, keys)
     classed = valid.join(cuts, keys).withColumn("regime", F.size(F.filter("_cuts", lambda c: c < F.col("atr"))))
     own = [*keys, "regime"]
     placed = classed.withColumn("_dd", drawdown("equity", own)).withColumn("_nth", F.row_number().over(series(own)))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import small
-from barloom.operators import metrics, search
+from barloom.operators import metrics, portfolio, search
 from barloom.operators.bars import part
+from barloom.operators.indicators import simple_return
 from barloom.operators.strategies import Axis, Strategy
 
 
@@ -53,7 +54,13 @@ def grid_by_fold(bars: DataFrame, cut: list[Fold], strategy: Strategy, sets: lis
     parts = F.split("symbol", r"\|", 3)
     series = F.struct("combo_id", parts[0].cast("int").alias("fold"), parts[1].alias("split"))
     named = signals.withColumn("combo_id", series).withColumn("symbol", parts[2])
-    scored = metrics.batch_score(terms.equity(named), metric, terms.periods, terms.risk_free).select("combo_id.*", "score")
+    own = ["combo_id", "fold", "split"]
+    curves = terms.equity(named).select("combo_id.*", *[c for c in ("ts", "bar_idx", "equity", "ret", "turnover")])
+    market = None
+    if metric == "beta":  # returns begin anew in every stretch, too
+        each = pieces.withColumn("_r", simple_return(keys=["fold", "split", "symbol"]))
+        market = each.groupBy("fold", "split", "bar_idx").agg(F.avg("_r").alias("market"))
+    scored = metrics.batch_score(curves, metric, terms.periods, terms.risk_free, market, own)
     wide = scored.groupBy("fold", "combo_id").agg(*[F.max(F.when(F.col("split") == s, F.col("score"))).alias(f"{s}_score") for s in ("is", "oos")])
     order = F.struct(F.col("is_score") if maximize else -F.col("is_score"), -F.col("combo_id"))
     return wide.groupBy("fold").agg(F.max_by(F.struct("combo_id", "is_score", "oos_score"), order).alias("b")).select("fold", "b.*")
@@ -61,11 +68,13 @@ def grid_by_fold(bars: DataFrame, cut: list[Fold], strategy: Strategy, sets: lis
 
 @dataclass
 class Outcome:
-    folds: list[tuple[Fold, dict, dict, dict]]  # the fold, its best set, measures inside and outside
+    folds: list[tuple[Fold, dict, dict, dict]]  # the fold, its best set, measures (of performance, risk and trades) inside and outside
+    settings: dict = field(default_factory=dict)
 
     def means(self, outside: bool = True) -> dict[str, float]:
+        """Of each measure of performance and risk."""
         rows = [f[3 if outside else 2] for f in self.folds]
-        return {k: sum(r[k] for r in rows) / len(rows) for k in metrics.PERFORMANCE} if rows else {}
+        return {k: sum(r[k] for r in rows) / len(rows) for k in (*metrics.PERFORMANCE, *metrics.RISK) if k in rows[0]} if rows else {}
 
     def overfitting(self) -> dict[str, float]:
         """The mean ratio of each measure outside to inside, where the latter isn't 0."""
@@ -78,15 +87,25 @@ class Outcome:
 
 
     def as_dict(self) -> dict:
-        """For JSON: means outside, ratios to inside, and each fold."""
+        """For JSON: the settings, means outside, ratios to inside, and each fold."""
         folds = [{**asdict(f), "params": p, "inside": i, "outside": o} for f, p, i, o in self.folds]
-        return {"type": "walk_forward", "means": self.means(), "overfitting": self.overfitting(), "folds": folds}
+        return {"type": "walk_forward", "settings": self.settings, "means": self.means(), "overfitting": self.overfitting(), "folds": folds}
 
 
 def run(bars: DataFrame, n_bars: int, strategy: Strategy, terms: search.Terms, metric: str = "sharpe", method: str = "bayesian", trials: int = 100, splits: int = 5, share: float = 0.7, expanding: bool = False, maximize: bool = True, seed: int = 42, axes: dict[str, Axis] | None = None) -> Outcome:
-    """Optimises inside each fold by any method and reports the best set inside and outside, under the same terms."""
+    """Optimises inside each fold by any method and reports the best set inside and outside, under the same terms.
+
+    ValueError if splits isn't positive, share isn't between 0 and 1, the method is unknown, or there are too few bars for a fold.
+    """
+    if splits < 1 or not 0 < share < 1:
+        raise ValueError("splits must be positive and share between 0 and 1")
+    if method not in ("grid", "random", "genetic", "bayesian"):
+        raise ValueError(f"unknown method: {method}")
+    cut = folds(n_bars, splits, share, expanding)
+    if not cut:
+        raise ValueError(f"{n_bars} bars are too few for {splits} folds")
     out = []
-    for fold in folds(n_bars, splits, share, expanding):
+    for fold in cut:
         inside, outside = part(bars, fold.is_start, fold.is_end), part(bars, fold.oos_start, fold.oos_end)
         with search.kept(inside) as held:
             score = search.scorer(held, strategy, metric, terms)
@@ -99,9 +118,17 @@ def run(bars: DataFrame, n_bars: int, strategy: Strategy, terms: search.Terms, m
             else:
                 found = search.bayesian(strategy, score, metric, trials, seed, axes, maximize)
             best = found.best[0]
-            own = []
-            for stretch in (held, outside):
-                curve = terms.equity(strategy.signals(stretch, [best]))
-                own.append(metrics.performance(curve, ["combo_id"], terms.periods, terms.risk_free, metrics.market_returns(stretch)).first().asDict())
+            own = [judged(stretch, strategy, best, terms) for stretch in (held, outside)]
         out.append((fold, best, *own))
-    return Outcome(out)
+    settings = {"strategy": strategy.name, "metric": metric, "method": method, "trials": trials, "splits": splits, "share": share, "expanding": expanding, "maximize": maximize, "seed": seed}
+    return Outcome(out, settings)
+
+
+def judged(bars: DataFrame, strategy: Strategy, params: dict, terms: search.Terms) -> dict:
+    """Measures of one set: performance, risk and, where it trades, trades (with the prefix trade_ where performance has the name)."""
+    of = lambda df: {k: v for k, v in row.asDict().items() if k != "combo_id"} if (row := df.first()) is not None else {}
+    with search.kept(terms.simulated(strategy.signals(bars, [params]))) as curve:
+        equity = curve.select("combo_id", "ts", "bar_idx", "equity", "ret", "turnover")
+        found = of(metrics.performance(equity, ["combo_id"], terms.periods, terms.risk_free, metrics.market_returns(bars))) | of(metrics.risk(equity, ["combo_id"]))
+        trades = of(metrics.trade_metrics(portfolio.trade_log(curve), ["combo_id"], ["bar_idx"]))
+    return found | {f"trade_{k}" if k in found else k: v for k, v in trades.items()}

@@ -621,13 +621,26 @@ def permutation_test(spark, sf_dir):
     return stability.permutation_test(equity, ["combo_id"], periods=HOURS).drop("combo_id")
 
 
-_SHUFFLED = f"""drawn AS (SELECT i, bar_idx, ret FROM curve CROSS JOIN range(1, 201) p(i)),
-placed AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY md5('42:' || i || ':' || bar_idx)) AS bar_idx, ret FROM drawn WHERE bar_idx > 0 UNION ALL SELECT i, 0, 0.0 FROM drawn WHERE bar_idx = 0),
-grown AS (SELECT i, bar_idx, exp(sum(ln(1 + ret)) OVER (PARTITION BY i ORDER BY bar_idx)) AS level FROM placed),
-depths AS (SELECT i, min((level - peak) / peak) AS depth FROM (SELECT *, max(level) OVER (PARTITION BY i ORDER BY bar_idx) AS peak FROM grown) GROUP BY i)"""
-
-
-@query(over_bars(f"SELECT {r('max_drawdown', 'max_drawdown')}, {r('((SELECT count(*) FROM depths d WHERE d.depth >= s.max_drawdown) + 1)::DOUBLE / 201', 'p_value')}, ((SELECT count(*) FROM depths d WHERE d.depth >= s.max_drawdown) + 1)::DOUBLE / 201 < 0.05 AS significant FROM scored s", *CURVE, sql.MARKET, sql.performance("", periods=HOURS, rf=0.0), _SHUFFLED))
+def _walked(x: str) -> str:
+    """One pass of the keyed permutation over x, of halves of `bits` bits."""
+    left, right = f"({x} // w)", f"({x} % w)"
+    for k in range(6):
+        left, right = right, f"xor({left}, (({right} * 40503 + k{k}) * 33769 // 65536) % w)"
+    return f"({left} * w + {right})"
+
+
+# which return stands where, pass by pass, until the place is one of the curve's; then as measured
+_DRAWN = [
+    "sized AS MATERIALIZED (SELECT max(bar_idx) AS n, (1 << greatest(1, ceil(ceil(log2(greatest(max(bar_idx), 2))) / 2)::INTEGER))::BIGINT AS w FROM curve)",
+    "named AS MATERIALIZED (SELECT i, " + ", ".join(f"('0x' || substr(md5('42:' || i || ':{k}'), 1, 7))::BIGINT AS k{k}" for k in range(6)) + " FROM range(1, 201) p(i))",
+    "walked(i, bar_idx, x) AS (SELECT i, c.bar_idx, " + _walked("(c.bar_idx - 1)") + " FROM curve c, named, sized WHERE c.bar_idx > 0 UNION ALL SELECT i, bar_idx, " + _walked("x") + " FROM walked JOIN named USING (i), sized WHERE x >= n)",
+    "grown AS (SELECT i, x + 1 AS place, ln(greatest(1 + ret, 1e-300::DOUBLE)) AS growth FROM walked JOIN curve USING (bar_idx), sized WHERE x < n UNION ALL SELECT i, 0, 0.0::DOUBLE FROM named)",
+    "levels AS (SELECT i, place, exp(sum(growth) OVER (PARTITION BY i ORDER BY place)) AS level FROM grown)",
+    "depths AS (SELECT i, min(level / peak - 1) AS depth FROM (SELECT *, max(level) OVER (PARTITION BY i ORDER BY place) AS peak FROM levels) GROUP BY i)",
+]
+
+
+@query(over_bars(f"SELECT {r('max_drawdown', 'max_drawdown')}, {r('((SELECT count(*) FROM depths d WHERE d.depth >= s.max_drawdown) + 1)::DOUBLE / 201', 'p_value')}, ((SELECT count(*) FROM depths d WHERE d.depth >= s.max_drawdown) + 1)::DOUBLE / 201 < 0.05 AS significant FROM scored s", *CURVE, sql.MARKET, sql.performance("", periods=HOURS, rf=0.0), *_DRAWN, recursive=True))
 def permutation_drawdown(spark, sf_dir):
     """How many of 200 orders of the returns sink as little as the actual one."""
     equity = portfolio.vector(_sma_signals(spark, sf_dir), SLIPPAGE, COMMISSION)

@@ -41,7 +41,7 @@ def test_walk_forward_by_every_method(spark):
     terms = backtest.terms_of(TIGHT)
     for method in ("grid", "random"):
         out = walkforward.run(bars, 80, strategy("sma_cross"), terms, method=method, trials=3, splits=2, axes=AXES)
-        assert [f[0] for f in out.folds] == walkforward.folds(80, 2) and set(out.means()) == set(metrics.PERFORMANCE)
+        assert [f[0] for f in out.folds] == walkforward.folds(80, 2) and set(out.means()) == {*metrics.PERFORMANCE, *metrics.RISK}
         assert out.as_dict()["folds"][0]["params"] == out.folds[0][1]
         for k, ratio in out.overfitting().items():
             inside = [f[2][k] for f in out.folds]
