@@ -23,6 +23,7 @@ class Report:
     simulated: DataFrame
     bars: DataFrame
     config: Config
+    signals: DataFrame | None = None
 
     @property
     def equity(self) -> DataFrame:
@@ -69,7 +70,7 @@ def backtest(bars: DataFrame, name: str, params: dict | None = None, config: Con
     chosen = _begun(name, config)
     full = chosen.defaults | (params or {})
     signals = chosen.signals(bars, [full])
-    return Report(name, full, _simulated(signals, config), bars, config)
+    return Report(name, full, _simulated(signals, config), bars, config, signals)
 
 
 def backtest_many(bars: DataFrame, parts: list[tuple[str, dict, float]], config: Config | None = None) -> Report:
@@ -77,7 +78,7 @@ def backtest_many(bars: DataFrame, parts: list[tuple[str, dict, float]], config:
     config = config or Config()
     begun = [(_begun(n, config), p, w) for n, p, w in parts]
     signals = combined([(s.signals(bars, [s.defaults | p]), w) for s, p, w in begun])
-    return Report("+".join(n for n, _, _ in parts), {n: p for n, p, _ in parts}, _simulated(signals, config), bars, config)
+    return Report("+".join(n for n, _, _ in parts), {n: p for n, p, _ in parts}, _simulated(signals, config), bars, config, signals)
 
 
 def _simulated(signals: DataFrame, c: Config) -> DataFrame:

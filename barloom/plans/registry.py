@@ -12,7 +12,7 @@ from barloom.operators import bars as bar_ops
 from barloom.operators import indicators as ind
 from barloom.operators import assist_v4, metrics, portfolio, scan, search, stability, strategies, walkforward  # noqa: F401  assist_v4 registers itself
 from barloom.plans import oracles as sql
-from barloom.plans import state_sql
+from barloom.plans import sql_functions, state_sql
 from barloom.plans.oracles import BAR_ROW, HOURLY, W, over_bars, r, rows, smoothed
 from barloom.plans.state_sql import ADX, RSI
 from barloom.sources import tables
@@ -359,6 +359,29 @@ def signal_rsi_mean_reversion(spark, sf_dir):
     return _indexed(strategies.strategy("rsi_mean_reversion").signals(_all(spark, sf_dir), [{"window": 14, "lower": 40.0, "upper": 60.0}]), "signal")
 
 
+def _from_sql(spark: SparkSession, sf_dir: str, call: str) -> DataFrame:
+    """Rows of a table function over the aligned bars."""
+    sql_functions.register(spark)
+    _all(spark, sf_dir).createOrReplaceTempView("aligned_bars")
+    return spark.sql(f"SELECT * FROM {call.replace('BARS', 'TABLE(aligned_bars) PARTITION BY symbol ORDER BY (bar_idx)')}")
+
+
+@query(over_bars("SELECT symbol, bar_idx, signal FROM signals", sql.SMA_SIGNAL))
+def sql_sma_cross(spark, sf_dir):
+    """The crossover as a table function of Spark SQL."""
+    return _from_sql(spark, sf_dir, "sma_cross(BARS, 10, 30)")
+
+
+@query(ORACLES["macd"])
+def sql_macd(spark, sf_dir):
+    return _from_sql(spark, sf_dir, "macd(BARS, 12, 26, 9)")
+
+
+@query(ORACLES["rsi"])
+def sql_rsi(spark, sf_dir):
+    return _from_sql(spark, sf_dir, "rsi(BARS, 14)")
+
+
 @query(over_bars(f"SELECT symbol, bar_idx, {r('greatest(-1, least(1, (s.signal * 2 + t.signal) / 3))', 'signal')} FROM signals s JOIN turns t USING (symbol, bar_idx)", sql.SMA_SIGNAL, *RSI, RSI_SIGNAL.replace("signals AS", "turns AS"), recursive=True))
 def signal_combined(spark, sf_dir):
     bars = _all(spark, sf_dir)

@@ -6,6 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +49,41 @@ def live_ema(bars: DataFrame, span: int) -> DataFrame:
     return rows.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, close double, ema double", "value double, last long", "append", "NoTimeout")
 
 
+def settled_ema(bars: DataFrame, span: int, late: str) -> DataFrame:
+    """symbol, ts, close, ema of a stream of bars that come in any order, as long as none is later than `late`: what the batch gives.
+
+    Bars wait in the state of their symbol until the watermark says that no earlier one can come, and then join the average in order of time; a
+    timer wakes symbols without new bars. Of bars with one time the last to come counts. Later bars than `late` are left out. The state of a symbol is its last average and
+    the bars of the last `late`.
+    """
+    weight = 2 / (span + 1)
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        value, last, times, closes = state.get if state.exists else (None, None, [], [])
+        waiting = dict(zip(times, closes, strict=True))
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting |= zip((frame["ts"].astype("datetime64[us]").astype("int64")).tolist(), frame["close"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs() * 1000
+        out = []
+        for at in sorted(t for t in waiting if t <= mark):
+            close = waiting.pop(at)
+            if last is not None and at <= last:
+                continue
+            value, last = close if value is None else value + weight * (close - value), at
+            out.append((key[0], pd.Timestamp(at, unit="us"), close, value))
+        times = sorted(waiting)
+        state.update((None if value is None else float(value), last, times, [float(waiting[t]) for t in times]))
+        if times:
+            state.setTimeoutTimestamp(max(times[0] // 1000 + 1, mark // 1000 + 1))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "ema"]).astype({"ts": "datetime64[us]"})
+
+    rows = bars.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close").withWatermark("ts", late)
+    return rows.groupBy("symbol").applyInPandasWithState(update, "symbol string, ts timestamp, close double, ema double", "value double, last long, times array<long>, closes array<double>", "append", "EventTimeTimeout")
+
+
 class LiveGateway(ABC):
-    """What a broker must offer; orders of a stream reach it through foreachBatch, each with an order_id by which the
-    broker tells one that comes again."""
+    """What a broker must offer. Each order has an order_id, by which the broker tells whether it has it."""
 
     @abstractmethod
     def connect(self) -> None: ...
@@ -65,19 +98,38 @@ class LiveGateway(ABC):
     def cancel(self, order_id: str) -> bool: ...
 
     @abstractmethod
-    def fill_of(self, order_id: str) -> dict | None: ...
+    def fill_of(self, order_id: str) -> dict | None:
+        """What is known of an order; None of one that never came."""
 
 
 def send_orders(orders: DataFrame, gateway: LiveGateway, checkpoint: str):
-    """Starts a stream that submits each batch of orders, in order of time.
+    """Starts a stream that submits each batch of orders, in order of time, each order once.
 
-    A batch that failed comes again with the same number, so an order may be submitted twice, with the same order_id: its batch
-    and its place in it (by time, then a hash of the order).
+    An order's id is its batch and its place in it (by time, then a hash of the order). Before a batch is submitted its number is written to a ledger
+    beside the checkpoint, and after it again. A batch that failed, or whose query was killed, comes again with the same number: the ledger shows whether it was begun,
+    and if so the gateway is asked for each order before it is submitted; one that was finished isn't submitted again at all.
     """
+    spark, ledger = orders.sparkSession, f"{checkpoint}/orders-ledger"
+
+    def written(number: int) -> set[str]:
+        try:
+            return {r.what for r in spark.read.schema("batch long, what string").parquet(ledger).where(F.col("batch") == number).collect()}
+        except AnalysisException:  # nothing has been written yet
+            return set()
+
+    def note(number: int, what: str) -> None:
+        spark.createDataFrame([(number, what)], "batch long, what string").coalesce(1).write.mode("append").parquet(ledger)
 
     def submit(batch: DataFrame, number: int) -> None:
+        earlier = written(number)
+        if "done" in earlier:
+            return
+        note(number, "begun")
         placed = batch.orderBy("ts", F.xxhash64(*batch.columns)).toLocalIterator()
         for k, order in enumerate(placed):
-            gateway.submit({**order.asDict(), "order_id": f"{number}-{k}"})
+            order_id = f"{number}-{k}"
+            if not earlier or gateway.fill_of(order_id) is None:
+                gateway.submit({**order.asDict(), "order_id": order_id})
+        note(number, "done")
 
     return orders.writeStream.foreachBatch(submit).option("checkpointLocation", checkpoint).start()

@@ -1,5 +1,8 @@
 """Live bars and averages, and orders that reach a gateway."""
 
+import random
+
+import pytest
 from barloom.operators import indicators
 from barloom.sources import tables
 from barloom.streaming import bars as live
@@ -59,3 +62,64 @@ def test_orders_reach_the_gateway_once(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     assert sent == [1, 2]
+
+
+def test_late_bars_join_in_order(spark, tmp_path):
+    """A stream shuffled within the lateness gives what the batch gives."""
+    draw = random.Random(2)
+    rows = [(s, 1_770_000_000 + 3600 * k, draw.uniform(1, 9)) for s in ("A", "B") for k in range(60)]
+    closes = {(s, at): c for s, at, c in rows}
+    mixed = sorted(rows, key=lambda r: r[1] + draw.uniform(0, 6 * 3600))
+    mixed += [("A", 1_770_000_000 + 3600 * 500, 1.0)]  # lets the watermark pass all others
+    folder, schema = str(tmp_path / "in"), "symbol string, ts timestamp, close double"
+    for k in range(0, len(mixed), 30):
+        spark.createDataFrame(mixed[k : k + 30], "symbol string, at long, close double").select("symbol", F.timestamp_seconds("at").alias("ts"), "close").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = live.settled_ema(stream, 12, "12 hours").writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    found = {(r["symbol"], int(r["ts"].timestamp())): (r["close"], r["ema"]) for r in spark.table("settled").collect()}
+    for s in ("A", "B"):
+        value = None
+        for at in sorted(t for x, t in closes if x == s):
+            value = closes[s, at] if value is None else value + 2 / 13 * (closes[s, at] - value)
+            assert found[s, at] == (closes[s, at], pytest.approx(value))
+    assert len(found) == 120
+
+
+class Broker(live.LiveGateway):
+    """Keeps orders, and may be killed after some."""
+
+    def __init__(self):
+        self.orders, self.kill_after = {}, None
+
+    def connect(self): ...
+
+    def disconnect(self): ...
+
+    def submit(self, order):
+        assert order["order_id"] not in self.orders
+        self.orders[order["order_id"]] = order["id"]
+        if len(self.orders) == self.kill_after:
+            raise RuntimeError("killed")
+        return order["order_id"]
+
+    def cancel(self, order_id):
+        return True
+
+    def fill_of(self, order_id):
+        return self.orders.get(order_id)
+
+
+@pytest.mark.parametrize("kill_after", [1, 2, 3])
+def test_a_killed_batch_submits_each_order_once(spark, tmp_path, kill_after):
+    folder, broker = str(tmp_path / "orders"), Broker()
+    spark.createDataFrame([(k, f"2026-01-0{k}") for k in (1, 2, 3)], "id int, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(folder)
+    broker.kill_after = kill_after
+    for _ in range(3):  # killed after a submission, before the batch is committed; then again, then nothing new
+        query = live.send_orders(spark.readStream.schema("id int, ts timestamp").parquet(folder), broker, str(tmp_path / "check"))
+        try:
+            query.processAllAvailable()
+        except Exception:
+            broker.kill_after = None
+        query.stop()
+    assert sorted(broker.orders.values()) == [1, 2, 3]
