@@ -233,10 +233,10 @@ class Assist(Strategy):
 
         halo = max(sum(indicators.MEMORY[step](**arguments) for step, arguments in steps) for steps, _ in names.values())
         rows = indicators.parabolic_sars(in_parts(bars, halo, work, ["symbol"]), {name: pace for pace, name in paces.items()})
-        sets = []
+        sets, every = [], sorted({c for own in chosen for c in own})  # a set has null where only others need a column
         for k, (p, own) in enumerate(zip(given, chosen, strict=True)):
             numbers = {n: F.lit(float(v)) for n, v in p.items() if not isinstance(v, str)} | {"warm": F.lit(float(self.warm_up(p)))}
-            sets.append(F.struct(F.lit(k).cast("long").alias("combo_id"), F.struct(*[v.alias(n) for n, v in sorted(numbers.items())]).alias("p"), F.struct(*[F.col(name).alias(c) for c, name in sorted(own.items())]).alias("own")))
+            sets.append(F.struct(F.lit(k).cast("long").alias("combo_id"), F.struct(*[v.alias(n) for n, v in sorted(numbers.items())]).alias("p"), F.struct(*[(F.col(own[c]) if c in own else F.lit(None)).cast("double").alias(c) for c in every]).alias("own")))
         each = rows.select(*KEEP, F.explode(F.array(*sets)).alias("_set"))
         return each.select("_set.combo_id", *KEEP, F.col("_set.p").alias("_p"), "_set.own.*")
 

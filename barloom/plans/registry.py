@@ -401,6 +401,16 @@ def signal_psar_v4(spark, sf_dir):
     return _indexed(strategies.strategy("psar_trade_assist_v4").signals(_all(spark, sf_dir), [params]), "signal")
 
 
+CONFIRMED = [{"atr_ratio_window": 30, "enable_atr_sl": 1, "enable_trailing_atr": 1, "vol_ma_mult": 1.1, "cci_threshold": 80.0, switch: 1} for switch in ("enable_macd", "enable_vol_filter", "enable_session", "enable_momentum")]
+
+
+@query(over_bars(f"SELECT combo_id, symbol, bar_idx, {r('size', 'signal')} FROM trade", *state_sql.SEEN, *state_sql.V4_GATES, recursive=True))
+def signal_psar_v4_confirmed(spark, sf_dir):
+    """Each confirmation of the fourth assistant in a set of its own, stops trailing by ATR."""
+    out = strategies.strategy("psar_trade_assist_v4").signals(_all(spark, sf_dir), CONFIRMED)
+    return out.select("combo_id", "symbol", F.col("bar_idx").cast("int").alias("bar_idx"), "signal")
+
+
 @query(over_bars(f"SELECT symbol, bar_idx, position, {r('fill_price', 'fill_price')}, {r('slippage_cash', 'slippage_cash')}, {r('commission_cash', 'commission_cash')}, {r('pnl', 'pnl')} FROM held", sql.SMA_SIGNAL, sql.held()))
 def positions(spark, sf_dir):
     return _indexed(portfolio.positions(_sma_signals(spark, sf_dir), SLIPPAGE, COMMISSION), "position", "fill_price", "slippage_cash", "commission_cash", "pnl")

@@ -122,3 +122,27 @@ V4 = [
     FROM trade s JOIN stops n ON n.symbol = s.symbol AND n.bar_idx = s.bar_idx + 1)))))))))
 )""",
 ]
+
+#: The fourth assistant's confirmations, one a set (MACD, volume, session, momentum), under first stops and trailing by ATR.
+V4_GATES = [
+    "paced AS (SELECT *, CASE WHEN ratio < 0.7 THEN sar_low WHEN ratio > 1.5 THEN sar_high ELSE sar_mid END AS sar FROM seen)",
+    smoothed("quick", "bars", "close", "2.0::DOUBLE / 13"), smoothed("calm", "bars", "close", "2.0::DOUBLE / 27"), "line AS MATERIALIZED (SELECT symbol, bar_idx, quick.v - calm.v AS macd FROM quick JOIN calm USING (symbol, bar_idx))", smoothed("sign_line", "line", "macd", "2.0::DOUBLE / 10"),
+    f"typical AS (SELECT *, (high + low + close) / 3 AS tp FROM paced), lists AS (SELECT *, avg(tp) OVER {rows(14)} AS tp_mean, list(tp) OVER {rows(14)} AS tps, avg(volume) OVER {rows(20)} AS vol_ma, max(high) OVER {rows(20)} AS upper, min(low) OVER {rows(20)} AS lower FROM typical)",
+    "spread AS (SELECT *, list_sum(list_transform(tps, lambda x: abs(x - tp_mean))) / 14 AS dev FROM lists)",
+    "told AS (SELECT spread.*, macd - v AS hist, (tp - tp_mean) / (0.015 * CASE WHEN dev > 0 THEN dev ELSE 1e-12 END) AS cci FROM spread JOIN line USING (symbol, bar_idx) JOIN sign_line USING (symbol, bar_idx))",
+    f"""looks AS (SELECT *, {_lag("close")} AS c1, {_lag("close", 2)} AS c2, {_lag("sar")} AS sar1, {_lag("sar", 2)} AS sar2, {_lag("hist")} AS hist1, {_lag("hist", 2)} AS hist2, {_lag("volume")} AS vol1, {_lag("vol_ma")} AS vol_ma1, {_lag("upper", 2)} AS upper2, {_lag("lower", 2)} AS lower2, {_lag("cci")} AS cci1,
+  CASE WHEN {_lag("atr")} > 0 THEN {_lag("atr")} ELSE 1 END AS unit, bar_idx >= 60 AND count(*) OVER (PARTITION BY symbol) >= 60 AS ready FROM told)""",
+    """gated AS (SELECT *, CASE combo_id WHEN 0 THEN hist1 > 0 AND hist1 > hist2 WHEN 1 THEN NOT (vol_ma1 > 0 AND vol1 <= vol_ma1 * 1.1) WHEN 2 THEN NOT (hour(ts) >= 0 AND hour(ts) < 8) ELSE (upper2 > 0 AND c1 > upper2) OR cci1 > 80 END AS long_ok,
+  CASE combo_id WHEN 0 THEN hist1 < 0 AND hist1 < hist2 WHEN 1 THEN NOT (vol_ma1 > 0 AND vol1 <= vol_ma1 * 1.1) WHEN 2 THEN NOT (hour(ts) >= 0 AND hour(ts) < 8) ELSE (lower2 > 0 AND c1 < lower2) OR cci1 < -80 END AS short_ok FROM looks CROSS JOIN range(4) k(combo_id))""",
+    "ways AS MATERIALIZED (SELECT *, CASE WHEN NOT ready THEN 0 WHEN sar2 >= c2 AND sar1 < c1 THEN CASE WHEN long_ok THEN 1 ELSE 0 END WHEN sar2 <= c2 AND sar1 > c1 AND short_ok THEN -1 ELSE 0 END AS way FROM gated)",
+    """trade AS MATERIALIZED (
+  SELECT combo_id, symbol, bar_idx, 0.0::DOUBLE AS size, 0.0::DOUBLE AS stop, 0.0::DOUBLE AS best FROM ways WHERE bar_idx = 0
+  UNION ALL
+  SELECT combo_id, symbol, bar_idx, CASE WHEN enters THEN way WHEN ended OR w = 0 THEN 0 ELSE size END::DOUBLE, CASE WHEN enters THEN c1 - way * unit * 1.5 ELSE stop END::DOUBLE, CASE WHEN enters THEN CASE WHEN way > 0 THEN high ELSE low END ELSE best END::DOUBLE
+  FROM (SELECT *, ready AND NOT ended AND way <> 0 AND w <> way AS enters
+  FROM (SELECT * EXCLUDE (stop), CASE WHEN w <> 0 AND NOT ended AND atr > 0 AND (stop = 0 OR w * (best - w * 2 * atr - stop) > 0) THEN best - w * 2 * atr ELSE stop END AS stop
+  FROM (SELECT * EXCLUDE (best), w <> 0 AND stop <> 0 AND w * (CASE WHEN w > 0 THEN low ELSE high END - stop) <= 0 AS ended, CASE WHEN w > 0 THEN greatest(best, high) WHEN w < 0 THEN least(best, low) ELSE best END AS best
+  FROM (SELECT n.combo_id, n.symbol, n.bar_idx, n.high, n.low, n.atr, n.way, n.c1, n.unit, n.ready, s.size, s.stop, s.best, CASE WHEN n.ready THEN sign(s.size) ELSE 0 END AS w
+    FROM trade s JOIN ways n ON n.combo_id = s.combo_id AND n.symbol = s.symbol AND n.bar_idx = s.bar_idx + 1))))
+)""",
+]
