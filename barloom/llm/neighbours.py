@@ -20,6 +20,8 @@ SHARD_ROWS = 4096
 LEAF_ROWS = 128
 #: Vectors, at most, drawn by a hash of their ids: pivots of cells, and a first bound on the distance of each query's k-th neighbour.
 SAMPLE_ROWS = 2048
+#: Shards up to which every query is searched in all of them at once.
+FEW_SHARDS = 4
 _SLACK = 1e-7  # distances are compared as if they were exact to so much: chord() rounds by 1.5e-8 near zero
 
 
@@ -164,7 +166,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 0.9,
 
     Returns query_id, rank, vec_id, score (cosine in double precision), nearest first, ties to the smaller
     vec_id; all candidates if fewer than k. Null ids and vectors that are null, empty, zero or hold null or
-    non-finite values take no part. A row's own vec_id is no candidate for it; repeated rows count once; vectors of
+    non-finite values take no part. A row's own vec_id is no candidate for it; repeated rows count once, and of different vectors with one vec_id the nearest; vectors of
     other lengths than the query's aren't compared. Vectors that differ in length alone tie as far as double precision
     makes their cosines equal, and all that come within rounding are compared. No rows: none. Other columns are ignored.
     """
@@ -240,11 +242,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 0.9,
     def searched(asked: DataFrame) -> DataFrame:
         """What the shards hold for rows of asked (shard, vec_id, embedding, bound)."""
         both = held.unionByName(asked.withColumn("part", F.lit(1))).repartitionById(shards, F.col("shard")).sortWithinPartitions("part")
-        return to_python(both, run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+        return to_python(both, run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     asking = located.where("is_query")
+    if shards <= FEW_SHARDS:  # one search of all costs less than one at home, and another elsewhere
+        every = searched(asking.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "embedding", "bound"))
+        return every.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     at_home = settled(searched(asking.select(F.explode(F.sequence("first", "last")).alias("shard"), "vec_id", "embedding", "bound")), "neighbours-home")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     reached = at_home.withColumn("rank", nth).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("reached"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +272,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, factor: float = 0.9,
 
     bounded = asking.join(reached.dropDuplicates(["vec_id"]), "vec_id", "left").select("vec_id", "embedding", "cell", F.least("bound", F.coalesce("reached", F.lit(float("inf")))).alias("bound"))
     routed = to_python(bounded, route, "vec_id long, embedding array<double>, bound double, shards array<int>")
-    elsewhere = searched(routed.select(F.explode("shards").alias("shard"), "vec_id", "embedding", "bound"))
-    found = at_home.unionByName(elsewhere).dropDuplicates(["query_id", "vec_id"])
+    going = settled(routed.select(F.explode("shards").alias("shard"), "vec_id", "embedding", "bound"), "neighbours-going")
+    found = at_home if going.isEmpty() else at_home.unionByName(searched(going)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

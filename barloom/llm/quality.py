@@ -199,6 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     per_id = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
     share = min(1.0, sample_rows / max(docs.select("doc_id").join(small(per), "doc_id", "left_semi").count(), 1))
     sample = settled(labelled.where(per_id < int(share * (1 << 20))).select("doc_id", "text", "quality"), "quality-sample")
+    if sample.count() > 2 * sample_rows:  # rows equal in id and text come in or stay out together; then each counts once
+        sample = sample.dropDuplicates(["doc_id", "text"])
     vectors = word_vectors(docs.select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
