@@ -227,8 +227,30 @@ def by_shingles(sets: DataFrame, known: DataFrame, like: Likeness) -> DataFrame:
     return found
 
 
-def _counted(sets: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """token and n, how many of sets (class, set) have it: tasks add up before they send, some `most` shingles at a time."""
+#: Buckets that shingles are first counted in, of a hash of them, and shingles up to which that tells most of the rare ones.
+_BUCKETS, _SPARSE = 1 << 18, 1 << 22
+
+
+def _crowded(sets: DataFrame) -> np.ndarray | None:
+    """By bucket, whether it holds so many shingles of sets (class, set) that one of them may be heavy; None where there are too many for buckets to tell."""
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("set")), F.lit(0))).first()[0] // 8
+    if total > _SPARSE:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(_BUCKETS, np.int32)
+        for batch in batches:
+            if len(batch):
+                tokens = np.concatenate([np.frombuffer(own.as_buffer(), np.int64) for own in batch.column(0)])
+                n += np.bincount(tokens & (_BUCKETS - 1), minlength=_BUCKETS).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["n"])
+
+    parts = to_python(sets.select("set").coalesce(16), run, "n binary").collect()  # _SPARSE shingles at most, so a few tasks do
+    return sum((np.frombuffer(r.n, np.int32) for r in parts), np.zeros(_BUCKETS, np.int64)) > SMALL_GROUP
+
+
+def _counted(sets: DataFrame, crowded: np.ndarray | None, most: int = 1 << 20) -> DataFrame:
+    """token and n, how many of sets (class, set) have it, of tokens in crowded buckets: tasks add up before they send, some `most` shingles at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
@@ -240,7 +262,8 @@ def _counted(sets: DataFrame, most: int = 1 << 20) -> DataFrame:
 
         for batch in batches:
             for own in batch.column(0):
-                held.append(np.frombuffer(own.as_buffer(), np.int64))
+                tokens = np.frombuffer(own.as_buffer(), np.int64)
+                held.append(tokens if crowded is None else tokens[crowded[tokens & (_BUCKETS - 1)]])
                 size += len(held[-1])
                 if size > most:
                     (known, often), held, size = merged(), [], 0
@@ -269,7 +292,7 @@ def _tokens(sets: DataFrame) -> DataFrame:
 def _first_shingles(sets: DataFrame, like: Likeness) -> DataFrame:
     """Of each class of sets (class, set), those shingles that decide, heavy ones (is_heavy) and others in rows of their own, with a hash of all
     its heavy ones, frame, and their number, heavy. All shingles of all sets are counted."""
-    counts = settled(_counted(sets).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SMALL_GROUP), "pairs-heavy")
+    counts = settled(_counted(sets, _crowded(sets)).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SMALL_GROUP), "pairs-heavy")
     if counts.limit(MOST_HEAVY + 1).count() > MOST_HEAVY:
         return _first_by_join(sets, counts, like)
     rows = counts.orderBy("token").collect()
