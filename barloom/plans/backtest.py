@@ -12,6 +12,7 @@ from barloom.config import Config
 from barloom.functions.costs import Commission, Slippage
 from barloom.operators import assist_v4, metrics, portfolio, search, walkforward  # noqa: F401  assist_v4 registers itself
 from barloom.operators.strategies import Axis, Strategy, combined, strategy
+from barloom.plans import describe
 
 
 @dataclass
@@ -69,7 +70,7 @@ def backtest(bars: DataFrame, name: str, params: dict | None = None, config: Con
     config = config or Config()
     chosen = _begun(name, config)
     full = chosen.defaults | (params or {})
-    signals = chosen.signals(bars, [full])
+    signals = _whole(bars, chosen, chosen.signals(bars, [full]))
     return Report(name, full, _simulated(signals, config), bars, config, signals)
 
 
@@ -77,10 +78,15 @@ def backtest_many(bars: DataFrame, parts: list[tuple[str, dict, float]], config:
     """The weighted mean of several strategies' signals."""
     config = config or Config()
     begun = [(_begun(n, config), p, w) for n, p, w in parts]
-    signals = combined([(s.signals(bars, [s.defaults | p]), w) for s, p, w in begun])
+    signals = combined([(_whole(bars, s, s.signals(bars, [s.defaults | p])), w) for s, p, w in begun])
     return Report("+".join(n for n, _, _ in parts), {n: p for n, p, _ in parts}, _simulated(signals, config), bars, config, signals)
 
 
+def _whole(bars: DataFrame, chosen: Strategy, signals: DataFrame) -> DataFrame:
+    """signals; of a strategy that isn't the library's, a job looks for bars without one first, which would shift positions: ValueError."""
+    return signals if type(chosen).__module__.startswith("barloom.") else describe.checked_signals(bars, signals)
+
+
 def _simulated(signals: DataFrame, c: Config) -> DataFrame:
     return portfolio.sequential(signals, c.slippage, c.commission, c.trading_rules, c.initial_cash, c.contract_multiplier)
 

@@ -23,6 +23,9 @@ def test_files_are_read_by_folder_with_bom_bad_times_and_repeats(spark, tmp_path
     assert files.load(spark, str(tmp_path / "aaa"), cache=cache).count() == files.load(spark, str(tmp_path / "aaa"), cache=cache).count() == 2
     with pytest.raises(FileNotFoundError):
         files.load(spark, str(tmp_path), ["nobody"])
+    (tmp_path / "aaa" / "empty.csv").write_text("")
+    with pytest.raises(ValueError, match="empty.csv"):
+        files.load(spark, str(tmp_path / "aaa"))
 
 
 def test_missing_columns_raise(spark):

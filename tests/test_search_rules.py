@@ -103,11 +103,19 @@ def test_hooks_and_shapes(spark):
         def begin(self, config):
             seen.append(config.initial_cash)
 
-    STRATEGIES["watched"] = Watched
+    class Gappy(SmaCross):
+        name = "gappy"
+
+        def signals(self, bars, sets):
+            return super().signals(bars, sets).where("bar_idx <> 7")
+
+    STRATEGIES.update(watched=Watched, gappy=Gappy)
     try:
         backtest.backtest(bars_of(spark, wave(40)), "watched", {"fast": 2, "slow": 5}, Config(initial_cash=7.0))
+        with pytest.raises(ValueError, match="no signal"):
+            backtest.backtest(bars_of(spark, wave(40)), "gappy", {"fast": 2, "slow": 5})
     finally:
-        del STRATEGIES["watched"]
+        del STRATEGIES["watched"], STRATEGIES["gappy"]
     assert seen == [7.0]
     bars = bars_of(spark, wave(10))
     full = strategy("sma_cross").signals(bars, [{"fast": 2, "slow": 5}])
