@@ -227,32 +227,35 @@ def by_shingles(sets: DataFrame, known: DataFrame, like: Likeness) -> DataFrame:
     return found
 
 
-#: Buckets that shingles are first counted in, of a hash of them, and shingles up to which that tells most of the rare ones.
-_BUCKETS, _SPARSE = 1 << 18, 1 << 22
+#: Buckets that shingles are first counted in, by a hash of them: at most; and shingles of one bucket, on average, up to which that tells most of the rare ones.
+_MOST_BUCKETS, _FULL = 1 << 22, 24
 
 
 def _crowded(sets: DataFrame) -> np.ndarray | None:
-    """By bucket, whether it holds so many shingles of sets (class, set) that one of them may be heavy; None where there are too many for buckets to tell."""
+    """By bucket, whether it holds so many shingles of sets (class, set) that one of them may be heavy; None where there are too many shingles for buckets to tell."""
     total = sets.agg(F.coalesce(F.sum(F.octet_length("set")), F.lit(0))).first()[0] // 8
-    if total > _SPARSE:
+    if total > _MOST_BUCKETS * _FULL:
         return None
+    buckets = 1 << min(_MOST_BUCKETS.bit_length() - 1, max(12, (total // 8).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(_BUCKETS, np.int32)
+        n = np.zeros(buckets, np.int32)
         for batch in batches:
             if len(batch):
                 tokens = np.concatenate([np.frombuffer(own.as_buffer(), np.int64) for own in batch.column(0)])
-                n += np.bincount(tokens & (_BUCKETS - 1), minlength=_BUCKETS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["n"])
+                np.add.at(n, tokens & (buckets - 1), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(n, 255).astype(np.uint8).tobytes()], pa.binary())], ["n"])
 
-    parts = to_python(sets.select("set").coalesce(16), run, "n binary").collect()  # _SPARSE shingles at most, so a few tasks do
-    return sum((np.frombuffer(r.n, np.int32) for r in parts), np.zeros(_BUCKETS, np.int64)) > SMALL_GROUP
+    parts = to_python(sets.select("set").coalesce(16), run, "n binary").collect()  # 16 rows of a byte for each bucket
+    return sum((np.frombuffer(r.n, np.uint8).astype(np.int32) for r in parts), np.zeros(buckets, np.int32)) > SMALL_GROUP
 
 
 def _counted(sets: DataFrame, crowded: np.ndarray | None, most: int = 1 << 20) -> DataFrame:
     """token and n, how many of sets (class, set) have it, of tokens in crowded buckets: tasks add up before they send, some `most` shingles at a time."""
+    shared = sets.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = shared.value
         known, often, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +266,7 @@ def _counted(sets: DataFrame, crowded: np.ndarray | None, most: int = 1 << 20) -
         for batch in batches:
             for own in batch.column(0):
                 tokens = np.frombuffer(own.as_buffer(), np.int64)
-                held.append(tokens if crowded is None else tokens[crowded[tokens & (_BUCKETS - 1)]])
+                held.append(tokens if full is None else tokens[full[tokens & (len(full) - 1)]])
                 size += len(held[-1])
                 if size > most:
                     (known, often), held, size = merged(), [], 0
