@@ -21,14 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
     Where that is unset and driver and executors are one process (a local master, as in tests), a new temporary
-    folder is made and set; on a cluster, ValueError.
+    folder is made and set as the context's; on a cluster, ValueError.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="barloom-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="barloom-checkpoints-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 

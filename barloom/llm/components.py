@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import forget, settled
@@ -11,36 +11,30 @@ from barloom.llm.common import forget, settled
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (a, b); component is the smallest node reachable.
 
-    Alternates two steps until nothing changes: each node ties its larger neighbours to its smallest one,
-    then each node ties itself and its smaller neighbours to the smallest of those. Every step keeps
-    components whole and ends in stars around the smallest nodes, in a number of rounds that grows with
-    the logarithm of a component's size. No rows: none.
+    Alternates two steps until all edges are stars around smallest nodes: each node ties its larger neighbours to its
+    smallest one, then each node ties itself and its smaller neighbours to the smallest of those. Every step keeps
+    components whole, and the number of rounds grows with the logarithm of a component's size. No rows: none.
     """
-    edges = settled(_halves(links.select("a", "b")), "links")
-    before = _state(edges)
-    earlier: DataFrame | None = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        wide = _halves(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")))
-        down = wide.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("least"))
-        near = wide.join(down, wide["b"] == down["u"])
-        last, edges = edges, settled(_halves(near.select(F.col("a"), F.col("least").alias("b")).unionByName(near.select(F.col("b").alias("a"), F.col("least").alias("b")))), "links")
-        after = _state(edges)
-        if earlier is not None:
-            forget(earlier)
-        earlier = last
-        if after == before:
-            break
-        before = after
+    halves = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = settled(halves.distinct(), "links")
+    while not _are_stars(edges):
+        ends = edges.select(F.explode(F.array(_edge("a", "b"), _edge("b", "a"))).alias("edge"))
+        least = ends.groupBy(F.col("edge.of").alias("a")).agg(F.min("edge.other").alias("other")).select("a", F.least("a", "other").alias("least"))
+        wide = edges.join(least, "a").select(F.col("least").alias("a"), "b")
+        near = wide.join(wide.groupBy("b").agg(F.min("a").alias("least")), "b")
+        tied = near.select(F.col("least").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
+        last, edges = edges, settled(tied, "links")
+        forget(last)
     roots = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def _halves(pairs: DataFrame) -> DataFrame:
-    """Each pair of different nodes once, the smaller first."""
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _edge(of: str, other: str) -> Column:
+    return F.struct(F.col(of).alias("of"), F.col(other).alias("other"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 40)), F.lit(0))).collect()[0])
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger node b of edges (a, b) has one edge and no larger neighbour: then a is its component's smallest node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("up")), F.struct(F.col("b").alias("node"), F.lit(1).alias("up")))).alias("end"))
+    nodes = ends.groupBy("end.node").agg(F.sum("end.up").alias("ups"), F.min("end.up").alias("least"))
+    return nodes.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("least") == 0)))).first()[0] == 0

@@ -418,6 +418,7 @@ def links_between_classes(docs: DataFrame, full: DataFrame, like: Likeness, exac
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = settled(labelled.join(mixed, "key", "left_semi").select("key", "class", "size", "component"), "pairs-open")
     forget(members)
+    forget(found)
     described = known.select("class", "n_shingles", "sketch")
     more = settled(_once(_within_small(open_.where(F.col("size") <= SMALL_GROUP).join(described, "class"), like)).join(tried, ["a", "b"], "left_anti"), "pairs-more")
     many = settled(open_.where(F.col("size") > SMALL_GROUP).select("class", "component").distinct().join(described, "class"), "pairs-many")
@@ -450,4 +451,5 @@ def join(docs: DataFrame, like: Likeness, keys_of: Keys, exact: bool = False) ->
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = settled(named.join(least, "component").select(F.col("class").alias("of"), "component_id"), "pairs-labels")
     forget(links)
+    forget(parts)
     return rows.join(labels, F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
