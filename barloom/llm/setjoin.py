@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import forget, settled, slices, small, to_python
-from barloom.llm.components import components
+from barloom.llm.components import towards_least
 from barloom.llm.textkernel import U, mix, shingles
 
 #: Bits of the parity sketch of a whole set.
@@ -101,7 +101,7 @@ def outline(docs: DataFrame, like: Likeness, keys_of: Keys) -> DataFrame:
     return to_python(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_shingles long, class long, sketch binary, keys array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, like: Likeness, repeated: bool) -> DataFrame:
     """class and set (sorted 64-bit hashes) of the classes of wanted (doc_id, class), from their texts.
 
     A row for each class: ids tell rows apart, or else, where ids are repeated, classes are made unique by a shuffle.
@@ -112,10 +112,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
             tokens, at, whole = sets_of(data, offsets, like.words)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(whole), pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["class", "set"])
 
-    ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
+    ids = wanted.select(F.col("doc_id").alias("wanted"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = to_python(texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text"), run, "class long, set binary")
-    if texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not repeated:
         return rows
     return rows.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
@@ -134,7 +134,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
                 good.append(like.links(both, len(x), len(y)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
 
-    first, second = (sets.join(small(pairs.select(F.col(c).alias("class")).distinct()), "class", "left_semi").select(F.col("class").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    first, second = (sets.join(small(pairs.select(F.col(c).alias("class"))), "class", "left_semi").select(F.col("class").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
     return to_python(first.join(small(pairs), "a").join(second, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
@@ -208,7 +208,7 @@ def by_shingles(sets: DataFrame, known: DataFrame, like: Likeness) -> DataFrame:
     So of the sets of one frame the smallest stands for all: every set as small as the frame allows links with it, and the
     others are compared with such smallest ones only.
     """
-    firsts = settled(_first_shingles(sets, like).join(known.select("class", "component"), "class"), "pairs-firsts")
+    firsts = settled(_first_shingles(sets, like).join(small(known.select("class", "component")), "class"), "pairs-firsts")
     light = firsts.where("not is_heavy").select("class", "component", F.explode("tokens").alias("key"))
     mixed = light.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     mixed = settled(mixed, "pairs-groups")
@@ -351,10 +351,10 @@ def _within_large(members: DataFrame, like: Likeness) -> DataFrame:
     dealt = members.join(small(groups), "key").withColumn("of_top", F.col("component") == F.col("top.component"))
     packs = F.ceil(F.when(F.col("of_top"), F.col("top.n")).otherwise(F.col("all") - F.col("top.n")) / _PACK)
     member = F.struct("class", "component", "n_shingles", "frame", "leads", "sketch")
-    packed = dealt.groupBy("key", "of_top", F.pmod(F.xxhash64("class"), packs).alias("pack")).agg(F.collect_list(member).alias("members"))
+    packed = dealt.groupBy("key", "of_top", F.pmod(F.xxhash64("class"), packs).alias("pack")).agg(F.collect_list(member).alias("members"), F.max("leads").alias("led"))
     packed = settled(packed, "pairs-packs")
-    first, second = (packed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("of_top", "pack", "members")]) for side in ("a", "b"))
-    meet = ~F.col("of_top_a") & (F.col("of_top_b") | (F.col("pack_a") <= F.col("pack_b")))
+    first, second = (packed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("of_top", "pack", "led", "members")]) for side in ("a", "b"))
+    meet = ~F.col("of_top_a") & (F.col("of_top_b") | (F.col("pack_a") <= F.col("pack_b"))) & (F.col("led_a") | F.col("led_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,25 +381,29 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links_between_classes(docs: DataFrame, full: DataFrame, like: Likeness, exact: bool = False) -> DataFrame:
-    """Links (a, b) of classes of full (from outline(docs)) that join everything that all links join, written to the shared folder.
+def classes_of(full: DataFrame) -> DataFrame:
+    """class, row and doc_id (the smallest ones) and n (rows) of each class of full (from outline(docs), with a row number), settled."""
+    return settled(full.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "pairs-ids")
 
-    First each class is compared with one class of each of its keys' groups, the one whose keys have the most
+
+def links_between_classes(docs: DataFrame, full: DataFrame, ids: DataFrame, like: Likeness, exact: bool = False) -> DataFrame:
+    """Links (a, b) of classes of full (from outline(docs)) that join everything that all links join, each once, a < b, written to the shared folder.
+
+    First each class, of ids (classes_of(full)), is compared with one class of each of its keys' groups, the one whose keys have the most
     members in all: the original of many altered copies shares more keys than any copy. What these links
     leave in different components is compared wherever it shares a key, as far as sizes and sketches
     allow: small groups as they stream by, the classes of larger ones by_shingles(). If exact, all classes are compared by_shingles().
-    What a step has written is deleted when the steps that read it are over.
+    What a step has written is deleted when the steps that read it are over. Frames that only say which rows are wanted may have repeats.
     """
-    ids = full.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
-    ids = settled(ids, "pairs-ids")
-    chosen = small(ids.select("row"))
-    one = full.where("class is not null").join(chosen, "row", "left_semi")
+    one = full.where("class is not null").join(small(ids.select("row")), "row", "left_semi")
+    repeated = not full.groupBy("doc_id").count().where("count > 1").isEmpty()
     if exact:
-        sets = settled(_sets(docs, ids.select("class", "doc_id"), like), "pairs-sets")
+        sets = settled(_sets(docs, ids, like, repeated), "pairs-sets")
         alone = settled(one.select("class", F.col("class").alias("component"), "n_shingles", "sketch"), "pairs-classes")
         found = by_shingles(sets, alone, like)
-        links = settled(_verified(_once(found), sets, like), "pairs-links")
-        for done in (ids, sets, alone, found):
+        tried = settled(_once(found), "pairs-tried")
+        links = settled(_verified(tried, sets, like), "pairs-links")
+        for done in (sets, alone, found, tried):
             forget(done)
         return links
     blocks = one.select("class", F.explode("keys").alias("key"))
@@ -410,24 +414,22 @@ def links_between_classes(docs: DataFrame, full: DataFrame, like: Likeness, exac
     hubs = members.join(small(met), "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("hub"))
     stars = members.join(hubs, "key").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     tried = settled(_plausible(_once(stars), known, like), "pairs-tried")
-    wanted = settled(_ends(tried), "pairs-wanted")
-    sets = settled(_sets(docs, ids.join(small(wanted), "class", "left_semi"), like), "pairs-sets")
+    sets = settled(_sets(docs, ids.join(small(_ends(tried)), "class", "left_semi"), like, repeated), "pairs-sets")
     links = settled(_verified(tried, sets, like), "pairs-links")
-    found = components(links)
+    found = towards_least(links)
     labelled = members.join(small(found.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = settled(labelled.join(mixed, "key", "left_semi").select("key", "class", "size", "component"), "pairs-open")
     forget(members)
-    forget(found)
     described = known.select("class", "n_shingles", "sketch")
-    more = settled(_once(_within_small(open_.where(F.col("size") <= SMALL_GROUP).join(described, "class"), like)).join(tried, ["a", "b"], "left_anti"), "pairs-more")
-    many = settled(open_.where(F.col("size") > SMALL_GROUP).select("class", "component").distinct().join(described, "class"), "pairs-many")
-    later = settled(_ends(more).unionByName(many.select("class")).distinct().join(wanted, "class", "left_anti"), "pairs-later")
-    rest = settled(_sets(docs, ids.join(small(later), "class", "left_semi"), like), "pairs-sets")
-    all_sets, done = sets.unionByName(rest), [ids, met, known, tried, wanted, sets, open_, more, many, later, rest, links]
+    more = settled(_once(_within_small(open_.where(F.col("size") <= SMALL_GROUP).join(described, "class"), like)).join(small(tried), ["a", "b"], "left_anti"), "pairs-more")
+    many = settled(open_.where(F.col("size") > SMALL_GROUP).groupBy("class").agg(F.min("component").alias("component")).join(described, "class"), "pairs-many")
+    later = _ends(more).unionByName(many.select("class")).join(small(_ends(tried)), "class", "left_anti")
+    rest = settled(_sets(docs, ids.join(small(later), "class", "left_semi"), like, repeated), "pairs-sets")
+    all_sets, done = sets.unionByName(rest), [met, known, tried, sets, open_, more, many, rest, links, found]
     if not many.isEmpty():
         by = by_shingles(all_sets.join(small(many.select("class")), "class", "left_semi"), many, like)
-        more = settled(more.unionByName(_once(by).join(tried, ["a", "b"], "left_anti")).distinct(), "pairs-more")
+        more = settled(more.unionByName(_once(by).join(small(tried), ["a", "b"], "left_anti")).distinct(), "pairs-more")
         done += [by, more]
     links = settled(links.unionByName(_verified(more, all_sets, like)), "pairs-links")
     for old in done:
@@ -436,20 +438,21 @@ def links_between_classes(docs: DataFrame, full: DataFrame, like: Likeness, exac
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    """The classes of pairs (a, b), as often as they are there."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("class"))
 
 
 def join(docs: DataFrame, like: Likeness, keys_of: Keys, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, class and component_id of each row of docs (doc_id, text), as jaccard.join() and neardup.join() state."""
     full = settled(outline(docs, like, keys_of).withColumn("row", F.monotonically_increasing_id()), "pairs-outline")
     rows = settled(full.select("doc_id", "n_shingles", "class"), "pairs-rows")
-    links = links_between_classes(docs, full, like, exact)
+    ids = classes_of(full)
+    links = links_between_classes(docs, full, ids, like, exact)
     forget(full)
-    parts = components(links)
-    ids = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = ids.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = settled(named.join(least, "component").select(F.col("class").alias("of"), "component_id"), "pairs-labels")
-    forget(links)
-    forget(parts)
-    return rows.join(labels, F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    parts = towards_least(links)
+    named = ids.join(small(parts.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    several = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    labels = settled(named.join(small(several, within=ids), "component").select(F.col("class").alias("of"), "component_id"), "pairs-labels")
+    for done in (ids, links, parts):
+        forget(done)
+    return rows.join(small(labels), F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -1,10 +1,12 @@
 """Components of small graphs against union-find."""
 
 import random
+from pathlib import Path
 
 import pytest
 
-from barloom.llm.components import components
+from barloom.llm.common import settled, shared_folder
+from barloom.llm.components import components, towards_least
 
 
 def _plain(edges):
@@ -34,3 +36,13 @@ def _mixed():
 def test_components(spark, edges):
     found = components(spark.createDataFrame(edges, "a long, b long"))
     assert sorted(map(tuple, found.collect())) == _plain(edges)
+
+
+def test_stars_are_not_written_again(spark):
+    links = settled(spark.createDataFrame([(1, 2), (1, 3), (4, 9)], "a long, b long"), "links")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert sorted(map(tuple, towards_least(links).collect())) == [(2, 1), (3, 1), (9, 4)]
+    assert set(folder.iterdir()) == before and links.count() == 3
+    path = settled(spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long"), "links")
+    assert sorted(map(tuple, towards_least(path).collect())) == [(k, 0) for k in range(1, 21)] and path.count() == 20
