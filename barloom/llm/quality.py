@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import settled, slices, small, summed, to_python
-from barloom.llm.textkernel import counts, mix, runs, span_hashes, words
+from barloom.llm.textkernel import counts, runs, span_hashes, words
 
 TERMS = 1 << 14
 WIDTH = 64
@@ -24,6 +24,8 @@ SAMPLE_ROWS = 12_000
 SUMMING_TASKS = 4096
 #: Words that are worked on at once.
 _PART = 1 << 16
+#: Words whose vectors are gathered at once: 1 MB, which stays in a core's cache.
+_GATHERED = 1 << 12
 
 _CLASS = np.zeros(256, np.uint8)  # the byte that stands for a byte in a word's shape
 _CLASS[:] = np.arange(256)
@@ -47,8 +49,13 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     The shape has one a, A or 0 for a run of small letters, capitals or digits, and other bytes as they are.
     """
-    starts, ends = words(data, offsets)
-    own = span_hashes(data, starts, ends)
+    spans = words(data, offsets)
+    return _terms(data, offsets, spans, span_hashes(data, *spans))
+
+
+def _terms(data: np.ndarray, offsets: np.ndarray, spans: tuple[np.ndarray, np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """terms(), of words whose spans and hashes, own, are known."""
+    starts, ends = spans
     kind = _CLASS[data]
     keep = ~_COLLAPSES[data]
     keep[1:] |= kind[1:] != kind[:-1]
@@ -65,12 +72,12 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _sums(vectors: np.ndarray, term: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The sum of the terms' vectors of each text, a part of the terms at a time."""
     out = np.zeros((len(at) - 1, vectors.shape[1]), np.float32)
-    for low in range(0, len(term), _PART):
-        high = min(low + _PART, len(term))
+    for low in range(0, len(term), _GATHERED):
+        high = min(low + _GATHERED, len(term))
         first, last = int(np.searchsorted(at, low, side="right")) - 1, int(np.searchsorted(at, high))
         bounds = np.clip(at[first : last + 1], low, high) - low
         full = np.flatnonzero(np.diff(bounds))
-        out[first + full] += np.add.reduceat(vectors[term[low:high]], bounds[full], axis=0)
+        out[first + full] += np.add.reduceat(vectors.take(term[low:high], axis=0), bounds[full], axis=0)
     return out
 
 
@@ -95,22 +102,26 @@ class Model:
 def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Of each text: the mean vector of its words, that of their shapes, and three figures (length,
     share of words that are new in the text, share of lines that are)."""
-    term, at = terms(data, offsets)
+    spans = words(data, offsets)
+    own = span_hashes(data, *spans)
+    term, at = _terms(data, offsets, spans, own)
     n = np.maximum(np.diff(at) // 2, 1)[:, None]
     out = [_sums(vectors, term[k::2], at // 2) / n for k in (0, 1)]
-    starts, ends = words(data, offsets)
     line = np.ones(256, np.uint8)
     line[10] = 0
     lines = runs(data, offsets, line)
-    fresh = [_new_share(span_hashes(data, *spans), counts(offsets, spans[0])) for spans in ((starts, ends), lines)]
+    fresh = [_new_share(hashes, counts(offsets, starts)) for hashes, starts in ((own, spans[0]), (span_hashes(data, *lines), lines[0]))]
     return np.concatenate([*out, np.log1p(n), *[f[:, None] for f in fresh]], axis=1).astype(np.float32)
 
 
 def _new_share(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
     """Of each text's hashes, distinct ones over all (1 without any)."""
-    own = np.repeat(np.arange(len(per)), per)
-    distinct = np.unique(mix(hashes ^ mix(own.astype(np.uint64))) if len(hashes) else hashes, return_index=True)[1]
-    return np.where(per > 0, np.bincount(own[distinct], minlength=len(per)) / np.maximum(per, 1), 1.0)
+    bits = np.uint64(len(per).bit_length())  # the text's number stands above its hashes, so that plain values are sorted
+    keys = np.sort(hashes >> bits | np.repeat(np.arange(len(per), dtype=np.uint64) << np.uint64(64 - int(bits)), per))
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    distinct = np.bincount((keys[first] >> np.uint64(64 - int(bits))).astype(np.int64), minlength=len(per))
+    return np.where(per > 0, distinct / np.maximum(per, 1), 1.0)
 
 
 def pair_counts(term: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
