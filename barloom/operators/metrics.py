@@ -148,11 +148,17 @@ def batch_score(equity: DataFrame, metric: str, periods: float = PERIODS, risk_f
     raise KeyError(metric)
 
 
+def _in_turn(order: list[str]) -> list[Column]:
+    """Nulls last, as SQL has them."""
+    return [F.asc_nulls_last(c) for c in order]
+
+
 def realised(trades: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Profits of closed lots, first in first out: keys, symbol, trade (place of the closing trade), lot, pnl.
 
     trades: keys, symbol, side, quantity, price and the columns `order`. A purchase closes the oldest short lots
     and the rest opens a long one; sales mirror this. Costs aren't part of the profit. Quantities count to a billionth.
+    Of trades at the same place of `order`, purchases come first, then smaller quantities, then lower prices: what still ties is alike, so no result depends on how rows lie.
 
     Between two times at which nothing is held, what opens and what closes lie on one scale of running quantity, opened and
     closed in the same order: each stretch between two ends on it belongs to one opening and one closing trade. So all is windows by keys, symbol and such episodes.
@@ -161,7 +167,8 @@ def realised(trades: DataFrame, keys: list[str] | None = None, order: list[str]
     own = [*keys, "symbol"]
     usable = trades.where("symbol is not null and symbol <> '' and quantity > 0")
     in_order = Window.partitionBy(*own).orderBy("trade")
-    placed = usable.withColumn("trade", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).withColumn("_sign", F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0))
+    signed = usable.withColumn("_sign", F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0))
+    placed = signed.withColumn("trade", F.row_number().over(Window.partitionBy(*own).orderBy(*_in_turn(order), F.desc("_sign"), *_in_turn(["quantity", "price"]))))
     held = F.sum(F.col("_sign") * F.col("quantity")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.withColumn("_book", F.coalesce(F.round(held, 9), F.lit(0.0)))
     against = F.when(F.col("_book") * F.col("_sign") < 0, F.least("quantity", F.abs("_book"))).otherwise(0.0)
@@ -196,7 +203,7 @@ def trade_metrics(trades: DataFrame, keys: list[str] | None = None, order: list[
     """
     keys, order = keys or ["combo_id"], order or ["bar_idx"]
     lots = realised(trades, keys, order)
-    w = Window.partitionBy(*keys).orderBy(*order, "symbol", "lot")
+    w = Window.partitionBy(*keys).orderBy(*_in_turn(order), "symbol", "trade", "lot")
     # losses in a row have had equally many other lots before them
     breaks = F.sum(F.when(F.col("pnl") < 0, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     runs = lots.withColumn("_run", breaks).where("pnl < 0").groupBy(*keys, "_run").agg(F.count("*").alias("_length"))

@@ -36,6 +36,6 @@ def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trades of their part's brand of flag: returned ones sell, others buy."""
     rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
     return rows.select(
-        F.lit(0).cast("long").alias("combo_id"), F.concat("l_linestatus", F.lit("-"), F.pmod("l_suppkey", F.lit(7)).cast("string")).alias("symbol"), F.when(F.col("l_returnflag") == "N", "BUY").otherwise("SELL").alias("side"),
+        F.lit(0).cast("long").alias("combo_id"), F.concat("l_linestatus", F.lit("-"), (F.col("l_suppkey") % 7).cast("string")).alias("symbol"), F.when(F.col("l_returnflag") == "N", "BUY").otherwise("SELL").alias("side"),
         F.col("l_quantity").alias("quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 0).alias("price"), F.lit(1.0).alias("cost"), "l_shipdate", "l_orderkey", "l_linenumber",
     )

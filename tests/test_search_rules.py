@@ -221,3 +221,14 @@ def test_parquet_files_are_bars_too(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "aaa"))
     assert {r["symbol"] for r in files.load(spark, str(tmp_path)).collect()} == {"AAA"} and files.load(spark, str(tmp_path)).count() == 20
     assert math.isclose(files.load(spark, str(tmp_path)).agg(F.sum("close")).first()[0], sum(wave(20)))
+
+
+def test_lots_of_tied_trades_do_not_depend_on_how_rows_lie(spark):
+    tied = [(0, 5, "X", "SELL", 2.0, 105.0), (0, 5, "X", "BUY", 3.0, 101.0), (0, 5, "X", "BUY", 3.0, 100.0), (0, 5, "X", "BUY", 1.0, 102.0), (0, 5, "X", "SELL", 1.0, 104.0)]
+    rows = [*tied, (0, 6, "X", "SELL", 4.0, 110.0), (0, None, "X", "BUY", 9.0, 1.0)]
+    kinds = "combo_id long, bar_idx int, symbol string, side string, quantity double, price double"
+    # purchases of 1 at 102, 3 at 100, 3 at 101; then sales of 1 at 104, 2 at 105, 4 at 110; without a bar: last
+    expected = [(4, 0, 2.0), (5, 0, 10.0), (6, 0, 10.0), (6, 1, 27.0)]
+    for each in (rows, rows[::-1], rows[3:] + rows[:3]):
+        found = metrics.realised(spark.createDataFrame(each, kinds).coalesce(1))
+        assert sorted((r["trade"], r["lot"], r["pnl"]) for r in found.collect()) == expected
